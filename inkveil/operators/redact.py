@@ -9,7 +9,11 @@ from inkveil.functions.columns import SPANS
 from inkveil.operators import passes as P
 from inkveil.sources.policies import Policy
 
-RESULT = ("redacted_text", "changed", "n_matches", "matches")
+# Matches per entity, as a map; at most one entry per entity.
+COUNTS = (
+    "map_from_entries(transform(array_distinct(__found.entity), "
+    "e -> named_struct('entity', e, 'n', size(filter(__found, r -> r.entity = e)))))"
+)
 
 
 def results(closed: DataFrame, text: str, columns: list[str],
@@ -21,6 +25,7 @@ def results(closed: DataFrame, text: str, columns: list[str],
         "redacted_text",
         (F.col("redacted_text") != F.col(text)).alias("changed"),
         F.size("__found").alias("n_matches"),
+        F.expr(COUNTS).alias("entity_counts"),
         F.expr(SPANS).alias("matches"),
     )
 
@@ -52,8 +57,10 @@ def redact(df: DataFrame, text: str = "text", policy: Policy | None = None) -> D
     """Redact a text column.
 
     Returns the other columns with ``redacted_text``, ``changed``,
-    ``n_matches`` and ``matches`` (``array<struct<seq,pass,entity,start,end>>``).
-    Rows without a text have no output; unchanged rows do. No shuffle.
+    ``n_matches``, ``entity_counts`` (``map<entity,n>``) and ``matches``
+    (``array<struct<seq,pass,entity,start,end>>``); what a caller does not
+    select is not computed. Rows without a text have no output; unchanged rows
+    do. No shuffle.
     """
     return scan(df.filter(F.col(text).isNotNull()), text, policy).drop(text)
 
@@ -65,3 +72,9 @@ def findings(redacted: DataFrame, *key: str) -> DataFrame:
         redacted.select(*key, F.inline("matches"))
         .withColumn("matched_len", F.col("end") - F.col("start"))
     )
+
+
+def restore_allowlist(df: DataFrame, column: str, tokens: list[str]) -> DataFrame:
+    """Put the tokens back over runs of marks of their length, in list order."""
+    listed = df.withColumn("__tokens", _literal_list(tuple(tokens)))
+    return listed.withColumn(column, P.restored(f"`{column}`", "__tokens")).drop("__tokens")
