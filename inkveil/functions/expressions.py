@@ -36,8 +36,8 @@ def _running_spans() -> str:
     # Ends are running totals of the steps. They are summed in blocks, so the
     # work grows with n * 64 instead of n * n.
     size = 64
-    block = f"slice(__found, b * {size} + 1, {size})"
-    blocks = f"sequence(0, cast((size(__found) - 1) / {size} as int))"
+    block = f"slice(__state.found, b * {size} + 1, {size})"
+    blocks = f"sequence(0, cast((size(__state.found) - 1) / {size} as int))"
     totals = f"transform({blocks}, b -> aggregate({block}, 0, (acc, r) -> acc + r.step))"
     bases = "transform(totals, (x, b) -> aggregate(slice(totals, 1, b), 0, (acc, y) -> acc + y))"
     end = "get(bases, b) + aggregate(slice(part, 1, i + 1), 0, (acc, q) -> acc + q.step)"
@@ -51,5 +51,5 @@ def _running_spans() -> str:
     ))
 
 
-# Records of ``__found`` with their half-open byte range in the text of their pass.
+# The records of a row with their half-open byte range in the text of their pass.
 SPANS = _running_spans()

@@ -1,14 +1,19 @@
-"""The eight masks, as functions from a string column to a masked column.
+"""The eight masks.
 
-All of them are built-in expressions, so they also serve on their own for
-structured columns (``df.select(mask_name("c_name"))``). NULL stays NULL.
+Each is a built-in SQL expression over a string, so it serves on its own for
+structured columns as well: ``df.select(mask_name("c_name"))``. The argument is
+a column name or any other SQL expression; NULL stays NULL.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkveil.functions.expressions import let
+
 # The mask letter, the word mask, the shortest local part of a
 # masked address, and what is left of a URL.
 MARK = "X"
@@ -18,74 +23,105 @@ URL_TAIL = "?redacted=XXXX"
 URL_WITHOUT_QUERY = "https://redacted.local/?redacted=XXXX"
 
 
-def _col(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value
+def _email(v: str) -> str:
+    local = f"split_part({v}, '@', 1)"
+    width = f"greatest(char_length({local}), {MIN_LOCAL_PART})"
+    return f"concat(repeat('{MARK}', {width}), '@', split_part({v}, '@', 2))"
+
+
+def _digits(v: str) -> str:
+    return f"translate({v}, '0123456789', '{MARK * 10}')"
+
+
+def _address(v: str) -> str:
+    words = rf"filter(split({v}, r'(?U)\s+'), w -> w <> '')"
+    masked = (
+        f"transform(words, w -> if(w RLIKE '^[0-9]+$', "
+        f"repeat('{MARK}', char_length(w)), '{WORD_MASK}'))"
+    )
+    return let("words", words, (
+        f"CASE WHEN size(words) > 0 THEN array_join({masked}, ' ') "
+        f"WHEN words IS NOT NULL THEN '{WORD_MASK}' END"
+    ))
+
+
+def _url_keep_host(v: str) -> str:
+    return (
+        f"CASE WHEN contains({v}, '?') THEN concat(substring_index({v}, '?', 1), '{URL_TAIL}') "
+        f"WHEN {v} IS NOT NULL THEN '{URL_WITHOUT_QUERY}' END"
+    )
+
+
+def _name(v: str) -> str:
+    return f"repeat('{MARK}', char_length({v}))"
+
+
+def _labeled_field(v: str) -> str:
+    label = rf"regexp_extract({v}, r'(?Us)^([^:]*:\s*)', 1)"
+    return (
+        f"CASE WHEN contains({v}, ':') THEN concat({label}, '{WORD_MASK}') "
+        f"WHEN {v} IS NOT NULL THEN '{WORD_MASK}' END"
+    )
+
 
+def _alphanumeric(v: str) -> str:
+    return rf"regexp_replace({v}, r'[\p{{IsAlphabetic}}\p{{N}}]', '{MARK}')"
 
-def _marks(n: Column) -> Column:
-    return F.repeat(F.lit(MARK), n)
 
+# The masks as SQL text over an expression, by name.
+MASK_SQL: dict[str, Callable[[str], str]] = {
+    "email": _email,
+    "phone": _digits,
+    "account_like": _digits,
+    "address": _address,
+    "url_keep_host": _url_keep_host,
+    "name": _name,
+    "labeled_field": _labeled_field,
+    "alphanumeric": _alphanumeric,
+}
 
-def mask_email(value: Column | str) -> Column:
+
+def mask_email(value: str) -> Column:
     """Hide the local part, keep the domain."""
-    v = _col(value)
-    local = F.split_part(v, F.lit("@"), F.lit(1))
-    domain = F.split_part(v, F.lit("@"), F.lit(2))
-    width = F.greatest(F.char_length(local), F.lit(MIN_LOCAL_PART))
-    return F.concat(_marks(width), F.lit("@"), domain)
+    return F.expr(_email(value))
 
 
-def mask_digits(value: Column | str) -> Column:
+def mask_phone(value: str) -> Column:
     """Hide the ASCII digits, keep the separators."""
-    return F.translate(_col(value), "0123456789", MARK * 10)
+    return F.expr(_digits(value))
 
 
-# Phone numbers and account-like numbers are masked alike.
-mask_phone = mask_digits
-mask_account_like = mask_digits
+def mask_account_like(value: str) -> Column:
+    """Hide the ASCII digits, keep the separators."""
+    return F.expr(_digits(value))
 
 
-def mask_address(value: Column | str) -> Column:
+def mask_address(value: str) -> Column:
     """Hide every word; numbers keep their length, blanks collapse to one."""
-    v = _col(value)
-    words = F.filter(F.split(v, r"(?U)\s+"), lambda w: w != "")
-    masked = F.transform(
-        words,
-        lambda w: F.when(w.rlike("^[0-9]+$"), _marks(F.char_length(w))).otherwise(WORD_MASK),
-    )
-    return F.when(F.size(words) > 0, F.array_join(masked, " ")).otherwise(
-        F.when(v.isNotNull(), F.lit(WORD_MASK))
-    )
+    return F.expr(_address(value))
 
 
-def mask_url_keep_host(value: Column | str) -> Column:
+def mask_url_keep_host(value: str) -> Column:
     """Keep a URL up to its query string."""
-    v = _col(value)
-    return F.when(
-        v.contains("?"), F.concat(F.substring_index(v, "?", 1), F.lit(URL_TAIL))
-    ).otherwise(F.when(v.isNotNull(), F.lit(URL_WITHOUT_QUERY)))
+    return F.expr(_url_keep_host(value))
 
 
-def mask_name(value: Column | str) -> Column:
+def mask_name(value: str) -> Column:
     """Hide every character, blanks included."""
-    return _marks(F.char_length(_col(value)))
+    return F.expr(_name(value))
 
 
-def mask_labeled_field(value: Column | str) -> Column:
+def mask_labeled_field(value: str) -> Column:
     """Keep the label up to the first colon and the blanks after it."""
-    v = _col(value)
-    label = F.regexp_extract(v, r"(?Us)^([^:]*:\s*)", 1)
-    return F.when(v.contains(":"), F.concat(label, F.lit(WORD_MASK))).otherwise(
-        F.when(v.isNotNull(), F.lit(WORD_MASK))
-    )
+    return F.expr(_labeled_field(value))
 
 
-def mask_alphanumeric(value: Column | str) -> Column:
+def mask_alphanumeric(value: str) -> Column:
     """Hide the letters and numbers of any script, keep the rest."""
-    return F.regexp_replace(_col(value), r"[\p{IsAlphabetic}\p{N}]", MARK)
+    return F.expr(_alphanumeric(value))
 
 
-MASKS = {
+MASKS: dict[str, Callable[[str], Column]] = {
     "email": mask_email,
     "phone": mask_phone,
     "account_like": mask_account_like,

@@ -7,6 +7,8 @@ How they are written:
   JVM flag would also fold the dotted and the dotless Turkish i.
 * A cheap look-ahead on the first character stands before ``\\b`` and before
   word lists; it never changes what matches, only how fast other positions fail.
+* A ``_HINT`` is a necessary condition of its pattern that starts at a rare
+  character. It is checked first, as it costs a fraction of the pattern.
 * Runs of blanks are possessive where the next token cannot be a blank, so no
   text makes a pattern backtrack over the same run again and again.
 """
@@ -63,6 +65,12 @@ def first_letters(words: list[str]) -> str:
     return "(?=[" + "".join(any_case(c)[1:-1] for c in letters) + "])"
 
 
+def last_letters(words: list[str]) -> str:
+    """The two letters that each word ends with, or a blank."""
+    ends = sorted({w[-2:] for w in words})
+    return "(?:" + "|".join(any_case(e) for e in ends) + r"|\s)"
+
+
 def one_of(words: list[str], joint: str = " ") -> str:
     return "(?:" + "|".join(any_case(w, joint) for w in words) + ")"
 
@@ -73,14 +81,17 @@ _LABEL = "(?:" + "|".join(
 LABELED_FIELD = (
     "(?U)" + first_letters(LABELS) + r"\b" + _LABEL + r"\s*+[:=]\s*+\S++"
 )
+LABELED_FIELD_HINT = (
+    rf"(?U)[:=](?<=(?:{last_letters(LABELS)}|[oO]\.?[bB]\.?)[:=])\s*+\S"
+)
 
 # The address starts at the first word boundary of a run of local-part
 # characters. Entering each run once, at its start or where the last match
-# ended, keeps long runs without "@" linear; the skipped head is not part of
-# group 1.
+# ended, keeps long runs without "@" linear. Group 1 is the skipped head, group
+# 2 the address.
 _LOCAL = f"[{LETTERS}0-9._%+\\-]"
 EMAIL = (
-    rf"(?U)(?:\G|(?<!{_LOCAL}))(?>{_LOCAL}*?\b)"
+    rf"(?U)(?:\G|(?<!{_LOCAL}))((?>{_LOCAL}*?\b))"
     rf"({_LOCAL}++@[{LETTERS}0-9.\-]+\.[{LETTERS}]{{2,}}\b)"
 )
 
@@ -94,10 +105,10 @@ PHONE_DOTTED = r"(?U)(?=\d)\b\d{3}\.\d{3}\.\d{4}\b"
 SSN = r"(?U)(?=\d)\b\d{3}[\- ]\d{2}[\- ]\d{4}\b"
 
 # A URL match always runs to the next blank, so a run without blanks holds at
-# most one: each run is entered once and group 1 starts at its first "http".
+# most one: each run is entered once and group 2 starts at its first "http".
 _HTTP = any_case("http") + any_case("s") + "?://"
 URL_TOKEN = (
-    rf"(?U)(?<!\S)(?>\S*?(?={_HTTP})\b)"
+    rf"(?U)(?<!\S)(?=[^\s:]*+:)((?>\S*?(?={_HTTP})\b))"
     rf"({_HTTP}\S+{one_of(URL_KEYS)}=[^\s&]+\S*)"
 )
 
@@ -126,10 +137,12 @@ PASSPORT = (
     rf"[{LETTERS}0-9]{{6,12}}"
 )
 
-# Only the name is masked: group 1 always ends where the match ends.
+# Only the name, group 2, is masked; it always ends where the match ends.
 _NAME = r"([A-Z][a-z]{1,30}(?:\s++[A-Z][a-z]{1,30})?)"
-SALUTATION = rf"(?U){first_letters(GREETINGS)}{one_of(GREETINGS, r'\s++')}\s++{_NAME}\b"
+SALUTATION = rf"(?U)({first_letters(GREETINGS)}{one_of(GREETINGS, r'\s++')}\s++){_NAME}\b"
+SALUTATION_HINT = rf"(?U)[A-Z](?<={last_letters(GREETINGS)}\s[A-Z])[a-z]"
 SIGN_OFF = (
-    rf"(?U){first_letters(SIGN_OFFS)}{one_of(SIGN_OFFS, r'\s++')}"
-    rf"(?:\s*+,)?(?=[^\S\n]*+\n)\s*+{_NAME}"
+    rf"(?U)({first_letters(SIGN_OFFS)}{one_of(SIGN_OFFS, r'\s++')}"
+    rf"(?:\s*+,)?(?=[^\S\n]*+\n)\s*+){_NAME}"
 )
+SIGN_OFF_HINT = rf"(?U)\n(?<=(?:{last_letters(SIGN_OFFS)}|,)\n)\s*+[A-Z][a-z]"

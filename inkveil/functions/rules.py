@@ -2,62 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-
-from inkveil.functions import masks as M
 from inkveil.functions import patterns as P
 
 
 @dataclass(frozen=True)
 class Rule:
-    """One pass. ``group`` picks the part of the match that is masked.
+    """One pass. ``mask`` names the mask. With ``group`` 2 only the tail of the
+    match is masked, and group 1 is the head that stays.
 
-    ``needs`` lists literals of which the text must hold at least one of each
-    entry, ``digit`` says that it must hold a digit. Both are necessary
-    conditions of the pattern, so skipping a text on them is exact.
+    Three necessary conditions of the pattern save looking for it, and skipping
+    a text on them is exact: ``digit`` says that the text must hold a digit,
+    ``needs`` that it must hold one of the literals of each entry, ``hint`` is
+    a cheaper pattern.
     """
 
     name: str
     entity: str
     toggle: str
     pattern: str
-    mask: Callable[[Column], Column]
+    mask: str
     group: int = 0
     digit: bool = False
-    needs: tuple[str, ...] = ()
+    needs: tuple[tuple[str, ...], ...] = ()
+    hint: str = ""
 
 
 # Each pass sees the text that the passes before it have left.
 RULES: tuple[Rule, ...] = (
     Rule("labeled_field", "labeled_field", "redact_labeled_fields", P.LABELED_FIELD,
-         M.mask_labeled_field, needs=(":=",)),
-    Rule("email", "email", "redact_email", P.EMAIL, M.mask_email, group=1, needs=("@", ".")),
-    Rule("phone_international", "phone", "redact_phone", P.PHONE_INTERNATIONAL, M.mask_phone,
-         digit=True, needs=("+",)),
-    Rule("phone_parentheses", "phone", "redact_phone", P.PHONE_PARENTHESES, M.mask_phone,
-         digit=True, needs=("(",)),
-    Rule("phone_separated", "phone", "redact_phone", P.PHONE_SEPARATED, M.mask_phone,
-         digit=True, needs=(" -",)),
-    Rule("phone_dotted", "phone", "redact_phone", P.PHONE_DOTTED, M.mask_phone,
-         digit=True, needs=(".",)),
-    Rule("ssn", "ssn", "redact_ssn", P.SSN, M.mask_account_like, digit=True, needs=(" -",)),
+         "labeled_field", needs=((":", "="),), hint=P.LABELED_FIELD_HINT),
+    Rule("email", "email", "redact_email", P.EMAIL, "email", group=2, needs=(("@",), (".",))),
+    Rule("phone_international", "phone", "redact_phone", P.PHONE_INTERNATIONAL, "phone",
+         digit=True, needs=(("+",),)),
+    Rule("phone_parentheses", "phone", "redact_phone", P.PHONE_PARENTHESES, "phone",
+         digit=True, needs=(("(",),)),
+    Rule("phone_separated", "phone", "redact_phone", P.PHONE_SEPARATED, "phone",
+         digit=True, needs=((" ", "-"),)),
+    Rule("phone_dotted", "phone", "redact_phone", P.PHONE_DOTTED, "phone",
+         digit=True, needs=((".",),)),
+    Rule("ssn", "ssn", "redact_ssn", P.SSN, "account_like", digit=True, needs=((" ", "-"),)),
     Rule("url_token", "url_token", "redact_urls_with_tokens", P.URL_TOKEN,
-         M.mask_url_keep_host, group=1, needs=("=", ":")),
+         "url_keep_host", group=2, needs=(("=",), ("://",))),
     Rule("account_like", "account_like", "redact_account_numbers", P.ACCOUNT,
-         M.mask_account_like, digit=True),
-    Rule("date", "date", "redact_dates", P.DATE, M.mask_account_like,
-         digit=True, needs=("/-.",)),
-    Rule("address", "address", "redact_address", P.ADDRESS, M.mask_address, digit=True),
+         "account_like", digit=True),
+    Rule("date", "date", "redact_dates", P.DATE, "account_like",
+         digit=True, needs=(("/", "-", "."),)),
+    Rule("address", "address", "redact_address", P.ADDRESS, "address", digit=True),
     Rule("ip_address", "ip_address", "redact_ip_addresses", P.IP_ADDRESS,
-         M.mask_account_like, digit=True, needs=(".",)),
-    Rule("iban", "iban", "redact_iban", P.IBAN, M.mask_alphanumeric, digit=True),
-    Rule("passport", "passport", "redact_passport", P.PASSPORT, M.mask_alphanumeric),
-    Rule("salutation", "name", "redact_names_in_salutations", P.SALUTATION, M.mask_name, group=1),
-    Rule("sign_off", "name", "redact_names_in_salutations", P.SIGN_OFF, M.mask_name,
-         group=1, needs=("\n",)),
+         "account_like", digit=True, needs=((".",),)),
+    Rule("iban", "iban", "redact_iban", P.IBAN, "alphanumeric", digit=True),
+    Rule("passport", "passport", "redact_passport", P.PASSPORT, "alphanumeric"),
+    Rule("salutation", "name", "redact_names_in_salutations", P.SALUTATION, "name", group=2,
+         hint=P.SALUTATION_HINT),
+    Rule("sign_off", "name", "redact_names_in_salutations", P.SIGN_OFF, "name",
+         group=2, needs=(("\n",),), hint=P.SIGN_OFF_HINT),
 )
 
 # The 12 entities and the switch of each.

@@ -18,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.columns import let, trim_blanks
+from inkveil.functions.expressions import let, trim_blanks
 from inkveil.operators import passes as P
 from inkveil.operators.joins import BROADCAST_BYTES, join_lookup
-from inkveil.operators.redact import results
+from inkveil.operators.redact import close_with_tokens
 from inkveil.sources.policies import Policy
 from inkveil.sources.tables import scratch_root
 
@@ -50,7 +50,7 @@ def _keys_of_text(for_every_text: bool) -> str:
     )
     extra = "array('')" if for_every_text else "array()"
     keys = f"array_distinct(concat(w, if(size(w) > 1, {pairs}, array()), {extra}))"
-    return let("w", f"regexp_extract_all(__text, r'{PIECE}', 0)", keys)
+    return let("w", f"regexp_extract_all(__state.text, r'{PIECE}', 0)", keys)
 
 
 def _candidates(state: DataFrame, names: DataFrame, key: list[str], limit: int) -> DataFrame:
@@ -87,7 +87,7 @@ def redact_names(df: DataFrame, names: DataFrame, key: str | list[str], text: st
             F.struct(F.lit(n["ord"]).alias("ord"), F.lit(n["name"]).alias("name"))
             for n in sorted(few, key=lambda n: (n["ord"], n["name"]))
         ]
-        candidates = F.array(*listed).cast("array<struct<ord:int,name:string>>")
+        candidates = F.array(*listed).cast(P.NAMES_TYPE)
         joined = state.withColumn("__candidates", candidates)
     else:
         # Two branches read the state: write it once instead of running the
@@ -99,10 +99,4 @@ def redact_names(df: DataFrame, names: DataFrame, key: str | list[str], text: st
         same = [state[k].eqNullSafe(found[f"__{k}"]) for k in keys]
         joined = state.join(found, same, "left").drop(*(f"__{k}" for k in keys))
     masked = P.mask_names(joined, "__candidates")
-    closed = P.close_state(masked, columns)
-    restored = None
-    if policy.allowlist_tokens:
-        tokens = F.array(*(F.lit(t) for t in policy.allowlist_tokens))
-        closed = closed.withColumn("__tokens", tokens)
-        restored = P.restored("__text", "__tokens")
-    return results(closed, text, columns, restored).drop(text)
+    return close_with_tokens(masked, text, columns, policy.allowlist_tokens).drop(text)

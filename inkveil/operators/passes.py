@@ -1,101 +1,101 @@
 """The pass primitive and the sequence of passes.
 
 A pass finds all matches of a rule in the text that the earlier passes have
-left, masks each one and keeps a record of it. The state of a row is
+left, masks each one and keeps a record of it. The column ``__state`` holds
 
-* ``__text``: the current text,
-* ``__found``: one record per match, in order of discovery,
-* ``__end``: where the last match ended, in bytes.
+* ``text``: the current text,
+* ``found``: one record per match, in order of discovery,
+* ``end``: where the last match ended, in bytes.
 
 Records hold their end position as a difference to the record before
-(``step``), which makes each pass linear; ``columns.SPANS`` turns the
+(``step``), which makes each pass linear; ``expressions.SPANS`` turns the
 differences into positions when a caller asks for them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.columns import let, raw
-from inkveil.functions.masks import MARK
+from inkveil.functions.expressions import let, raw
+from inkveil.functions.masks import MARK, MASK_SQL
 from inkveil.functions.rules import RULES, Rule
 
-STATE = ("__text", "__found", "__end")
 FOUND_TYPE = "array<struct<pass:int,entity:string,step:int,size:int>>"
+NAMES_TYPE = "array<struct<ord:int,name:string>>"
+CUT = "\ue000"
 FIRST_CUSTOM_PASS = len(RULES) + 1
 
 
 def _ready(rule: Rule, switch: bool | str) -> str:
     """When it is worth looking for the rule: necessary conditions only."""
     conditions = [] if switch is True else [str(switch)]
-    conditions.append("__digit" if rule.digit else "__text IS NOT NULL")
+    conditions.append("__digit" if rule.digit else "__state.text IS NOT NULL")
     for literals in rule.needs:
-        tests = (f"contains(__text, {_char(ch)})" for ch in literals)
+        tests = (f"contains(__state.text, {_literal(part)})" for part in literals)
         conditions.append("(" + " OR ".join(tests) + ")")
+    if rule.hint:
+        conditions.append(f"__state.text RLIKE {raw(rule.hint)}")
     return " AND ".join(conditions)
 
 
-def _char(ch: str) -> str:
-    return "'\\n'" if ch == "\n" else f"'{ch}'"
+def _literal(part: str) -> str:
+    return "'\\n'" if part == "\n" else f"'{part}'"
 
 
-def _gaps(rule: Rule) -> str:
-    """The text between the masked parts: one more than there are hits."""
-    between = f"split(__text, {raw(rule.pattern)}, -1)"
-    if rule.group == 0:
-        return between
-    # Only the tail of each match is masked, so its head belongs to the gap.
-    heads = (
-        f"zip_with(regexp_extract_all(__text, {raw(rule.pattern)}, 0), __hits, "
-        "(whole, hit) -> left(whole, char_length(whole) - char_length(hit)))"
-    )
-    return f"zip_with({between}, {heads}, (gap, head) -> concat(gap, coalesce(head, '')))"
-
+def _gaps(text: str, pattern: str, group: int = 0) -> str:
+    """The text between the masked parts: one more than there are hits.
 
-def _records(number: str, entity: str, gaps: str, hits: str, end: str) -> str:
-    return (
-        f"transform({hits}, (hit, i) -> named_struct('pass', {number}, 'entity', '{entity}', "
-        f"'step', octet_length(get({gaps}, i)) + octet_length(hit) - if(i = 0, {end}, 0), "
+    The masked parts give way to one character, and the text is split there:
+    unlike ``split`` with a pattern, that compiles the pattern once per task.
+    A text that holds the character already is split by the pattern.
+    """
+    kept = "$1" if group else ""
+    cut = f"split(regexp_replace({text}, {pattern}, '{kept}{CUT}'), '{CUT}', -1)"
+    split = f"split({text}, {pattern}, -1)"
+    if group:
+        heads = f"regexp_extract_all({text}, {pattern}, 1)"
+        split = f"zip_with({split}, {heads}, (gap, head) -> concat(gap, coalesce(head, '')))"
+    return f"if(contains({text}, '{CUT}'), {split}, {cut})"
+
+
+def _rewritten(state: str, number: str, entity: str, mask: str) -> str:
+    """The state after a pass that has ``hits`` with ``gaps`` around them."""
+    woven = (
+        "array_join(zip_with(gaps, hits, (gap, hit) -> "
+        f"concat(gap, coalesce({MASK_SQL[mask]('hit')}, ''))), '')"
+    )
+    records = (
+        f"transform(hits, (hit, i) -> named_struct('pass', {number}, 'entity', '{entity}', "
+        f"'step', octet_length(get(gaps, i)) + octet_length(hit) - if(i = 0, {state}.end, 0), "
         "'size', octet_length(hit)))"
     )
-
-
-@cache
-def _weave(mask) -> Column:
-    pieces = F.zip_with(
-        "__gaps", "__hits", lambda gap, hit: F.concat(gap, F.coalesce(mask(hit), F.lit("")))
+    last_end = f"octet_length({state}.text) - octet_length(element_at(gaps, -1))"
+    return (
+        f"named_struct('text', {woven}, 'found', concat({state}.found, {records}), "
+        f"'end', {last_end})"
     )
-    return F.when(F.expr("size(__hits) > 0"), F.array_join(pieces, "")).otherwise(F.col("__text"))
 
 
-def _apply_rule(df: DataFrame, rule: Rule, number: int, switch: bool | str) -> DataFrame:
-    # One projection per step: each is evaluated once however often it is used.
-    hits = f"regexp_extract_all(__text, {raw(rule.pattern)}, {rule.group})"
-    records = _records(str(number), rule.entity, "__gaps", "__hits", "__end")
-    last_end = "octet_length(__text) - octet_length(element_at(__gaps, -1))"
+def _pass(state: str, ready: str, find: str, gaps: str, rewritten: str) -> str:
+    some = let("gaps", gaps, rewritten)
     return (
-        df.withColumn("__hits", F.expr(f"CASE WHEN {_ready(rule, switch)} THEN {hits} END"))
-        .withColumn("__gaps", F.expr(f"CASE WHEN size(__hits) > 0 THEN {_gaps(rule)} END"))
-        .withColumns({
-            "__text": _weave(rule.mask),
-            "__found": F.expr(f"if(size(__hits) > 0, concat(__found, {records}), __found)"),
-            "__end": F.expr(f"if(size(__hits) > 0, {last_end}, __end)"),
-        })
+        f"CASE WHEN {ready} THEN "
+        + let("hits", find, f"if(size(hits) > 0, {some}, {state})")
+        + f" ELSE {state} END"
     )
 
 
 def start_state(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumns({
-        "__text": F.col(text),
-        "__found": F.when(F.col(text).isNotNull(), F.array().cast(FOUND_TYPE)),
-        "__end": F.lit(0),
-        # No mask writes a digit, so one look at the input is enough.
-        "__digit": F.coalesce(F.col(text).rlike(r"\p{Nd}"), F.lit(False)),
-    })
+    t = F.col(text)
+    state = F.struct(
+        t.alias("text"), F.array().cast(FOUND_TYPE).alias("found"), F.lit(0).alias("end")
+    )
+    # No mask writes a digit, so one look at the input is enough.
+    digit = F.coalesce(t.rlike(r"\p{Nd}"), F.lit(False))
+    return df.withColumns({"__state": state, "__digit": digit})
 
 
 def run_rules(df: DataFrame, switches: Mapping[str, bool | str]) -> DataFrame:
@@ -103,14 +103,23 @@ def run_rules(df: DataFrame, switches: Mapping[str, bool | str]) -> DataFrame:
     that is False leaves its passes out of the plan."""
     for number, rule in enumerate(RULES, start=1):
         switch = switches[rule.toggle]
-        if switch is not False:
-            df = _apply_rule(df, rule, number, switch)
-    return df.drop("__hits", "__gaps", "__digit")
+        if switch is False:
+            continue
+        # One projection per pass: each text is rewritten once, however often
+        # the passes after it look at it.
+        df = df.withColumn("__state", F.expr(_pass(
+            "__state",
+            _ready(rule, switch),
+            f"regexp_extract_all(__state.text, {raw(rule.pattern)}, {rule.group})",
+            _gaps("__state.text", raw(rule.pattern), rule.group),
+            _rewritten("__state", str(number), rule.entity, rule.mask),
+        )))
+    return df.drop("__digit")
 
 
-# A list of names as array<struct<ord,name>>: trimmed, without blank ones.
 def numbered_names(names: str) -> str:
-    trimmed = f"transform({names}, n -> regexp_replace(n, r'(?U)^\\s+|\\s+\\z', ''))"
+    """A list of names as ``NAMES_TYPE``: trimmed, without blank ones."""
+    trimmed = rf"transform({names}, n -> regexp_replace(n, r'(?U)^\s+|\s+\z', ''))"
     return (
         f"transform(filter({trimmed}, n -> n <> ''), "
         "(n, i) -> named_struct('ord', i + 1, 'name', n))"
@@ -118,31 +127,25 @@ def numbered_names(names: str) -> str:
 
 
 def mask_names(df: DataFrame, names: str) -> DataFrame:
-    """Mask the names of ``array<struct<ord,name>>`` one after the other, each
-    one as a pass of its own. The work of a name starts with a plain search."""
+    """Mask the names of an expression of ``NAMES_TYPE`` one after the other,
+    each as a pass of its own. The work of a name starts with a plain search."""
     quoted = r"concat(r'\Q', replace(n.name, r'\E', r'\E\\E\Q'), r'\E')"
     pattern = rf"concat(r'(?U)\b', {quoted}, r'\b')"
-    hits = f"CASE WHEN contains(s.text, n.name) THEN regexp_extract_all(s.text, {pattern}, 0) END"
-    number = f"cast(n.ord as int) + {FIRST_CUSTOM_PASS - 1}"
-    masked = (
-        "named_struct("
-        f"'text', array_join(zip_with(g, h, (gap, hit) -> "
-        f"concat(gap, coalesce(repeat('{MARK}', char_length(hit)), ''))), ''), "
-        f"'found', concat(s.found, {_records(number, 'name', 'g', 'h', 's.end')}), "
-        "'end', octet_length(s.text) - octet_length(element_at(g, -1)))"
+    step = _pass(
+        "s",
+        "contains(s.text, n.name)",
+        f"regexp_extract_all(s.text, {pattern}, 0)",
+        _gaps("s.text", pattern),
+        _rewritten("s", f"n.ord + {FIRST_CUSTOM_PASS - 1}", "name", "name"),
+    )
+    folded = (
+        "CASE WHEN size(__names) > 0 AND __state.text IS NOT NULL "
+        f"THEN aggregate(__names, __state, (s, n) -> {step}) ELSE __state END"
     )
-    step = let("h", hits, (
-        "if(size(h) > 0, " + let("g", f"split(s.text, {pattern}, -1)", masked) + ", s)"
-    ))
-    start = "named_struct('text', __text, 'found', __found, 'end', __end)"
-    folded = f"CASE WHEN size(__names) > 0 THEN aggregate(__names, {start}, (s, n) -> {step}) END"
     return (
         df.withColumn("__names", F.expr(names))
-        .withColumn("__folded", F.expr(folded))
-        .withColumns({
-            c: F.coalesce(F.col("__folded")[c.removeprefix("__")], F.col(c)) for c in STATE
-        })
-        .drop("__names", "__folded")
+        .withColumn("__state", F.expr(folded))
+        .drop("__names")
     )
 
 
@@ -165,5 +168,4 @@ def close_state(df: DataFrame, columns: list[str]) -> DataFrame:
     and copy each expression on its way. Generated columns stop that; filters
     on the other columns still reach the scan.
     """
-    fenced = df.select(*columns, F.explode(F.array(F.struct(*STATE))).alias("__state"))
-    return fenced.select(*columns, "__state.*")
+    return df.select(*columns, F.explode(F.array("__state")).alias("__state"))

@@ -19,7 +19,7 @@ def run_policy(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
     state = P.run_rules(P.start_state(ready, text), switches)
     state = P.mask_names(state, P.numbered_names("__policy.custom_names"))
     closed = P.close_state(state, [*columns, "__policy"])
-    restored = F.coalesce(P.restored("__text", "__policy.allowlist_tokens"), F.col("__text"))
+    restored = F.coalesce(P.restored("__state.text", "__policy.allowlist_tokens"), F.col("__state.text"))
     return results(closed, text, columns, restored)
 
 

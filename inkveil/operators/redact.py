@@ -5,28 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.columns import SPANS
+from inkveil.functions.expressions import SPANS
 from inkveil.operators import passes as P
 from inkveil.sources.policies import Policy
 
-# Matches per entity, as a map; at most one entry per entity.
+# Matches per entity, as a map with at most one entry per entity.
 COUNTS = (
-    "map_from_entries(transform(array_distinct(__found.entity), "
-    "e -> named_struct('entity', e, 'n', size(filter(__found, r -> r.entity = e)))))"
+    "map_from_entries(transform(array_distinct(__state.found.entity), "
+    "e -> named_struct('entity', e, 'n', size(filter(__state.found.entity, x -> x = e)))))"
 )
 
 
 def results(closed: DataFrame, text: str, columns: list[str],
             restored: Column | None = None) -> DataFrame:
     """Turn the closed state into result columns."""
-    final = F.col("__text") if restored is None else restored
+    final = F.col("__state.text") if restored is None else restored
+    read = F.col(text).isNotNull()
     return closed.withColumn("redacted_text", final).select(
         *columns,
         "redacted_text",
         (F.col("redacted_text") != F.col(text)).alias("changed"),
-        F.size("__found").alias("n_matches"),
-        F.expr(COUNTS).alias("entity_counts"),
-        F.expr(SPANS).alias("matches"),
+        F.when(read, F.size("__state.found")).alias("n_matches"),
+        F.when(read, F.expr(COUNTS)).alias("entity_counts"),
+        F.when(read, F.expr(SPANS)).alias("matches"),
     )
 
 
@@ -34,6 +35,15 @@ def _literal_list(values: tuple[str, ...]) -> Column:
     return F.array(*(F.lit(v) for v in values)).cast("array<string>")
 
 
+def close_with_tokens(state: DataFrame, text: str, columns: list[str],
+                      tokens: tuple[str, ...]) -> DataFrame:
+    closed = P.close_state(state, columns)
+    if not tokens:
+        return results(closed, text, columns)
+    listed = closed.withColumn("__tokens", _literal_list(tokens))
+    return results(listed, text, columns, P.restored("__state.text", "__tokens"))
+
+
 def scan(df: DataFrame, text: str = "text", policy: Policy | None = None) -> DataFrame:
     """All columns of ``df`` plus the result columns; NULL texts stay, with
     NULL results. A disabled policy lets no row through."""
@@ -45,12 +55,7 @@ def scan(df: DataFrame, text: str = "text", policy: Policy | None = None) -> Dat
     if policy.custom_names:
         listed = state.withColumn("__list", _literal_list(policy.custom_names))
         state = P.mask_names(listed, P.numbered_names("__list"))
-    closed = P.close_state(state, columns)
-    restored = None
-    if policy.allowlist_tokens:
-        closed = closed.withColumn("__tokens", _literal_list(policy.allowlist_tokens))
-        restored = P.restored("__text", "__tokens")
-    return results(closed, text, columns, restored)
+    return close_with_tokens(state, text, columns, policy.allowlist_tokens)
 
 
 def redact(df: DataFrame, text: str = "text", policy: Policy | None = None) -> DataFrame:
