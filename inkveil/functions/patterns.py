@@ -66,9 +66,9 @@ def first_letters(words: list[str]) -> str:
 
 
 def last_letters(words: list[str]) -> str:
-    """The two letters that each word ends with, or a blank."""
+    """The two letters that each word ends with."""
     ends = sorted({w[-2:] for w in words})
-    return "(?:" + "|".join(any_case(e) for e in ends) + r"|\s)"
+    return "(?:" + "|".join(any_case(e) for e in ends) + ")"
 
 
 def one_of(words: list[str], joint: str = " ") -> str:
@@ -82,7 +82,7 @@ LABELED_FIELD = (
     "(?U)" + first_letters(LABELS) + r"\b" + _LABEL + r"\s*+[:=]\s*+\S++"
 )
 LABELED_FIELD_HINT = (
-    rf"(?U)[:=](?<=(?:{last_letters(LABELS)}|[oO]\.?[bB]\.?)[:=])\s*+\S"
+    rf"(?U)[:=](?<=(?:{last_letters(LABELS)}|[oO]\.?[bB]\.?|\s)[:=])\s*+\S"
 )
 
 # The address starts at the first word boundary of a run of local-part
@@ -140,9 +140,13 @@ PASSPORT = (
 # Only the name, group 2, is masked; it always ends where the match ends.
 _NAME = r"([A-Z][a-z]{1,30}(?:\s++[A-Z][a-z]{1,30})?)"
 SALUTATION = rf"(?U)({first_letters(GREETINGS)}{one_of(GREETINGS, r'\s++')}\s++){_NAME}\b"
-SALUTATION_HINT = rf"(?U)[A-Z](?<={last_letters(GREETINGS)}\s[A-Z])[a-z]"
+SALUTATION_HINT = rf"(?U)[A-Z](?<=(?:{last_letters(GREETINGS)}|\s)\s[A-Z])[a-z]"
 SIGN_OFF = (
     rf"(?U)({first_letters(SIGN_OFFS)}{one_of(SIGN_OFFS, r'\s++')}"
     rf"(?:\s*+,)?(?=[^\S\n]*+\n)\s*+){_NAME}"
 )
-SIGN_OFF_HINT = rf"(?U)\n(?<=(?:{last_letters(SIGN_OFFS)}|,)\n)\s*+[A-Z][a-z]"
+# The first line end after the sign-off: right behind it, or behind a blank.
+SIGN_OFF_HINT = (
+    rf"(?U)\n(?:(?<=(?:{last_letters(SIGN_OFFS)}|,)\r?\n)\s*+[A-Z][a-z]"
+    r"|(?<=(?:[^\S\r\n]|\s\r)\n))"
+)
