@@ -20,8 +20,8 @@ def read_texts(spark: SparkSession, path: str, fmt: str = "parquet", schema=None
         raise ValueError(f"unknown format: {fmt}")
     reader = spark.read.format(fmt).options(**options)
     if fmt == "csv":
-        # Texts may hold line ends and quotes.
-        reader = reader.options(header=True, multiLine=True, escape='"')
+        # Texts may hold line ends and quotes, and "" is not NULL.
+        reader = reader.options(header=True, multiLine=True, escape='"', nullValue="\0")
     if schema is not None:
         reader = reader.schema(schema)
     return reader.load(path)
