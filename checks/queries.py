@@ -316,7 +316,6 @@ register(
             table(s, d, "customer").select(
                 (F.col("c_custkey") + 1).alias("ord"), F.col("c_name").alias("name")
             ),
-            "msg_id",
         ),
         "msg_id",
     ),

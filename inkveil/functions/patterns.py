@@ -72,7 +72,14 @@ def last_letters(words: list[str]) -> str:
 
 
 def one_of(words: list[str], joint: str = " ") -> str:
-    return "(?:" + "|".join(any_case(w, joint) for w in words) + ")"
+    """One of the words, tried by first letter."""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        by_first.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(
+        any_case(first) + "(?:" + "|".join(any_case(rest, joint) for rest in rests) + ")"
+        for first, rests in by_first.items()
+    ) + ")"
 
 
 _LABEL = "(?:" + "|".join(
@@ -95,14 +102,27 @@ EMAIL = (
     rf"({_LOCAL}++@[{LETTERS}0-9.\-]+\.[{LETTERS}]{{2,}}\b)"
 )
 
+EMAIL_HINT = rf"@(?<={_LOCAL}@)[{LETTERS}0-9.\-]"
+
+# The stretches of a text that rules about numbers can match in: a digit and
+# the digits, blanks and separators after it. A ``_SHAPE`` is a necessary
+# condition of its pattern on these stretches alone, which are far shorter
+# than the text. Masks only ever take digits away.
+NUMBERS = r"(?U)\d[\d\s()./\-]*+"
+
 PHONE_INTERNATIONAL = (
     r"(?U)\+\d{1,3}[ \-]?\(?\d{2,4}\)?[ \-]?\d{3,4}[ \-]?\d{3,4}\b"
 )
+PHONE_INTERNATIONAL_SHAPE = r"(?U)\d{2}\)?[ \-]?\d{3,4}[ \-]?\d{3}"
 PHONE_PARENTHESES = r"(?U)\(\d{3}\)\s*+\d{3}[ \-]?\d{4}\b"
+PHONE_PARENTHESES_SHAPE = r"(?U)\d{3}\)\s*+\d{3}[ \-]?\d{4}"
 PHONE_SEPARATED = r"(?U)(?=\d)\b\d{3}[ \-]\d{3}[ \-]\d{4}\b"
+PHONE_SEPARATED_SHAPE = r"(?U)\d{3}[ \-]\d{3}[ \-]\d{4}"
 PHONE_DOTTED = r"(?U)(?=\d)\b\d{3}\.\d{3}\.\d{4}\b"
+PHONE_DOTTED_SHAPE = r"(?U)\d{3}\.\d{3}\.\d{4}"
 
 SSN = r"(?U)(?=\d)\b\d{3}[\- ]\d{2}[\- ]\d{4}\b"
+SSN_SHAPE = r"(?U)\d{3}[\- ]\d{2}[\- ]\d{4}"
 
 # A URL match always runs to the next blank, so a run without blanks holds at
 # most one: each run is entered once and group 2 starts at its first "http".
@@ -113,24 +133,29 @@ URL_TOKEN = (
 )
 
 ACCOUNT = r"(?U)(?=\d)\b(?:\d[ \-]?){10,19}\b"
+ACCOUNT_SHAPE = r"(?U)(?:\d[ \-]?){10}"
 
 DATE = (
     r"(?U)(?=\d)\b(?:\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}"
     r"|\d{4}[/\-.]\d{1,2}[/\-.]\d{1,2})\b"
 )
+DATE_SHAPE = r"(?U)\d[/\-.]\d{1,2}[/\-.]\d"
 
 ADDRESS = (
     rf"(?U)(?=\d)\b\d{{1,6}}\s++[{LETTERS}0-9][{LETTERS}0-9.\- ]{{2,40}}\s"
-    rf"{one_of(STREET_TYPES)}\b[^\n,]{{0,40}}"
+    rf"{first_letters(STREET_TYPES)}{one_of(STREET_TYPES)}\b[^\n,]{{0,40}}"
 )
+ADDRESS_SHAPE = r"(?U)\d\s"
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 IP_ADDRESS = rf"(?U)(?=[0-9])\b(?:{_OCTET}\.){{3}}{_OCTET}\b"
+IP_ADDRESS_SHAPE = r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"
 
 IBAN = (
     r"(?U)(?=[A-Z])\b[A-Z]{2}\d{2} ?[A-Z0-9]{4}(?: ?[A-Z0-9]{4}){1,7}"
     r"(?: ?[A-Z0-9]{1,4})?\b"
 )
+IBAN_SHAPE = r"(?U)\d{2}"
 
 PASSPORT = (
     rf"(?U){any_case('passport')}\s*+{one_of(PASSPORT_MARKS)}?\s*+[:=]?\s*+"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 << 20
@@ -15,8 +15,8 @@ def table_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("n")).first()["n"]
 
 
-def join_lookup(large: DataFrame, lookup: DataFrame, on: str, spread_by: Column,
-                how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
+def join_lookup(large: DataFrame, lookup: DataFrame, on: str, how: str = "inner",
+                limit: int = BROADCAST_BYTES) -> DataFrame:
     """Equi-join with a lookup table on the column ``on`` of both.
 
     The lookup is broadcast when its measured size is within ``limit``. Beyond
@@ -25,7 +25,12 @@ def join_lookup(large: DataFrame, lookup: DataFrame, on: str, spread_by: Column,
     """
     if table_bytes(lookup) <= limit:
         return large.join(F.broadcast(lookup), on, how)
-    salted = large.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    # The salt is a function of the row and its partition: a task that runs
+    # again sends its rows to the same places. The partition sets apart copies
+    # that are equal in every column.
+    hashed = [c for c, t in large.dtypes if "map<" not in t and "variant" not in t]
+    salt = F.pmod(F.xxhash64(*hashed) + F.spark_partition_id(), F.lit(SALTS))
+    salted = large.withColumn("__salt", salt.cast("int"))
     copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # The size estimate of a plan may be wrong: rule the broadcast out.
     return salted.join(copies.hint("merge"), [on, "__salt"], how).drop("__salt")

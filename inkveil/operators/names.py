@@ -23,7 +23,7 @@ from inkveil.operators import passes as P
 from inkveil.operators.joins import BROADCAST_BYTES, join_lookup
 from inkveil.operators.redact import close_with_tokens
 from inkveil.sources.policies import Policy
-from inkveil.sources.tables import scratch_root
+from inkveil.sources.tables import new_folder
 
 # Up to this many names are a literal list in the plan, without any join.
 SMALL_LIST = 200
@@ -53,28 +53,38 @@ def _keys_of_text(for_every_text: bool) -> str:
     return let("w", f"regexp_extract_all(__state.text, r'{PIECE}', 0)", keys)
 
 
-def _candidates(state: DataFrame, names: DataFrame, key: list[str], limit: int) -> DataFrame:
+def _candidates(state: DataFrame, names: DataFrame, limit: int) -> DataFrame:
     keyed = _keyed(names)
     for_every_text = bool(keyed.filter("__key = ''").limit(1).collect())
-    words = state.select(*key, F.explode(F.expr(_keys_of_text(for_every_text))).alias("__key"))
-    pairs = join_lookup(words, keyed, "__key", F.struct(*key), "inner", limit)
+    words = state.select("__row", F.explode(F.expr(_keys_of_text(for_every_text))).alias("__key"))
+    pairs = join_lookup(words, keyed, "__key", "inner", limit)
     listed = F.array_sort(F.collect_set(F.struct("ord", "name")))
-    return pairs.groupBy(*key).agg(listed.alias("__candidates"))
+    return pairs.groupBy("__row").agg(listed.alias("__candidates"))
 
 
-def redact_names(df: DataFrame, names: DataFrame, key: str | list[str], text: str = "text",
+def _written(state: DataFrame) -> DataFrame:
+    """Write the state once, with a number for each row.
+
+    Two branches read it: neither runs the rules again, a lost executor costs
+    no more than reading its part anew, and the numbers are fixed from here on.
+    """
+    path = new_folder(state.sparkSession)
+    state.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    return state.sparkSession.read.parquet(path)
+
+
+def redact_names(df: DataFrame, names: DataFrame, text: str = "text",
                  policy: Policy | None = None, small: int = SMALL_LIST,
                  limit: int = BROADCAST_BYTES) -> DataFrame:
     """``redact`` with custom names from a table (ord, name).
 
-    ``key`` names the column or columns that tell the texts apart; a key that
-    occurs more than once costs time, not exactness. Pass numbers of names are
-    16 + ord; names of equal ord run in alphabetical order.
+    Pass numbers of names are 16 + ord; names of equal ord run in alphabetical
+    order. A table of more than ``small`` names takes a join; then the texts
+    pass through a table in the shared folder of the session.
     """
     policy = policy or Policy()
     if policy.custom_names:
         raise ValueError("give the names either in the policy or as a table")
-    keys = [key] if isinstance(key, str) else list(key)
     columns = df.columns
     texts = df.filter(F.col(text).isNotNull())
     if not policy.enabled:
@@ -90,13 +100,7 @@ def redact_names(df: DataFrame, names: DataFrame, key: str | list[str], text: st
         candidates = F.array(*listed).cast(P.NAMES_TYPE)
         joined = state.withColumn("__candidates", candidates)
     else:
-        # Two branches read the state: write it once instead of running the
-        # rules twice, and let a lost executor read it again.
-        scratch_root(df.sparkSession)
-        state = state.checkpoint()
-        renamed = [F.col(k).alias(f"__{k}") for k in keys]
-        found = _candidates(state, cleaned, keys, limit).select(*renamed, "__candidates")
-        same = [state[k].eqNullSafe(found[f"__{k}"]) for k in keys]
-        joined = state.join(found, same, "left").drop(*(f"__{k}" for k in keys))
+        state = _written(state)
+        joined = state.join(_candidates(state, cleaned, limit), "__row", "left")
     masked = P.mask_names(joined, "__candidates")
     return close_with_tokens(masked, text, columns, policy.allowlist_tokens).drop(text)

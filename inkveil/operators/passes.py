@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.expressions import let, raw
 from inkveil.functions.masks import MARK, MASK_SQL
+from inkveil.functions.patterns import NUMBERS
 from inkveil.functions.rules import RULES, Rule
 
 FOUND_TYPE = "array<struct<pass:int,entity:string,step:int,size:int>>"
@@ -32,7 +33,9 @@ FIRST_CUSTOM_PASS = len(RULES) + 1
 def _ready(rule: Rule, switch: bool | str) -> str:
     """When it is worth looking for the rule: necessary conditions only."""
     conditions = [] if switch is True else [str(switch)]
-    conditions.append("__digit" if rule.digit else "__state.text IS NOT NULL")
+    conditions.append("__state.text IS NOT NULL")
+    if rule.shape:
+        conditions.append(f"__numbers RLIKE {raw(rule.shape)}")
     for literals in rule.needs:
         tests = (f"contains(__state.text, {_literal(part)})" for part in literals)
         conditions.append("(" + " OR ".join(tests) + ")")
@@ -93,9 +96,10 @@ def start_state(df: DataFrame, text: str) -> DataFrame:
     state = F.struct(
         t.alias("text"), F.array().cast(FOUND_TYPE).alias("found"), F.lit(0).alias("end")
     )
-    # No mask writes a digit, so one look at the input is enough.
-    digit = F.coalesce(t.rlike(r"\p{Nd}"), F.lit(False))
-    return df.withColumns({"__state": state, "__digit": digit})
+    # No mask writes a digit, so the stretches of numbers in the input hold for
+    # all passes.
+    numbers = f"array_join(regexp_extract_all(`{text}`, {raw(NUMBERS)}, 0), 'x')"
+    return df.withColumns({"__state": state, "__numbers": F.expr(numbers)})
 
 
 def run_rules(df: DataFrame, switches: Mapping[str, bool | str]) -> DataFrame:
@@ -114,7 +118,7 @@ def run_rules(df: DataFrame, switches: Mapping[str, bool | str]) -> DataFrame:
             _gaps("__state.text", raw(rule.pattern), rule.group),
             _rewritten("__state", str(number), rule.entity, rule.mask),
         )))
-    return df.drop("__digit")
+    return df.drop("__numbers")
 
 
 def numbered_names(names: str) -> str:

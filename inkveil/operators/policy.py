@@ -35,5 +35,5 @@ def redact_with_policy(df: DataFrame, policies: DataFrame, scope: str, text: str
         F.col("scope").alias("__scope"), F.struct(*complete.columns[1:]).alias("__policy")
     )
     scoped = df.withColumn("__scope", F.col(scope).cast("string"))
-    joined = join_lookup(scoped, lookup, "__scope", F.col(text), "left", limit)
+    joined = join_lookup(scoped, lookup, "__scope", "left", limit)
     return run_policy(joined, text, df.columns).drop(text)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkveil.functions.expressions import raw
+from inkveil.functions.patterns import NUMBERS
 from inkveil.functions.rules import ENTITIES, RULES
 from inkveil.operators.redact import redact
 from inkveil.sources.policies import Policy
@@ -62,8 +63,9 @@ def test_conditions_are_necessary(texts, rule):
     _, df = texts
     hit = df.filter(f"text RLIKE {raw(rule.pattern)}")
     missed = F.lit(False)
-    if rule.digit:
-        missed = missed | ~F.col("text").rlike(r"\p{Nd}")
+    if rule.shape:
+        numbers = F.array_join(F.regexp_extract_all("text", F.lit(NUMBERS), F.lit(0)), "x")
+        missed = missed | ~numbers.rlike(rule.shape)
     for literals in rule.needs:
         missed = missed | ~F.exists(
             F.array(*(F.lit(p) for p in literals)), lambda p: F.contains("text", p)

@@ -54,7 +54,7 @@ def expected(rows, listed):
 def test_names_table(cases, small, limit):
     rows, df, listed, names = cases
     want = expected(rows, listed)
-    got = redact_names(df, names, "id", small=small, limit=limit).collect()
+    got = redact_names(df, names, small=small, limit=limit).collect()
     assert len(got) == len(rows)
     for row in got:
         found = [(m["pass"], m["entity"], m["start"], m["end"]) for m in row["matches"]]
@@ -65,7 +65,7 @@ def test_repeated_and_missing_keys(spark):
     rows = [(1, "Alice"), (1, "Bob"), (None, "Bob"), (None, "clean"), (2, None)]
     df = spark.createDataFrame(rows, "id int, text string")
     names = spark.createDataFrame([(1, "Alice"), (2, "Bob")], "ord int, name string")
-    got = redact_names(df, names, "id", small=0).select("id", "redacted_text").collect()
+    got = redact_names(df, names, small=0).select("id", "redacted_text").collect()
     assert sorted(map(str, [tuple(r) for r in got])) == sorted(map(str, [
         (1, "XXXXX"), (1, "XXX"), (None, "XXX"), (None, "clean"),
     ]))
@@ -77,7 +77,7 @@ def test_a_name_that_every_text_holds(spark):
     names = spark.range(300).selectExpr(
         "cast(id AS int) AS ord", "if(id = 0, 'the', concat('n', id)) AS name"
     )
-    got = redact_names(df, names, "id", limit=1)
+    got = redact_names(df, names, limit=1)
     assert got.count() == 3000
     assert got.filter("redacted_text = concat('XXX word ', id, ' XXX end') AND n_matches = 2").count() == 3000
 
@@ -86,7 +86,7 @@ def test_table_agrees_with_list(spark):
     df = spark.createDataFrame([(1, "Dear Alice, a@b.com met Bob")], "id int, text string")
     names = spark.createDataFrame([(1, "Bob"), (2, "met")], "ord int, name string")
     policy = Policy(off=frozenset({"redact_email"}), allowlist_tokens=("abc",))
-    by_table = redact_names(df, names, "id", policy=policy, small=0).collect()
+    by_table = redact_names(df, names, policy=policy, small=0).collect()
     by_list = redact(
         df, "text", Policy(off=policy.off, custom_names=("Bob", "met"), allowlist_tokens=("abc",))
     ).collect()
