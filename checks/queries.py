@@ -492,6 +492,16 @@ register(
     lambda s, d: flat(s.read.parquet(_governed(s, d) + "/rows"), "msg_id", "priority"),
     _policy_sql(MESSAGES, "priority", _URGENT, "msg_id, priority"),
 )
+_SCOPED_HITS = _policy_sql(MESSAGES, "priority", _URGENT, "msg_id, priority, m")
+register(
+    "stream_notices",
+    lambda s, d: s.read.parquet(_governed(s, d) + "/notices")
+    .groupBy("priority", "entity")
+    .agg(F.sum("n_matches").alias("n_matches"), F.sum("n_docs").alias("n_docs")),
+    "SELECT priority, entity, count(*) AS n_matches, count(DISTINCT msg_id) AS n_docs FROM "
+    f"(SELECT priority, msg_id, unnest(m).entity AS entity FROM ({_SCOPED_HITS})) "
+    "GROUP BY priority, entity",
+)
 register(
     "stream_windowed_counts",
     _windowed,

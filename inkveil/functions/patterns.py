@@ -65,9 +65,9 @@ def first_letters(words: list[str]) -> str:
     return "(?=[" + "".join(any_case(c)[1:-1] for c in letters) + "])"
 
 
-def last_letters(words: list[str]) -> str:
-    """The two letters that each word ends with."""
-    ends = sorted({w[-2:] for w in words})
+def last_letters(words: list[str], n: int) -> str:
+    """The n letters that each word ends with; its last part, if that is shorter."""
+    ends = sorted({w.split()[-1][-n:] for w in words})
     return "(?:" + "|".join(any_case(e) for e in ends) + ")"
 
 
@@ -88,9 +88,9 @@ _LABEL = "(?:" + "|".join(
 LABELED_FIELD = (
     "(?U)" + first_letters(LABELS) + r"\b" + _LABEL + r"\s*+[:=]\s*+\S++"
 )
-LABELED_FIELD_HINT = (
-    rf"(?U)[:=](?<=(?:{last_letters(LABELS)}|[oO]\.?[bB]\.?|\s)[:=])\s*+\S"
-)
+# The end of a label and up to two blanks, or more blanks, before the sign.
+_LABEL_END = last_letters(LABELS, 5)[:-1] + r"|[oO]\.?[bB]\.?)"
+LABELED_FIELD_HINT = rf"(?U)[:=](?<=(?:{_LABEL_END}\s{{0,2}}|\s{{3}})[:=])\s*+\S"
 
 # The address starts at the first word boundary of a run of local-part
 # characters. Entering each run once, at its start or where the last match
@@ -152,7 +152,7 @@ IP_ADDRESS = rf"(?U)(?=[0-9])\b(?:{_OCTET}\.){{3}}{_OCTET}\b"
 IP_ADDRESS_SHAPE = r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"
 
 IBAN = (
-    r"(?U)(?=[A-Z])\b[A-Z]{2}\d{2} ?[A-Z0-9]{4}(?: ?[A-Z0-9]{4}){1,7}"
+    r"(?U)(?=[A-Z]{2}\d)\b[A-Z]{2}\d{2} ?[A-Z0-9]{4}(?: ?[A-Z0-9]{4}){1,7}"
     r"(?: ?[A-Z0-9]{1,4})?\b"
 )
 IBAN_SHAPE = r"(?U)\d{2}"
@@ -165,13 +165,15 @@ PASSPORT = (
 # Only the name, group 2, is masked; it always ends where the match ends.
 _NAME = r"([A-Z][a-z]{1,30}(?:\s++[A-Z][a-z]{1,30})?)"
 SALUTATION = rf"(?U)({first_letters(GREETINGS)}{one_of(GREETINGS, r'\s++')}\s++){_NAME}\b"
-SALUTATION_HINT = rf"(?U)[A-Z](?<=(?:{last_letters(GREETINGS)}|\s)\s[A-Z])[a-z]"
+SALUTATION_HINT = (
+    rf"(?U)[A-Z](?<=(?:{last_letters(GREETINGS, 3)}\s{{1,2}}|\s{{3}})[A-Z])[a-z]"
+)
 SIGN_OFF = (
     rf"(?U)({first_letters(SIGN_OFFS)}{one_of(SIGN_OFFS, r'\s++')}"
     rf"(?:\s*+,)?(?=[^\S\n]*+\n)\s*+){_NAME}"
 )
 # The first line end after the sign-off: right behind it, or behind a blank.
 SIGN_OFF_HINT = (
-    rf"(?U)\n(?:(?<=(?:{last_letters(SIGN_OFFS)}|,)\r?\n)\s*+[A-Z][a-z]"
+    rf"(?U)\n(?:(?<=(?:{last_letters(SIGN_OFFS, 3)}|,)\r?\n)\s*+[A-Z][a-z]"
     r"|(?<=(?:[^\S\r\n]|\s\r)\n))"
 )
