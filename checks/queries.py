@@ -474,14 +474,18 @@ def _governed(s: SparkSession, d: str) -> str:
 
 def _windowed(s: SparkSession, d: str) -> DataFrame:
     base = new_folder(s)
-    stream = messages(s, _stream(s, d, "orders")).withColumn("ts", F.col("ts").cast("timestamp"))
+    # The tables hold times without a zone: take them as UTC, whatever the session's zone.
+    utc, local = F.lit("UTC"), F.current_timezone()
+    ts = F.convert_timezone(utc, local, "ts").cast("timestamp")
+    stream = messages(s, _stream(s, d, "orders")).withColumn("ts", ts)
     counts = jobs.windowed_counts(stream, "ts", width="7 days", delay="10 minutes")
     counts.writeStream.format("parquet").outputMode("append").option(
         "path", f"{base}/sink"
     ).option("checkpointLocation", f"{base}/state").trigger(**jobs.DRAIN).start().awaitTermination()
     out = s.read.parquet(f"{base}/sink")
     return out.withColumns({
-        c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")
+        c: F.convert_timezone(local, utc, F.col(c).cast("timestamp_ntz"))
+        for c in ("window_start", "window_end")
     })
 
 

@@ -37,17 +37,13 @@ def _ready(rule: Rule, switch: bool | str) -> str:
     if rule.shape:
         conditions.append(f"__numbers RLIKE {raw(rule.shape)}")
     for literals in rule.needs:
-        tests = (f"contains(__state.text, {_literal(part)})" for part in literals)
+        tests = (f"contains(__state.text, '{part}')" for part in literals)
         conditions.append("(" + " OR ".join(tests) + ")")
     if rule.hint:
         conditions.append(f"__state.text RLIKE {raw(rule.hint)}")
     return " AND ".join(conditions)
 
 
-def _literal(part: str) -> str:
-    return "'\\n'" if part == "\n" else f"'{part}'"
-
-
 def _gaps(text: str, pattern: str, group: int = 0) -> str:
     """The text between the masked parts: one more than there are hits.
 
@@ -92,6 +88,9 @@ def _pass(state: str, ready: str, find: str, gaps: str, rewritten: str) -> str:
 
 
 def start_state(df: DataFrame, text: str) -> DataFrame:
+    if df.sparkSession.conf.get("spark.sql.parser.escapedStringLiterals") == "true":
+        # The patterns are raw SQL literals, which that setting turns off.
+        raise ValueError("spark.sql.parser.escapedStringLiterals must be false")
     t = F.col(text)
     state = F.struct(
         t.alias("text"), F.array().cast(FOUND_TYPE).alias("found"), F.lit(0).alias("end")

@@ -129,10 +129,20 @@ def test_long_clean_text(spark):
 
 
 def test_many_matches_in_one_text(spark):
-    n = 5000
+    n = 100_000
     text = "mail a@b.com, " * n
     row = redact(spark.createDataFrame([(text,)], "text string")).first()
     assert row["n_matches"] == n
     assert [(m["start"], m["end"]) for m in row["matches"]] == [
         (14 * i + 5, 14 * i + 12) for i in range(n)
     ]
+
+
+def test_setting_that_breaks_the_patterns_is_refused(spark):
+    df = spark.createDataFrame([("a@b.com",)], "text string")
+    spark.conf.set("spark.sql.parser.escapedStringLiterals", "true")
+    try:
+        with pytest.raises(ValueError):
+            redact(df)
+    finally:
+        spark.conf.unset("spark.sql.parser.escapedStringLiterals")
