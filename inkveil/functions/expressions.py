@@ -18,6 +18,11 @@ def raw(pattern: str) -> str:
     return f"r'{pattern}'"
 
 
+def quoted(column: str) -> str:
+    """A column name as SQL text; names may hold dots and blanks."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def let(name: str, value: str, body: str) -> str:
     """Bind ``value`` once and use it many times in ``body``.
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.expressions import let, trim_blanks
+from inkveil.functions.expressions import let, quoted, trim_blanks
 from inkveil.operators import passes as P
 from inkveil.operators.joins import BROADCAST_BYTES, join_lookup
 from inkveil.operators.redact import close_with_tokens
@@ -86,7 +86,7 @@ def redact_names(df: DataFrame, names: DataFrame, text: str = "text",
     if policy.custom_names:
         raise ValueError("give the names either in the policy or as a table")
     columns = df.columns
-    texts = df.filter(F.col(text).isNotNull())
+    texts = df.filter(F.col(quoted(text)).isNotNull())
     if not policy.enabled:
         texts = texts.filter(F.lit(False))
     state = P.run_rules(P.start_state(texts, text), policy.switches())

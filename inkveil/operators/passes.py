@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.expressions import let, raw
+from inkveil.functions.expressions import let, quoted, raw
 from inkveil.functions.masks import MARK, MASK_SQL
 from inkveil.functions.patterns import NUMBERS
 from inkveil.functions.rules import RULES, Rule
@@ -91,13 +91,13 @@ def start_state(df: DataFrame, text: str) -> DataFrame:
     if df.sparkSession.conf.get("spark.sql.parser.escapedStringLiterals") == "true":
         # The patterns are raw SQL literals, which that setting turns off.
         raise ValueError("spark.sql.parser.escapedStringLiterals must be false")
-    t = F.col(text)
+    t = F.col(quoted(text))
     state = F.struct(
         t.alias("text"), F.array().cast(FOUND_TYPE).alias("found"), F.lit(0).alias("end")
     )
     # No mask writes a digit, so the stretches of numbers in the input hold for
     # all passes.
-    numbers = f"array_join(regexp_extract_all(`{text}`, {raw(NUMBERS)}, 0), 'x')"
+    numbers = f"array_join(regexp_extract_all({quoted(text)}, {raw(NUMBERS)}, 0), 'x')"
     return df.withColumns({"__state": state, "__numbers": F.expr(numbers)})
 
 
@@ -171,4 +171,5 @@ def close_state(df: DataFrame, columns: list[str]) -> DataFrame:
     and copy each expression on its way. Generated columns stop that; filters
     on the other columns still reach the scan.
     """
-    return df.select(*columns, F.explode(F.array("__state")).alias("__state"))
+    kept = [F.col(quoted(c)) for c in columns]
+    return df.select(*kept, F.explode(F.array("__state")).alias("__state"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.functions.expressions import quoted
 from inkveil.operators import passes as P
 from inkveil.operators.joins import BROADCAST_BYTES, join_lookup
 from inkveil.operators.redact import results
@@ -14,7 +15,7 @@ from inkveil.sources.policies import SWITCHES, with_defaults
 def run_policy(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
     """Redact by the policy in the column ``__policy`` of each row; rows
     without one follow the default, rows of a disabled one are left out."""
-    ready = df.filter(F.col(text).isNotNull() & F.expr("coalesce(__policy.enabled, true)"))
+    ready = df.filter(F.col(quoted(text)).isNotNull() & F.expr("coalesce(__policy.enabled, true)"))
     switches = {s: f"coalesce(__policy.{s}, true)" for s in SWITCHES}
     state = P.run_rules(P.start_state(ready, text), switches)
     state = P.mask_names(state, P.numbered_names("__policy.custom_names"))
@@ -34,6 +35,6 @@ def redact_with_policy(df: DataFrame, policies: DataFrame, scope: str, text: str
     lookup = complete.select(
         F.col("scope").alias("__scope"), F.struct(*complete.columns[1:]).alias("__policy")
     )
-    scoped = df.withColumn("__scope", F.col(scope).cast("string"))
+    scoped = df.withColumn("__scope", F.col(quoted(scope)).cast("string"))
     joined = join_lookup(scoped, lookup, "__scope", "left", limit)
     return run_policy(joined, text, df.columns).drop(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.expressions import SPANS
+from inkveil.functions.expressions import SPANS, quoted
 from inkveil.operators import passes as P
 from inkveil.sources.policies import Policy
 
@@ -20,11 +20,12 @@ def results(closed: DataFrame, text: str, columns: list[str],
             restored: Column | None = None) -> DataFrame:
     """Turn the closed state into result columns."""
     final = F.col("__state.text") if restored is None else restored
-    read = F.col(text).isNotNull()
+    original = F.col(quoted(text))
+    read = original.isNotNull()
     return closed.withColumn("redacted_text", final).select(
-        *columns,
+        *(F.col(quoted(c)) for c in columns),
         "redacted_text",
-        (F.col("redacted_text") != F.col(text)).alias("changed"),
+        (F.col("redacted_text") != original).alias("changed"),
         F.when(read, F.size("__state.found")).alias("n_matches"),
         F.when(read, F.expr(COUNTS)).alias("entity_counts"),
         F.when(read, F.expr(SPANS)).alias("matches"),
@@ -67,7 +68,7 @@ def redact(df: DataFrame, text: str = "text", policy: Policy | None = None) -> D
     select is not computed. Rows without a text have no output; unchanged rows
     do. No shuffle.
     """
-    return scan(df.filter(F.col(text).isNotNull()), text, policy).drop(text)
+    return scan(df.filter(F.col(quoted(text)).isNotNull()), text, policy).drop(text)
 
 
 def findings(redacted: DataFrame, *key: str) -> DataFrame:
@@ -82,4 +83,4 @@ def findings(redacted: DataFrame, *key: str) -> DataFrame:
 def restore_allowlist(df: DataFrame, column: str, tokens: list[str]) -> DataFrame:
     """Put the tokens back over runs of marks of their length, in list order."""
     listed = df.withColumn("__tokens", _literal_list(tuple(tokens)))
-    return listed.withColumn(column, P.restored(f"`{column}`", "__tokens")).drop("__tokens")
+    return listed.withColumn(column, P.restored(quoted(column), "__tokens")).drop("__tokens")

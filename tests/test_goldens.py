@@ -7,8 +7,10 @@ from pathlib import Path
 
 import pytest
 
+from inkveil.operators.names import redact_names
+from inkveil.operators.policy import redact_with_policy
 from inkveil.operators.redact import redact, scan
-from inkveil.sources.policies import Policy
+from inkveil.sources.policies import Policy, policy_table
 
 CASES = [json.loads(line) for line in (Path(__file__).parent / "goldens.jsonl").open()]
 
@@ -146,3 +148,16 @@ def test_setting_that_breaks_the_patterns_is_refused(spark):
             redact(df)
     finally:
         spark.conf.unset("spark.sql.parser.escapedStringLiterals")
+
+
+def test_column_names_with_dots_and_blanks(spark):
+    names = spark.createDataFrame([(1, "Bob")], "ord int, name string")
+    df = spark.createDataFrame([(1, "a", "Bob, a@b.com")], "`a.b` int, `my scope` string, `the text` string")
+    policies = policy_table(spark, {"a": Policy.only("email", custom_names=("Bob",))})
+    for out in (
+        redact(df, "the text", Policy(custom_names=("Bob",))),
+        redact_names(df, names, "the text", small=0),
+        redact_with_policy(df, policies, "my scope", "the text"),
+    ):
+        assert out.columns[:3] == ["a.b", "my scope", "redacted_text"]
+        assert tuple(out.first())[:4] == (1, "a", "XXX, XXX@b.com", True)
