@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.functions.expressions import quoted
 from inkveil.functions.rules import ENTITIES, TOGGLES
 from inkveil.operators.policy import run_policy
 from inkveil.operators.redact import redact, scan
@@ -40,13 +41,14 @@ def rule_ablation(df: DataFrame, text: str = "text") -> DataFrame:
     A text in which no rule finds anything yields nothing under any selection
     of them, so only the others are run again.
     """
-    texts = scan(df.filter(F.col(text).isNotNull()).select(text), text)
-    hit = texts.filter("n_matches > 0").select(text)
+    column = F.col(quoted(text))
+    texts = scan(df.filter(column.isNotNull()).select(column), text)
+    hit = texts.filter("n_matches > 0").select(column)
     variants = [_policy_sql("all", "")]
     variants += [_policy_sql(mode, e) for mode in ("off", "only") for e in ENTITIES]
     tried = hit.withColumn("__policy", F.explode(F.expr("array(" + ", ".join(variants) + ")")))
     labelled = tried.select(
-        text, "__policy", F.expr("__policy.mode").alias("mode"), F.expr("__policy.rule").alias("rule")
+        column, "__policy", F.expr("__policy.mode").alias("mode"), F.expr("__policy.rule").alias("rule")
     )
     run = run_policy(labelled, text, [text, "mode", "rule"])
     return (

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from inkveil.functions.expressions import quoted
 from inkveil.functions.rules import RULES
 
 NOTHING_FOUND = "No sensitive data detected."
@@ -99,11 +100,12 @@ def corpus_totals(scanned: DataFrame, text: str = "text") -> DataFrame:
     """One row about a whole table, from ``scan`` (which keeps NULL texts)."""
     # There are at most 2^12 different sets of entities.
     kinds = F.flatten(F.collect_set(F.map_keys("entity_counts")))
+    original = F.col(quoted(text))
     return scanned.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.col(text).isNull()).alias("n_no_text"),
-        F.sum(F.octet_length(text).cast("long")).alias("n_bytes"),
-        F.sum(F.char_length(text).cast("long")).alias("n_chars"),
+        F.count_if(original.isNull()).alias("n_no_text"),
+        F.sum(F.octet_length(original).cast("long")).alias("n_bytes"),
+        F.sum(F.char_length(original).cast("long")).alias("n_chars"),
         F.count_if("changed").alias("n_changed"),
         F.sum("n_matches").alias("n_matches"),
         F.size(F.array_distinct(kinds)).alias("n_entities"),
