@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from inkveil.llm.bpe import op5_byte_bpe
+from inkveil.llm.packing import op7_packing
+from inkveil.llm.secrets import op10_secret_scan
+from inkveil.llm.simhash import op4_simhash_dedup
 from inkveil.llm.topk import OP8_SQL, op8_exact_topk
 from inkveil.llm.vectors import OP9_SQL, op9_embedding_dedup
 
 QUERIES = {
+    "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op7_packing": op7_packing,
     "op8_exact_topk": op8_exact_topk,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 SQL = {
