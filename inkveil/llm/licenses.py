@@ -13,8 +13,12 @@ it holds a window of the text whole, which then meets with certainty.
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,9 +92,14 @@ def with_shingles(df: DataFrame, text: Column) -> DataFrame:
     return kept(df, F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), shingle)).otherwise(F.array().cast("array<bigint>")), "_shingles").drop("_words")
 
 
-def _block_mins(starts: Column, step: int, width: int, mask: int) -> Column:
-    """The least masked hash of each block of ``width`` shingles."""
-    return F.transform(starts, lambda i: F.array_min(F.transform(F.slice("_shingles", i * step + 1, width), lambda x: x.bitwiseXOR(F.lit(mask)))))
+def _least(values: str | Column, at: Column, width: int, mask: int) -> Column:
+    """The least masked value of ``width`` places from ``at`` on. Places are read one by one, as Spark's slice copies the whole array."""
+    return F.least(*(F.get(values, at + k).bitwiseXOR(F.lit(mask)) for k in range(width)))
+
+
+def _block_mins(starts: Column, mask: int) -> Column:
+    """The least masked hash of each block of shingles."""
+    return F.transform(starts, lambda i: _least("_shingles", i * BLOCK, BLOCK, mask))
 
 
 def _paired(mins: Column) -> Column:
@@ -99,31 +108,23 @@ def _paired(mins: Column) -> Column:
 
 def _widened(mins: Column) -> Column:
     every = F.sequence(F.lit(0), F.greatest(F.size(mins) - 1, F.lit(0)), F.lit(WIDE_STEP))
-    return F.transform(every, lambda i: F.array_min(F.slice(mins, i + 1, WIDE)))
+    return F.transform(every, lambda i: _least(mins, i, WIDE, 0))
 
 
 def _tagged(values: Column, scale: int, band: int = 0) -> Column:
     return F.transform(values, lambda x: F.xxhash64(F.lit(100 * scale + band), x))
 
 
-def with_keys(df: DataFrame, step: int) -> DataFrame:
+def with_keys(df: DataFrame) -> DataFrame:
     """``df`` with ``_keys``: a hash of scale, band and MinHash value for each window, and each shingle by itself.
 
     Blocks' least values are taken first and windows put together from them.
-    ``step`` 1 gives windows that start at every shingle, as templates need.
     """
-    n = F.size("_shingles")
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(n / F.lit(step)).cast("int") - 1, F.lit(0)))
-    if step == 1:
-        narrow = [_block_mins(starts, 1, 2 * BLOCK, m) for m in BANDS]
-        wide = [_block_mins(starts, 1, WIDE * BLOCK, m) for m in BANDS]
-    else:
-        df = kept(df, F.struct(*(_block_mins(starts, BLOCK, BLOCK, m).alias(f"b{k}") for k, m in enumerate(BANDS))), "_blocks")
-        mins = [F.col(f"_blocks.b{k}") for k in range(len(BANDS))]
-        narrow, wide = [_paired(m) for m in mins], [_widened(m) for m in mins]
-    tagged = [_tagged(values, scale, band) for scale, bands in ((1, narrow), (2, wide)) for band, values in enumerate(bands)]
-    df = kept(df, F.when(n > 0, F.concat(_tagged(F.col("_shingles"), 0), *tagged)).otherwise(F.array().cast("array<bigint>")), "_keys")
-    return df.drop("_blocks")
+    starts = F.sequence(F.lit(0), F.ceil(F.size("_shingles") / F.lit(BLOCK)).cast("int") - 1)
+    df = kept(df, F.struct(*(_block_mins(starts, m).alias(f"b{k}") for k, m in enumerate(BANDS))), "_blocks")
+    mins = [F.col(f"_blocks.b{k}") for k in range(len(BANDS))]
+    tagged = [_tagged(_paired(m), 1, band) for band, m in enumerate(mins)] + [_tagged(_widened(m), 2, band) for band, m in enumerate(mins)]
+    return kept(df, F.concat(_tagged(F.col("_shingles"), 0), *tagged), "_keys").drop("_blocks")
 
 
 @dataclass(frozen=True)
@@ -133,22 +134,35 @@ class Template:
     keys: frozenset[int]
 
 
-def templates_of(spark: SparkSession, notices: dict[str, str]) -> list[Template]:
-    """The notices' shingles and keys, by the same functions. They are a parameter, so their number is bounded by it."""
-    df = spark.createDataFrame(list(notices.items()), "name string, notice string")
-    found = []
-    for row in with_keys(with_shingles(df, F.col("notice")), 1).collect():
-        shingles, n = list(dict.fromkeys(row["_shingles"])), len(row["_shingles"])
-        own = n if n < LONG else 0
-        scales = 0 if own else 1 if n < (WIDE + WIDE_STEP) * BLOCK else 2
-        # by scale: shingles alone, windows of two blocks, windows of eight; only those that lie in the notice whole
-        at = n + (scales - 1) * len(BANDS) * n
-        width = (2 if scales == 1 else WIDE) * BLOCK
-        keys = row["_keys"][:n] if own else [row["_keys"][at + b * n + i] for b in range(len(BANDS)) for i in range(n - width + 1)]
-        if not n:
-            raise ValueError(f"a notice needs {WIDTH} words: {row['name']}")
-        found.append(Template(row["name"], tuple(shingles), frozenset(keys)))
-    return sorted(found, key=lambda t: t.name)
+def _hashed(*values: bytes) -> int:
+    """Spark's xxhash64 of values, given as their bytes."""
+    seed = 42
+    for value in values:
+        seed = xxhash.xxh64_intdigest(value, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def _long(value: int) -> bytes:
+    return struct.pack("<q", value)
+
+
+def template(name: str, notice: str) -> Template:
+    """A notice's shingles, and the keys of the windows that lie in it whole."""
+    words = [_long(_hashed(w.encode())) for w in regex.findall(r"[\p{L}\p{N}]+", notice.lower())]
+    shingles = [_hashed(*words[i : i + WIDTH]) for i in range(len(words) - WIDTH + 1)]
+    if not shingles:
+        raise ValueError(f"a notice needs {WIDTH} words: {name}")
+    scale = 0 if len(shingles) < LONG else 1 if len(shingles) < (WIDE + WIDE_STEP) * BLOCK else 2
+    if scale == 0:
+        values = {(0, x) for x in shingles}
+    else:
+        width = (2 if scale == 1 else WIDE) * BLOCK
+        values = {(100 * scale + band, min(x ^ mask for x in shingles[i : i + width])) for i in range(len(shingles) - width + 1) for band, mask in enumerate(BANDS)}
+    return Template(name, tuple(dict.fromkeys(shingles)), frozenset(_hashed(struct.pack("<i", tag), _long(x)) for tag, x in values))
+
+
+def _listed(values: Iterable[int]) -> str:
+    return ", ".join(f"{x}L" for x in values)
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, notices: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
@@ -160,14 +174,15 @@ def scan(docs: DataFrame, id_col: str, text_col: str, notices: dict[str, str] |
     and null ids stay null. An empty table gives an empty table.
     """
     notices = TEMPLATES if notices is None else notices
-    templates = templates_of(docs.sparkSession, notices)
+    templates = [template(*x) for x in sorted(notices.items())]
     every = sorted(set().union(*(t.keys for t in templates)))
     df = with_shingles(docs.select(col(id_col).alias("_id"), col(text_col).alias("_text")), F.col("_text")).drop("_text")
-    df = with_keys(df.where(F.size("_shingles") > 0), BLOCK)
-    df = kept(df, F.filter("_keys", lambda x: x.isin(every)), "_hits").drop("_keys").where(F.size("_hits") > 0)
-    shared = lambda t: F.size(F.array_intersect(F.array(*map(F.lit, t.shingles)), "_shingles"))
+    df = with_keys(df.where(F.size("_shingles") > 0))
+    df = kept(df, F.expr(f"filter(_keys, x -> x IN ({_listed(every)}))"), "_hits").drop("_keys").where(F.size("_hits") > 0)
+    array = lambda values: F.expr(f"array({_listed(values)})")
+    shared = lambda t: F.size(F.array_intersect(array(t.shingles), "_shingles"))
     judged = [
-        F.when(F.arrays_overlap("_hits", F.array(*map(F.lit, sorted(t.keys)))), F.struct(F.lit(t.name).alias("license"), shared(t).alias("n_shared"), F.lit(len(t.shingles)).alias("n_shingles")))
+        F.when(F.arrays_overlap("_hits", array(sorted(t.keys))), F.struct(F.lit(t.name).alias("license"), shared(t).alias("n_shared"), F.lit(len(t.shingles)).alias("n_shingles")))
         for t in templates
     ]
     found = df.select("_id", F.explode(F.array(*judged)).alias("_found")).where("_found IS NOT NULL").select(F.col("_id").alias(id_col), "_found.*")
