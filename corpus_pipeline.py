@@ -2,10 +2,74 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+import os
+import tempfile
+from collections.abc import Callable
+from uuid import uuid4
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkveil.llm.langid import UNKNOWN, told
+from inkveil.llm.packing import packed_pieces
+from inkveil.llm.secrets import masked, with_secrets
+from inkveil.llm.simhash import one_of_each
+from inkveil.llm.substrings import without_repeats
+
+#: A document goes if no language has this share of its words; clean text of one language has far more.
+LEAST_SHARE = 0.35
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """The texts' lengths anew, after the texts have changed."""
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told; null and letterless texts and those of no one language go."""
+    named = told(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "doc_id", "text", "lang"))
+    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("_row.*")
+
+
+def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near copies."""
+    return one_of_each(docs, "doc_id", "text", 3, 2)
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 50 bytes that an earlier one has."""
+    return counted(without_repeats(docs, "doc_id", "text"))
+
+
+def unsecret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets masked."""
+    found = with_secrets(docs.select(F.struct(*docs.columns).alias("_row"), "text"), "text", "_spans")
+    return counted(masked(found, "text", "_spans").select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns)))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, in sequences."""
+    return packed_pieces(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", known_language),
+    ("simhash_dedup", near_unique),
+    ("suffix_array_dedup", unrepeated),
+    ("secret_scan", unsecret),
+    ("packing", packed),
+]
+
+#: SQL has no way to say what a field of learned weights decides.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other on ``documents``, each one's rows handed on as Parquet in the cluster's shared folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "inkveil-checkpoints")
+    folder = f"{shared.rstrip('/')}/pipeline-{uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

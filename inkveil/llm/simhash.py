@@ -14,10 +14,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import col, settled, table
+from inkveil.llm.common import col, quoted, settled, table
 from inkveil.llm.components import components, forest
 
 SEED = 42
@@ -48,14 +48,18 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(2 * counts.ravel() > n, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprint(df: DataFrame, text_col: str, out_col: str, width: int = 3) -> DataFrame:
-    """``df`` with the SimHash of each text as a long; null and wordless texts have 0."""
-
+def simhash(width: int) -> Callable[[Column], Column]:
     @F.arrow_udf("long")
-    def simhash(texts: pa.Array) -> pa.Array:
+    def of(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(x, width) for x in texts.to_pylist()], np.uint64).view(np.int64))
 
-    return df.withColumn(out_col, simhash(col(text_col)))
+    return of
+
+
+def with_fingerprint(df: DataFrame, text_col: str, out_col: str, width: int = 3) -> DataFrame:
+    """``df`` with the SimHash of each text as a long; null and wordless texts have 0."""
+
+    return df.withColumn(out_col, simhash(width)(col(text_col)))
 
 
 def segments(rest: int, distance: int) -> list[list[int]]:
@@ -158,6 +162,15 @@ def close_prints(prints: DataFrame, distance: int) -> DataFrame:
             return links
 
 
+def groups(rows: DataFrame, distance: int) -> DataFrame:
+    """``(print, root, component_id)`` for each fingerprint of ``rows(id, print)``: the least fingerprint and the least id that links reach."""
+    reps = rows.groupBy("print").agg(F.min("id").alias("rep"))
+    tied = components(close_prints(reps.select("print"), distance)).withColumnRenamed("node", "print")
+    reps = settled(reps.join(tied, "print", "left").select("print", "rep", F.coalesce("component", "print").alias("root")))
+    least = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return reps.join(least, "root").select("print", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int = 3, distance: int = 2) -> DataFrame:
     """``(id, fingerprint, component_id)`` for every row, under the name of ``id_col``; the fingerprint is a long.
 
@@ -169,14 +182,18 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int = 3,
     """
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     rows = settled(with_fingerprint(rows, "text", "print", width).select("id", "print"))
-    reps = rows.groupBy("print").agg(F.min("id").alias("rep"))
-    tied = components(close_prints(reps.select("print"), distance)).withColumnRenamed("node", "print")
-    reps = settled(reps.join(tied, "print", "left").select("print", "rep", F.coalesce("component", "print").alias("component")))
-    least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = reps.join(least, "component").select("print", "component_id")
+    named = groups(rows, distance).drop("root")
     return rows.join(named, "print").select(F.col("id").alias(id_col), F.col("print").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str, text_col: str, width: int = 3, distance: int = 2) -> DataFrame:
+    """One row of ``docs`` of each group that ``near_duplicates`` finds: one with the group's least id, in the same columns."""
+    field = lambda name: F.col(f"row.{quoted(name)}")
+    rows = docs.select(F.struct(*map(col, docs.columns)).alias("row")).select("row", field(id_col).cast("long").alias("id"), simhash(width)(field(text_col)).alias("print"))
+    mine = rows.join(groups(settled(rows.select("id", "print")), distance), "print").where(F.col("id").eqNullSafe(F.col("component_id")))
+    return mine.groupBy("root").agg(F.first("row").alias("row")).select("row.*")
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents: 3-word shingles, 2 bits."""
     done = near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", 3, 2)

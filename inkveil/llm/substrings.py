@@ -20,7 +20,7 @@ itself instead, of which a part sends equal ones once.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -28,8 +28,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from inkveil.llm.common import col, table
+from inkveil.llm.common import col, quoted, table
 from inkveil.llm.suffixes import suffix_array
 
 LEAST = 50
@@ -457,7 +458,7 @@ def _spans(flags: np.ndarray) -> np.ndarray:
     return edges.reshape(-1, 2)
 
 
-def _removal(sizes: Shape) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _removal(sizes: Shape, carries: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def removal(docs: pa.Table, notes: pa.Table) -> pa.Table:
         ids, texts = _texts(docs)
         told = notes.filter(pc.is_valid(notes["mask"])).sort_by("bucket")
@@ -485,14 +486,14 @@ def _removal(sizes: Shape) -> Callable[[pa.Table, pa.Table], pa.Table]:
             out["n_bytes"].append(len(text))
             out["spans"].append([{"start": a, "end": b} for a, b in spans.tolist()])
             out["kept"].append(b"".join([text[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True)]))
-        return pa.table({
+        return pa.table(({"rest": docs["rest"]} if carries else {}) | {
             "id": out["id"], "n_bytes": pa.array(out["n_bytes"], pa.int64()), "kept": pa.array(out["kept"], pa.binary()),
             "spans": pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 
     return removal
 
 
-def remove_repeats(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST, part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST, carried: Sequence[str] = (), part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
     """``(id, n_bytes, kept, spans)`` for every row: the bytes of its text that stay, and the spans ``(start, end)`` of those that go.
 
     A byte goes if one of the strings of ``least`` bytes that cover it also
@@ -500,7 +501,8 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, least: int = LEA
     the texts as given. A null text is an empty one. Rows with one id do not
     lend to each other, however often they occur; a row with a null id lends to
     none and loses nothing. The id comes under the name of ``id_col``. An empty
-    table gives an empty table.
+    table gives an empty table. ``carried`` names columns to take along; they may
+    be called as they like, as they come as the fields of a struct ``rest``.
 
     ``part_bytes`` and ``hot`` bound what a task holds, and change no result.
     """
@@ -508,7 +510,8 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, least: int = LEA
     total = docs.agg(F.sum(F.octet_length(col(text_col)))).first()[0] or 0
     parts = int(total // part_bytes) + 1
     key = F.xxhash64(col(id_col).cast("long"), col(text_col))
-    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("binary").alias("text"), F.pmod(key, F.lit(parts)).alias("part"))
+    rest = [F.struct(*map(col, carried)).alias("rest")] if carried else []
+    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("binary").alias("text"), F.pmod(key, F.lit(parts)).alias("part"), *rest)
     found = rows.where("id IS NOT NULL").select("part", "text").mapInArrow(_anchors(parts, sizes), "bucket long, part long, keys binary, notes binary")
     known = found.groupBy("bucket").applyInArrow(_shared(hot), "part long, keys binary, hot binary")
     sent = rows.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_stretches(parts, sizes), "bucket long, part long, words binary, ids binary")
@@ -516,10 +519,23 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, least: int = LEA
     none = lambda *names: [F.lit(None).cast(kind).alias(name) for name, kind in names]
     notes = known.select("part", "keys", "hot", *none(("bucket", "long"), ("mask", "binary")))
     notes = notes.unionByName(masks.select("part", *none(("keys", "binary"), ("hot", "binary")), "bucket", "mask"))
-    done = rows.groupBy("part").cogroup(notes.groupBy("part")).applyInArrow(_removal(sizes), "id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
+    kinds = T.StructType(list(rows.select(*(["rest"] if carried else [])).schema) + list(T.StructType.fromDDL("id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")))
+    done = rows.groupBy("part").cogroup(notes.groupBy("part")).applyInArrow(_removal(sizes, bool(carried)), kinds)
     return done.withColumnRenamed("id", id_col)
 
 
+def without_repeats(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
+    """``docs`` with what ``remove_repeats`` keeps of each text, in the same columns; characters that a cut has split go whole, and a null text becomes an empty one."""
+
+    @F.arrow_udf("string")
+    def decoded(kept: pa.Array) -> pa.Array:
+        return pa.array([x.decode(errors="ignore") for x in kept.to_pylist()], pa.string())
+
+    done = remove_repeats(docs, id_col, text_col, least, carried=docs.columns)
+    field = lambda name: F.col(f"rest.{quoted(name)}")
+    return done.withColumn("kept", decoded("kept")).select(*(F.col("kept").alias(c) if c == text_col else field(c) for c in docs.columns))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of all documents when repeated strings of 50 bytes go."""
     done = remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", LEAST)
