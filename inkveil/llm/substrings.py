@@ -37,7 +37,7 @@ LEAST = 50
 #: Bytes of an anchor, of a chunk that is hashed at once, and of the texts of a part.
 ANCHOR, CHUNK, PART_BYTES = 24, 1 << 17, 16 << 20
 #: Anchors that a task holds before it sends them, and places from which on an anchor's strings are dealt one by one.
-HELD, HOT = 1 << 21, 1 << 16
+HELD, HOT = 1 << 19, 1 << 16
 NO_ID = np.iinfo(np.int64).max
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
@@ -272,7 +272,7 @@ def _anchors(buckets: int, sizes: Shape) -> Callable[[Iterator[pa.RecordBatch]],
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size, rows = 0, 0
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             parts = batch.column("part").to_numpy()
             for chunk in chunks([x or b"" for x in batch.column("text").to_pylist()], sizes):
                 held.append((parts[chunk.row], chunk.key, chunk.row + rows))
