@@ -37,7 +37,9 @@ LEAST = 50
 #: Bytes of an anchor, of a chunk that is hashed at once, and of the texts of a part.
 ANCHOR, CHUNK, PART_BYTES = 24, 1 << 17, 16 << 20
 #: Anchors that a task holds before it sends them, and places from which on an anchor's strings are dealt one by one.
-HELD, HOT = 1 << 19, 1 << 16
+HELD, HOT = 1 << 19, 1 << 14
+#: Bytes whose suffixes are sorted together; stretches with one anchor stay together.
+SORTED = 1 << 17
 NO_ID = np.iinfo(np.int64).max
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
@@ -62,12 +64,13 @@ def shape(least: int) -> Shape:
 
 
 class Chunk(NamedTuple):
-    """Stretches of some texts: the bytes, each one's row, first and last start of a string, its anchor's hash, and the hashes of all places."""
+    """Stretches of some texts: the bytes, each one's row, first and last start of a string, its anchor's hash and key, and the hashes of all places."""
 
     buffer: np.ndarray
     row: np.ndarray
     first: np.ndarray
     last: np.ndarray
+    least: np.ndarray
     key: np.ndarray
     hashes: np.ndarray
     offset: np.ndarray
@@ -144,7 +147,8 @@ def _chunk(pieces: list[bytes], rows: list[int], offsets: list[int], sizes: Shap
     first = np.flatnonzero(new)
     piece = np.searchsorted(begins, first, "right") - 1
     last = np.minimum(np.r_[first[1:] - 1, n], ends[piece] - sizes.least)
-    return Chunk(buffer, np.array(rows)[piece], first, last, least[first], hashes, np.array(offsets)[piece] - begins[piece])
+    # least hashes are small ones; their keys are spread evenly
+    return Chunk(buffer, np.array(rows)[piece], first, last, least[first], least[first] * MIX[1], hashes, np.array(offsets)[piece] - begins[piece])
 
 
 class Stretches(NamedTuple):
@@ -172,9 +176,9 @@ def stretches(texts: list[bytes], known: np.ndarray, hot: np.ndarray, sizes: Sha
         mine = np.flatnonzero(known[at] == chunk.key)
         if not len(mine):
             continue
-        first, last, key, row, offset, alone = chunk.first[mine], chunk.last[mine], chunk.key[mine], chunk.row[mine], chunk.offset[mine], hot[at[mine]]
+        first, last, least, row, offset, alone = chunk.first[mine], chunk.last[mine], chunk.least[mine], chunk.row[mine], chunk.offset[mine], hot[at[mine]]
         window = np.minimum(last[:, None] + np.arange(sizes.strings), len(chunk.hashes) - 1)
-        anchor = last + np.argmax(chunk.hashes[window] == key[:, None], axis=1)
+        anchor = last + np.argmax(chunk.hashes[window] == least[:, None], axis=1)
         if alone.any():
             times = np.where(alone, last - first + 1, 1)
             step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -382,14 +386,24 @@ def least_ids(words: np.ndarray, key: np.ndarray, ids: np.ndarray, sizes: Shape)
     cut[:, : sizes.longest] = np.where((across >= (reach - left)[:, None]) & (across < (reach + ANCHOR + right)[:, None]), body[:, : sizes.longest], 0)
     cut[:, -2], cut[:, -1] = left, right
     rows = cut.view("<u8")
-    order = np.argsort(hashed(rows), kind="stable")
+    order = np.lexsort((hashed(rows), own_key[enough]))
     new = _changes(rows[order])
     at = np.flatnonzero(new)
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
-    distinct, low = cut[order[at]], np.minimum.reduceat(ids[many][order], at)
+    distinct, low, own_key = cut[order[at]], np.minimum.reduceat(ids[many][order], at), own_key[enough][order[at]]
+    begin = reach - distinct[:, -2].astype(np.int64)
     lengths = distinct[:, -2].astype(np.int64) + ANCHOR + distinct[:, -1]
-    found = _by_suffixes(distinct[:, : sizes.longest], reach - distinct[:, -2].astype(np.int64), lengths, low, sizes)
+    found = np.empty((len(distinct), sizes.strings), np.int64)
+    borders = np.r_[_runs(own_key)[0], len(own_key)]
+    sums = np.r_[0, np.cumsum(lengths)]
+    start = 0
+    while start < len(distinct):
+        past = borders[np.searchsorted(borders, start, "right") :]
+        end = int(past[np.searchsorted(sums[past], sums[start] + SORTED, "right") - 1]) if sums[past[0]] <= sums[start] + SORTED else int(past[0])
+        some = slice(start, end)
+        found[some] = _by_suffixes(distinct[some, : sizes.longest], begin[some], lengths[some], low[some], sizes)
+        start = end
     mine = found[number]
     skip = before[many] - left
     for k in range(sizes.strings):
