@@ -26,6 +26,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,9 +36,9 @@ from inkveil.llm.suffixes import suffix_array
 
 LEAST = 50
 #: Bytes of an anchor, of a chunk that is hashed at once, and of the texts of a part.
-ANCHOR, CHUNK, PART_BYTES = 24, 1 << 17, 16 << 20
+ANCHOR, CHUNK, PART_BYTES = 24, 1 << 17, 8 << 20
 #: Anchors that a task holds before it sends them, and places from which on an anchor's strings are dealt one by one.
-HELD, HOT = 1 << 19, 1 << 14
+HELD, HOT = 1 << 20, 1 << 14
 #: Bytes whose suffixes are sorted together; stretches with one anchor stay together.
 SORTED = 1 << 17
 NO_ID = np.iinfo(np.int64).max
@@ -333,13 +334,14 @@ def _texts(docs: pa.Table) -> tuple[np.ndarray, list[bytes]]:
 
 def _stretches(buckets: int, sizes: Shape) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def sent(docs: pa.Table, notes: pa.Table) -> pa.Table:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         ids, texts = _texts(docs)
         found = stretches(texts, *_known(notes), sizes)
         mine = unique(found.words, ids[found.row], sizes)
         bucket = _bucket(mine.key, buckets)
         starts, ends = _runs(bucket)
         part = docs["part"][0].as_py() if len(docs) else 0
-        return pa.table({"bucket": bucket[starts], "part": pa.array([part] * len(starts), pa.int64()), "words": _blobs(mine.words, starts, ends), "ids": _blobs(mine.least, starts, ends)})
+        return pa.table({"bucket": bucket[starts], "part": pa.array([part] * len(starts), pa.int64()), "words": pa.array([squeeze(mine.words[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()), "ids": _blobs(mine.least, starts, ends)})
 
     return sent
 
@@ -447,7 +449,8 @@ def _by_suffixes(body: np.ndarray, begin: np.ndarray, length: np.ndarray, ids: n
 def _masks(sizes: Shape) -> Callable[[pa.Table], pa.Table]:
     def masks(bucket: pa.Table) -> pa.Table:
         """Per part: for each of its stretches the strings that an id below its own least one has."""
-        blobs = bucket["words"].to_pylist()
+        spread = zstandard.ZstdDecompressor().decompress
+        blobs = [spread(x) for x in bucket["words"].to_pylist()]
         words = np.frombuffer(b"".join(blobs), "<u8").reshape(-1, sizes.row // 8)
         ids = _joined(bucket["ids"], "<i8")
         every = unique(words, ids, sizes)
@@ -479,22 +482,20 @@ def _removal(sizes: Shape, carries: bool) -> Callable[[pa.Table, pa.Table], pa.T
         found = stretches(texts, *_known(notes.filter(pc.is_valid(notes["keys"]))), sizes)
         mine = unique(found.words, ids[found.row], sizes)
         packed = _joined(told["mask"], "u1").reshape(len(mine.key), -(-sizes.strings // 8))
-        gone = np.unpackbits(packed, axis=1, count=sizes.strings).astype(bool)[mine.number]
-        gone |= (mine.least[mine.number] < ids[found.row])[:, None]
-        gone &= np.arange(sizes.strings) < found.count[:, None]
-        hit, which = np.nonzero(gone)
-        row, start = found.row[hit], found.start[hit] + which
-        order = np.lexsort((start, row))
-        row, start = row[order], start[order]
-        cuts = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+        cuts = np.searchsorted(found.row, np.arange(len(texts) + 1)).tolist()
+        across = np.arange(sizes.strings)
         out = {"id": docs["id"], "n_bytes": [], "spans": [], "kept": []}
         for k, text in enumerate(docs["text"].to_pylist()):
             text = text or b""
             spans = np.zeros((0, 2), np.int64)
             if cuts[k] < cuts[k + 1]:
-                turn = np.zeros(len(text) + 1, np.int32)
-                turn[start[cuts[k] : cuts[k + 1]]] += 1
-                np.subtract.at(turn, start[cuts[k] : cuts[k + 1]] + sizes.least, 1)
+                own = slice(cuts[k], cuts[k + 1])
+                gone = np.unpackbits(packed[mine.number[own]], axis=1, count=sizes.strings).astype(bool)
+                gone |= (mine.least[mine.number[own]] < ids[k])[:, None]
+                gone &= across < found.count[own, None]
+                start = (found.start[own, None] + across)[gone]
+                turn = np.bincount(start, minlength=len(text) + 1)
+                turn -= np.bincount(start + sizes.least, minlength=len(text) + 1)
                 spans = _spans(np.cumsum(turn[:-1]) > 0)
             borders = [0, *spans.ravel().tolist(), len(text)]
             out["n_bytes"].append(len(text))
