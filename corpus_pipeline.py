@@ -17,7 +17,7 @@ from inkveil.llm.simhash import one_of_each
 from inkveil.llm.substrings import without_repeats
 
 #: A document goes if no language has this share of its words; clean text of one language has far more.
-LEAST_SHARE = 0.35
+LEAST_SHARE = 0.3
 
 
 def counted(docs: DataFrame) -> DataFrame:

@@ -29,66 +29,147 @@ SAMPLE_TEXTS, SAMPLE_STRETCH = 3000, 500
 FEATURES, LEXICON = 60_000, 10_000
 #: Training: sequences, words of one, sequences of a step, rounds, and how often a sequence goes on in another language.
 SEQUENCES, LENGTH, STEP, ROUNDS, SWITCH = 4000, 32, 64, 4, 0.08
-#: Words whose scores a worker remembers, and words of texts that are labelled together.
-WORDS, TOGETHER = 300_000, 200_000
+#: Words whose scores a task remembers, texts that are labelled together, and words of a block of a long text.
+WORDS, TOGETHER, BLOCK = 400_000, 512, 128
 
 
 def letters(text: str | None) -> list[re.Match]:
     return [m for m in WORD.finditer(text or "") if any(map(str.isalpha, m.group()))]
 
 
-def features(word: str) -> list[str]:
-    """Of a word in lower case: itself, its affixes up to four letters, and its runs of two and three with the borders."""
-    found = ["=" + word]
-    for n in range(1, min(4, len(word)) + 1):
-        found += ["<" + word[:n], ">" + word[-n:]]
-    edged = f"^{word[:64]}$"
+def _mixed(x: np.ndarray, kind: int) -> np.ndarray:
+    x = (x + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of words in lower case: 64-bit codes of their features, and the number of the word of each.
+
+    A word has itself, its affixes up to four letters, and its runs of two and
+    three letters with the borders.
+    """
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    # zeros stand for the borders
+    points = np.frombuffer(("\0" + "\0\0".join(words) + "\0").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lengths = np.array([len(w) for w in words])
+    ends = np.cumsum(lengths + 2) - 1
+    starts = ends - lengths
+    owner = np.repeat(np.arange(len(words)), lengths + 2)
+    own = _mixed(_mixed(points, 7) ^ (np.arange(len(points)) - np.repeat(starts, lengths + 2)).astype(np.uint64), 8)
+    codes, owners = [_mixed(np.add.reduceat(own, starts - 1), 1)], [np.arange(len(words))]
+    by = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0x94D049BB133111EB, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+    for n in range(1, 5):
+        some = np.flatnonzero(lengths >= n)
+        for kind, at in ((10, starts[some]), (20, ends[some] - n)):
+            codes.append(_mixed(sum(points[at + k] * by[k] for k in range(n)), kind + n))
+            owners.append(some)
     for n in (2, 3):
-        found += [edged[i : i + n] for i in range(len(edged) - n + 1)]
-    return found
+        at = np.flatnonzero(owner[n - 1 :] == owner[: len(owner) - n + 1])
+        codes.append(_mixed(sum(points[at + k] * by[k] for k in range(n)), 30 + n))
+        owners.append(owner[at])
+    return np.concatenate(codes), np.concatenate(owners)
 
 
 @dataclass(frozen=True)
 class Field:
-    """Languages, each feature's row in the weights, and the weights of features, neighbours and first words."""
+    """Languages, the codes of the features in order, and the weights of features, neighbours and first words."""
 
     languages: tuple[str, ...]
-    rows: dict[str, int]
+    codes: np.ndarray
     weights: np.ndarray
     moves: np.ndarray
     first: np.ndarray
 
-    def scores(self, word: str) -> np.ndarray:
-        rows = [r for r in map(self.rows.get, features(word)) if r is not None]
-        return self.weights[rows].sum(axis=0)
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the features that the field has, and the number of the word of each."""
+        codes, owner = features(words)
+        if not len(self.codes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        has = self.codes[at] == codes
+        return at[has], owner[has]
 
+    def scores(self, words: list[str]) -> np.ndarray:
+        rows, owner = self.rows(words)
+        return np.stack([np.bincount(owner, self.weights[rows, c], len(words)) for c in range(len(self.languages))], axis=1)
 
-def forward_backward(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Each word's probabilities. ``starts`` are the rows at which sequences begin, by falling length, with the end as the last one."""
-    lengths = np.diff(starts)
-    begin, n, k = starts[:-1], len(starts) - 1, scores.shape[1]
-    if n == 0 or not len(scores):
-        return np.zeros_like(scores)
-    move, given = np.exp(moves), np.exp(scores - scores.max(axis=1, keepdims=True))
+
+def _within(given: np.ndarray, starts: np.ndarray, move: np.ndarray, prior: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Each word's probabilities in sequences that begin at ``starts``, by falling length, with the end as the last one.
+
+    ``prior`` weighs a sequence's first word, ``after`` its last one.
+    """
+    lengths, begin = np.diff(starts), starts[:-1]
     active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # sequences that are longer than t
     ahead = np.empty_like(given)
-    now = np.exp(first - first.max()) * given[begin[: active[0]]]
+    now = prior * given[begin]
     for t in range(lengths[0]):
         if t:
             now = (now[: active[t]] @ move) * given[begin[: active[t]] + t]
         now /= now.sum(axis=1, keepdims=True)
         ahead[begin[: active[t]] + t] = now
-    back = np.ones((n, k))
+    back = after.copy()
     for t in range(lengths[0] - 1, 0, -1):
         live = slice(0, active[t])
         rows = begin[live] + t
         ahead[rows] *= back[live]
         behind = (given[rows] * back[live]) @ move.T
         back[live] = behind / behind.sum(axis=1, keepdims=True)
-    ahead[begin[: active[0]]] *= back[: active[0]]
+    ahead[begin] *= back
     return ahead / ahead.sum(axis=1, keepdims=True)
 
 
+def _products(given: np.ndarray, starts: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """For each sequence the product of its words' and moves' matrices, up to a factor."""
+    lengths, begin, k = np.diff(starts), starts[:-1], given.shape[1]
+    active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+    out = given[begin][:, None, :] * np.eye(k)
+    for t in range(1, lengths[0]):
+        live = slice(0, active[t])
+        now = (out[live].reshape(-1, k) @ move).reshape(-1, k, k) * given[begin[live] + t][:, None, :]
+        out[live] = now / now.sum(axis=(1, 2), keepdims=True)
+    return out
+
+
+def forward_backward(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each word's probabilities. ``starts`` are the rows at which sequences begin, with the end as the last one; none is empty.
+
+    Long sequences are cut into blocks. What comes before and after a block
+    acts on it through one vector each, which the blocks' matrices give exactly.
+    """
+    if len(starts) < 2:
+        return np.zeros_like(scores)
+    move, given = np.exp(moves - moves.max()), np.exp(scores - scores.max(axis=1, keepdims=True))
+    begin, number = np.exp(first - first.max()), -(-np.diff(starts) // BLOCK)
+    owner = np.repeat(np.arange(len(number)), number)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
+    tops = starts[owner] + place * BLOCK
+    lengths = np.minimum(starts[owner + 1] - tops, BLOCK)
+    order = np.argsort(-lengths, kind="stable")
+    edges = np.r_[0, np.cumsum(lengths[order])]
+    words = np.repeat(tops[order] - edges[:-1], lengths[order]) + np.arange(len(given))
+    given = given[words]
+    prior, after = np.tile(begin, (len(order), 1)), np.ones((len(order), len(begin)))
+    if number.max() > 1:
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))  # where each block has gone
+        products = _products(given, edges, move)
+        by_place = np.argsort(place, kind="stable")
+        groups = np.split(by_place, np.cumsum(np.bincount(place))[:-1])
+        for blocks in groups[1:]:
+            now = np.einsum("ni,nij->nj", prior[at[blocks - 1]], products[at[blocks - 1]]) @ move
+            prior[at[blocks]] = now / now.sum(axis=1, keepdims=True)
+        for blocks in groups[:0:-1]:
+            now = np.einsum("nij,nj->ni", products[at[blocks]], after[at[blocks]]) @ move.T
+            after[at[blocks - 1]] = now / now.sum(axis=1, keepdims=True)
+    out = np.empty_like(given)
+    out[words] = _within(given, edges, move, prior, after)
+    return out
+
+
 def fit(texts: Iterable[tuple[str, str]], seed: int = 7) -> Field | None:
     """The field fitted on stretches ``(text, language)``, with a fixed seed; None if there is no word.
 
@@ -102,16 +183,24 @@ def fit(texts: Iterable[tuple[str, str]], seed: int = 7) -> Field | None:
     if not by_language:
         return None
     languages = tuple(sorted(by_language))
-    count = Counter(f for stretches in by_language.values() for words in stretches for word in words for f in set(features(word)))
-    lexicon = [(f, n) for f, n in count.items() if n > 1 and f[0] == "="]
-    parts = [(f, n) for f, n in count.items() if n > 1 and f[0] != "="]
-    chosen = sorted(lexicon, key=lambda x: (-x[1], x[0]))[:LEXICON] + sorted(parts, key=lambda x: (-x[1], x[0]))[: FEATURES - LEXICON]
-    rows = {f: i for i, (f, _) in enumerate(chosen)}
+    count = Counter(w for stretches in by_language.values() for words in stretches for w in words)
+    lexicon = sorted(count)
+    places = {w: i for i, w in enumerate(lexicon)}
+    times = np.array([count[w] for w in lexicon])
+    codes, owner = features(lexicon)
+    whole = codes[: len(lexicon)]
+    parts, where = np.unique(codes[len(lexicon) :], return_inverse=True)
+    often = np.bincount(where, times[owner[len(lexicon) :]])
+    pick = lambda codes, n, most: codes[n > 1][np.lexsort((codes[n > 1], -n[n > 1]))[:most]]
+    chosen = np.unique(np.concatenate([pick(whole, times, LEXICON), pick(parts, often, FEATURES - LEXICON)]))
     random = np.random.default_rng(seed)
     k = len(languages)
-    weights, moves, first = np.zeros((len(rows), k)), np.zeros((k, k)), np.zeros(k)
+    weights, moves, first = np.zeros((len(chosen), k)), np.zeros((k, k)), np.zeros(k)
+    field = Field(languages, chosen, weights, moves, first)
     squares = [np.full_like(x, 1e-8) for x in (weights, moves, first)]
-    known = {w: np.array([r for r in map(rows.get, features(w)) if r is not None], np.int64) for w in {w for s in by_language.values() for words in s for w in words}}
+    flat, owner = field.rows(lexicon)
+    order = np.argsort(owner, kind="stable")
+    known = np.split(flat[order], np.searchsorted(owner[order], np.arange(1, len(lexicon))))
     drawn: list[tuple[list[str], np.ndarray]] = []
     for _ in range(SEQUENCES):
         words, labels = [], []
@@ -130,7 +219,7 @@ def fit(texts: Iterable[tuple[str, str]], seed: int = 7) -> Field | None:
         order = random.permutation(SEQUENCES)
         for at in range(0, SEQUENCES - STEP + 1, STEP):
             batch = [drawn[i] for i in order[at : at + STEP]]
-            lists = [known[w] for words, _ in batch for w in words]
+            lists = [known[places[w]] for words, _ in batch for w in words]
             flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             scores = np.stack([np.bincount(owner, weights[flat, c], len(lists)) for c in range(k)], axis=1)
             truth = np.concatenate([labels for _, labels in batch])
@@ -145,12 +234,12 @@ def fit(texts: Iterable[tuple[str, str]], seed: int = 7) -> Field | None:
             np.add.at(seen, (labels[:, :-1].ravel(), labels[:, 1:].ravel()), 1)
             start_gap = table_[:, 0].sum(axis=0) - np.bincount(labels[:, 0], minlength=k)
             gap[np.arange(len(truth)), truth] -= 1
-            rows_gap = np.stack([np.bincount(flat, gap[owner, c], len(rows)) for c in range(k)], axis=1) / STEP
+            rows_gap = np.stack([np.bincount(flat, gap[owner, c], len(chosen)) for c in range(k)], axis=1) / STEP
             for value, slope, square, rate in ((weights, rows_gap, squares[0], 0.3), (moves, (pairs - seen) / STEP, squares[1], 0.1), (first, start_gap / STEP, squares[2], 0.1)):
                 slope = slope + 1e-4 * value
                 square += slope * slope
                 value -= rate * slope / np.sqrt(square)
-    return Field(languages, rows, weights, moves, first)
+    return field
 
 
 def _carried(table_: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -161,6 +250,22 @@ def _carried(table_: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return out
 
 
+class Places(dict):
+    """Numbers words as they come; -1 for those without a letter."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.lettered: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        at = -1
+        if any(map(str.isalpha, word)):
+            at = len(self.lettered)
+            self.lettered.append(word.lower())
+        self[word] = at
+        return at
+
+
 class Labeller:
     """Labels texts, and remembers the scores of words."""
 
@@ -169,57 +274,28 @@ class Labeller:
         self.forget()
 
     def forget(self) -> None:
-        self.places: dict[str, int] = {}
-        self.table = np.empty((1024, len(self.field.languages)))
-
-    def place(self, word: str) -> int:
-        """The row of a word's scores; -1 if it has no letter."""
-        low = word.lower()
-        at = self.places.get(low)
-        if at is None:
-            if not any(map(str.isalpha, word)):
-                at = -1
-            else:
-                at = len(self.places) if low not in self.places else self.places[low]
-                while at >= len(self.table):
-                    self.table = np.concatenate([self.table, np.empty_like(self.table)])
-                self.table[at] = self.field.scores(low)
-            self.places[low] = at
-        return at
+        self.places = Places()
+        self.table = np.empty((0, len(self.field.languages)))
 
-    def rows_of(self, words: list[str]) -> np.ndarray:
+    def rows_of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """For each text's words the rows of their scores; -1 if a word has no letter."""
         if len(self.places) > WORDS:
             self.forget()
-        get = self.places.get
-        found = [get(w) for w in words]
-        if None in found:
-            found = [self.place(w) if at is None else at for w, at in zip(words, found, strict=True)]
-        return np.array(found, np.int64)
+        place = self.places.__getitem__
+        found = [np.fromiter(map(place, words), np.int64, len(words)) for words in texts]
+        if new := self.places.lettered[len(self.table) :]:
+            self.table = np.concatenate([self.table, self.field.scores(new)])
+        return found
 
     def probabilities(self, texts: list[list[str]]) -> Iterator[tuple[int, np.ndarray]]:
         """Of each text with a word: its number, and the probabilities of its words, letterless ones left out."""
-        held: list[tuple[int, np.ndarray]] = []
-        size = 0
-
-        def done() -> Iterator[tuple[int, np.ndarray]]:
-            held.sort(key=lambda x: (-len(x[1]), x[0]))
-            starts = np.r_[0, np.cumsum([len(x) for _, x in held])].astype(np.int64)
-            found = forward_backward(np.concatenate([x for _, x in held]), starts, self.field.moves, self.field.first)
-            for (number, _), a, b in zip(held, starts[:-1], starts[1:], strict=True):
-                yield number, found[a:b]
-
-        for number, words in enumerate(texts):
-            rows = self.rows_of(words)
-            rows = rows[rows >= 0]
-            if not len(rows):
-                continue
-            held.append((number, self.table[rows]))
-            size += len(rows)
-            if size >= TOGETHER:
-                yield from done()
-                held, size = [], 0
-        if held:
-            yield from done()
+        rows = [x[x >= 0] for x in self.rows_of(texts)]
+        numbers = [i for i, x in enumerate(rows) if len(x)]
+        if numbers:
+            starts = np.r_[0, np.cumsum([len(rows[i]) for i in numbers])]
+            found = forward_backward(self.table[np.concatenate([rows[i] for i in numbers])], starts, self.field.moves, self.field.first)
+            for i, a, b in zip(numbers, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                yield i, found[a:b]
 
 
 def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, texts: int, stretch: int) -> DataFrame:
@@ -258,12 +334,12 @@ def with_language(df: DataFrame, text_col: str, field: Field | None, lang_col: s
         labeller = Labeller(field) if field else None
         for batch in batches:
             out = [{"lang": UNKNOWN, "score": 0.0}] * len(batch)
-            if labeller:
-                words = [WORD.findall(x) if x else [] for x in batch.to_pylist()]
+            for low in range(0, len(batch), TOGETHER) if labeller else ():
+                words = [WORD.findall(x) if x else [] for x in batch.slice(low, TOGETHER).to_pylist()]
                 for number, found in labeller.probabilities(words):
                     mean = found.mean(axis=0)
                     best = int(mean.argmax())
-                    out[number] = {"lang": field.languages[best], "score": float(min(1.0, mean[best]))}
+                    out[low + number] = {"lang": field.languages[best], "score": float(min(1.0, mean[best]))}
             yield pa.array(out, kind)
 
     taken = {c.lower() for c in df.columns}
