@@ -21,7 +21,7 @@ from inkveil.llm.common import col, table
 from inkveil.llm.units import Units, little
 
 #: Documents packed together by one task.
-GROUP = 8192
+GROUP = 2048
 PIECE = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import regex
 
 #: Entries and length of an entry that a memory keeps. It is emptied when full, so a task's memory has a bound.
-ENTRIES, LONGEST = 200_000, 64
+ENTRIES, LONGEST = 120_000, 64
 
 
 def little(ids: list[int]) -> bytes:
