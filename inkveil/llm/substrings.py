@@ -245,7 +245,7 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
 
 def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(_changes(*columns))
-    return starts, np.r_[starts[1:], len(columns[0])]
+    return starts, np.r_[starts[1:], len(columns[0])][: len(starts)]
 
 
 def _blobs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
