@@ -30,7 +30,7 @@ FEATURES, LEXICON = 60_000, 10_000
 #: Training: sequences, words of one, sequences of a step, rounds, and how often a sequence goes on in another language.
 SEQUENCES, LENGTH, STEP, ROUNDS, SWITCH = 4000, 32, 64, 4, 0.08
 #: Words whose scores a task remembers, texts that are labelled together, and words of a block of a long text.
-WORDS, TOGETHER, BLOCK = 400_000, 512, 128
+WORDS, TOGETHER, BLOCK = 150_000, 128, 128
 
 
 def letters(text: str | None) -> list[re.Match]:

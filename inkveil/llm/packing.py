@@ -106,6 +106,7 @@ def pack(lengths: list[int], size: int) -> list[tuple[int, int, int, int, int]]:
 
 def _packer(size: int) -> Callable[[pa.Table], pa.Table]:
     def packed(part: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         part = part.sort_by("row")
         ids, group = part["ids"].to_pylist(), part["group"][0].as_py()
         pieces = pack([len(x) // 4 for x in ids], size)
