@@ -2,7 +2,7 @@
 
 Prints one JSON line. Every query runs to a ``noop`` sink, or to its own sink
 if it is a stream, and is timed with the building and planning of its plan.
-``queries`` holds the better of two runs, ``first_runs`` the first one, when
+``queries`` holds the median of three runs, ``first_runs`` the first one, when
 much of the JVM's code is not compiled yet.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from statistics import median
 
 from pyspark.sql import SparkSession
 
@@ -53,11 +54,11 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     runs: dict[str, list[float]] = {}
     for name in HEADLINE:
-        for _ in range(2):
+        for _ in range(3):
             begun = time.time()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.setdefault(name, []).append(round(time.time() - begun, 3))
-    seconds = {name: min(times) for name, times in runs.items()}
+    seconds = {name: median(times) for name, times in runs.items()}
     print(json.dumps({
         "metric": "total seconds of the headline queries",
         "value": round(sum(seconds.values()), 3),

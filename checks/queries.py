@@ -15,8 +15,8 @@ from inkveil.operators.names import redact_names
 from inkveil.operators.policy import redact_with_policy
 from inkveil.operators.redact import findings, redact, restore_allowlist, scan
 from inkveil.plans import audits, reports
-from inkveil.sources.policies import Policy, policy_table
-from inkveil.sources.tables import new_folder, read_texts, spread, write_texts
+from inkveil.sources.policies import Policy, policy_table, read_policies
+from inkveil.sources.tables import new_folder, read_texts, write_texts
 from inkveil.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,19 +38,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spark, spread(table(spark, sf_dir, "orders")))
+    return messages(spark, table(spark, sf_dir, "orders"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"))
+    return table(spark, sf_dir, "pages")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "conversations"))
+    return table(spark, sf_dir, "conversations")
 
 
 def flat(redacted: DataFrame, *keys: str) -> DataFrame:
@@ -190,7 +190,7 @@ register(
 register(
     "report_by_quality",
     lambda s, d: reports.group_report(
-        redact(docs(s, d)).select("doc_id", "changed", "n_matches").join(
+        redact(docs(s, d).join(table(s, d, "labels"), "doc_id", "left_semi")).select("doc_id", "changed", "n_matches").join(
             table(s, d, "labels"), "doc_id"
         ),
         "quality", "toxic",
@@ -472,23 +472,33 @@ def _governed(s: SparkSession, d: str) -> str:
     return f"{base}/sink"
 
 
-def _windowed(s: SparkSession, d: str) -> DataFrame:
-    base = new_folder(s)
-    # The tables hold times without a zone: take them as UTC, whatever the session's zone.
+def _counted(counts: DataFrame) -> DataFrame:
     utc, local = F.lit("UTC"), F.current_timezone()
-    ts = F.convert_timezone(utc, local, "ts").cast("timestamp")
-    stream = messages(s, _stream(s, d, "orders")).withColumn("ts", ts)
-    counts = jobs.windowed_counts(stream, "ts", width="7 days", delay="10 minutes")
-    counts.writeStream.format("parquet").outputMode("append").option(
-        "path", f"{base}/sink"
-    ).option("checkpointLocation", f"{base}/state").trigger(**jobs.DRAIN).start().awaitTermination()
-    out = s.read.parquet(f"{base}/sink")
-    return out.withColumns({
+    return counts.withColumns({
         c: F.convert_timezone(local, utc, F.col(c).cast("timestamp_ntz"))
         for c in ("window_start", "window_end")
     })
 
 
+def _timed(mails: DataFrame) -> DataFrame:
+    # The tables hold times without a zone: take them as UTC, whatever the session's zone.
+    ts = F.convert_timezone(F.lit("UTC"), F.current_timezone(), "ts").cast("timestamp")
+    return mails.withColumn("ts", ts)
+
+
+def _windowed(s: SparkSession, d: str) -> DataFrame:
+    """The stream gets its rows in six batches that are out of time order."""
+    base, orders = new_folder(s), table(s, d, "orders")
+    orders.repartition(6, "o_orderkey").write.parquet(f"{base}/orders")
+    stream = jobs.read_text_stream(s, f"{base}/orders", orders.schema, maxFilesPerTrigger=1)
+    jobs.start_windowed_counts(
+        _timed(messages(s, stream)), "ts", f"{base}/sink", f"{base}/state", width="7 days",
+    ).awaitTermination()
+    counts = s.read.parquet(f"{base}/sink")
+    last = counts.agg(F.max("batch").alias("batch"))
+    return _counted(counts.join(F.broadcast(last), "batch").drop("batch"))
+
+
 register("stream_documents", _streamed_documents, duck.redacted(DOCUMENTS, "text", "doc_id"))
 register("stream_messages", _streamed_messages, duck.redacted(MESSAGES, "text", "msg_id"))
 register(
@@ -506,13 +516,27 @@ register(
     f"(SELECT priority, msg_id, unnest(m).entity AS entity FROM ({_SCOPED_HITS})) "
     "GROUP BY priority, entity",
 )
-register(
-    "stream_windowed_counts",
-    _windowed,
-    # Windows that the watermark has closed: 7 days wide, aligned to 1970-01-01.
+# Windows 7 days wide, aligned to 1970-01-01.
+_WINDOWS = (
     f"WITH {duck.staged(MESSAGES, 'text')}, hits AS (SELECT entity, TIMESTAMP '1970-01-01' + "
     "INTERVAL 7 DAY * CAST(floor(epoch(ts) / 604800) AS INT) AS window_start "
     f"FROM ({_HITS})) SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, entity, "
-    "count(*) AS n_matches FROM hits WHERE window_start + INTERVAL 7 DAY <= (SELECT max(ts) - "
-    f"INTERVAL 10 MINUTE FROM ({MESSAGES})) GROUP BY ALL",
+    "count(*) AS n_matches FROM hits GROUP BY ALL"
 )
+register("stream_windowed_counts", _windowed, _WINDOWS)
+register(
+    "windowed_counts_messages",
+    lambda s, d: _counted(jobs.windowed_counts(_timed(mails(s, d)), "ts", "7 days")),
+    _WINDOWS,
+)
+
+
+def _read_policies(s: SparkSession, d: str) -> DataFrame:
+    """Policies that a JSON table holds, applied to the messages of their scopes."""
+    path = new_folder(s)
+    policy_table(s, _URGENT).write.json(path)
+    found = redact_with_policy(mails(s, d), read_policies(s, path), "priority")
+    return flat(found, "msg_id", "priority")
+
+
+register("redact_with_read_policies", _read_policies, _policy_sql(MESSAGES, "priority", _URGENT, "msg_id, priority"))

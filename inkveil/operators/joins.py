@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.functions.expressions import quoted
+
 BROADCAST_BYTES = 32 << 20
 SALTS = 16
 
 
 def table_bytes(df: DataFrame) -> int:
     """Size of a table's values, from one distributed pass over it."""
-    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    width = F.octet_length(F.to_json(F.struct(*map(quoted, df.columns))))
     return df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("n")).first()["n"]
 
 
@@ -28,7 +30,7 @@ def join_lookup(large: DataFrame, lookup: DataFrame, on: str, how: str = "inner"
     # The salt is a function of the row and its partition: a task that runs
     # again sends its rows to the same places. The partition sets apart copies
     # that are equal in every column.
-    hashed = [c for c, t in large.dtypes if "map<" not in t and "variant" not in t]
+    hashed = [quoted(c) for c, t in large.dtypes if "map<" not in t and "variant" not in t]
     salt = F.pmod(F.xxhash64(*hashed) + F.spark_partition_id(), F.lit(SALTS))
     salted = large.withColumn("__salt", salt.cast("int"))
     copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

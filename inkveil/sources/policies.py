@@ -83,13 +83,17 @@ def with_defaults(policies: DataFrame) -> DataFrame:
 
 
 def read_policies(spark: SparkSession, path: str, fmt: str = "json",
-                  create: bool = False) -> DataFrame:
+                  create: bool = False, **options) -> DataFrame:
     """Read a policy table; where there is none, the default policy holds.
 
+    A record that is broken, holds a value of the wrong type or has no scope
+    fails the job that reads it; no policy is ever taken for the default one.
     ``create=True`` also writes that default to ``path``.
     """
     try:
-        return with_defaults(spark.read.schema(POLICY_SCHEMA).format(fmt).load(path))
+        found = spark.read.schema(POLICY_SCHEMA).format(fmt).options(**{"mode": "FAILFAST"} | options).load(path)
+        scope = F.coalesce("scope", F.raise_error(F.lit("a policy has no scope")).cast("string"))
+        return with_defaults(found.withColumn("scope", scope))
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -116,7 +120,8 @@ def policy_from_toml(text_or_path: str | Path) -> Policy:
         if not isinstance(rules.get(s, True), bool):
             raise ValueError(f"'{s}' must be a boolean")
     for key in ("custom_names", "allowlist_tokens"):
-        if not all(isinstance(v, str) for v in rules.get(key, [])):
+        values = rules.get(key, [])
+        if not isinstance(values, list) or not all(isinstance(v, str) for v in values):
             raise ValueError(f"'{key}' must be a list of strings")
     return Policy(
         enabled=data["enabled"],
@@ -125,18 +130,3 @@ def policy_from_toml(text_or_path: str | Path) -> Policy:
         allowlist_tokens=tuple(rules.get("allowlist_tokens", [])),
     )
 
-
-def policy_to_toml(policy: Policy) -> str:
-    """The settings file of a policy; ``policy_from_toml`` reads it back."""
-
-    def text(v: str) -> str:
-        escaped = v.replace("\\", "\\\\").replace('"', '\\"')
-        return '"' + "".join(
-            ch if ch >= " " and ch != "\x7f" else f"\\u{ord(ch):04x}" for ch in escaped
-        ) + '"'
-
-    lines = [f"enabled = {str(policy.enabled).lower()}", "", "[redaction]"]
-    lines += [f"{s} = {str(on).lower()}" for s, on in policy.switches().items()]
-    for key in ("custom_names", "allowlist_tokens"):
-        lines.append(f"{key} = [" + ", ".join(text(v) for v in getattr(policy, key)) + "]")
-    return "\n".join(lines) + "\n"

@@ -8,20 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 FORMATS = ("parquet", "orc", "json", "csv", "text")
-# Below this many bytes per core an input is worth spreading.
-SPREAD_BYTES_PER_CORE = 32 << 20
 
 
 def read_texts(spark: SparkSession, path: str, fmt: str = "parquet", schema=None,
                **options) -> DataFrame:
     """A table of texts. ``text`` gives one row per line in the column
-    ``value`` (one per file with ``wholetext=True``); CSV and JSON want a schema."""
+    ``value`` (one per file with ``wholetext=True``); CSV and JSON want a schema.
+    CSV whose texts hold line ends needs ``multiLine=True``; a file is then one task."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format: {fmt}")
     reader = spark.read.format(fmt).options(**options)
     if fmt == "csv":
-        # Texts may hold line ends and quotes, and "" is not NULL.
-        reader = reader.options(header=True, multiLine=True, escape='"', nullValue="\0")
+        # Texts may hold quotes, and "" is not NULL.
+        reader = reader.options(header=True, escape='"', nullValue="\0")
     if schema is not None:
         reader = reader.schema(schema)
     return reader.load(path)
@@ -41,18 +40,6 @@ def write_texts(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     writer.save(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores.
-
-    A file with one row group is one task, whatever its size; redaction costs
-    far more than moving a few bytes. Inputs that fill the cluster anyway are
-    left as they are, so a large table is never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(2 * cores) if size <= cores * SPREAD_BYTES_PER_CORE else df
-
-
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 

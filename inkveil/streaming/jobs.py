@@ -66,13 +66,15 @@ def start_governed_redaction(stream: DataFrame, policies: Callable[[SparkSession
     )
 
 
-def windowed_counts(stream: DataFrame, ts: str, width: str = "1 hour", delay: str = "10 minutes",
+def windowed_counts(rows: DataFrame, ts: str, width: str = "1 hour", delay: str | None = None,
                     text: str = "text", policy: Policy | None = None) -> DataFrame:
-    """Matches per entity and window of event time, for a stream or a table.
+    """Matches per entity and window of event time, for a table or a stream.
 
-    The only state is one running sum per open window and entity.
+    All rows and all windows count. Only with a ``delay`` does a stream leave
+    out rows that come later than that behind the newest one, and let go of the
+    windows before it; the only state is one running sum per window and entity.
     """
-    redacted = redact(stream.withWatermark(ts, delay), text, policy)
+    redacted = redact(rows.withWatermark(ts, delay) if delay else rows, text, policy)
     return (
         redacted.select(ts, F.explode("entity_counts").alias("entity", "n"))
         .groupBy(F.window(ts, width).alias("w"), "entity")
@@ -82,3 +84,24 @@ def windowed_counts(stream: DataFrame, ts: str, width: str = "1 hour", delay: st
             "entity", "n_matches",
         )
     )
+
+
+def start_windowed_counts(stream: DataFrame, ts: str, sink: str, checkpoint: str,
+                          width: str = "1 hour", text: str = "text",
+                          policy: Policy | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Keep the counts of all windows of a stream, whatever the order of its rows.
+
+    Each batch writes the counts so far to ``sink/batch=<id>``; the highest one
+    holds them all, and a batch that is run again overwrites its own. No row is
+    late. The state grows with the number of windows, not with that of rows.
+    """
+
+    def run_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    return (
+        windowed_counts(stream, ts, width, None, text, policy)
+        .writeStream.outputMode("complete").foreachBatch(run_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or DRAIN)).start()
+    )

@@ -240,7 +240,7 @@ def test_windowed_counts(spark):
 
     def run():
         stream = jobs.read_text_stream(spark, source, schema)
-        counts = jobs.windowed_counts(stream, "ts")
+        counts = jobs.windowed_counts(stream, "ts", delay="10 minutes")
         counts.writeStream.format("parquet").outputMode("append").option(
             "path", f"{base}/sink").option("checkpointLocation", f"{base}/state").trigger(
             **jobs.DRAIN).start().awaitTermination()

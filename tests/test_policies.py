@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkveil.functions.rules import ENTITIES, TOGGLES
 from inkveil.operators.policy import redact_with_policy
 from inkveil.sources.policies import (
-    SWITCHES, Policy, policy_from_toml, policy_table, policy_to_toml, read_policies, with_defaults,
+    SWITCHES, Policy, policy_from_toml, policy_table, read_policies, with_defaults,
 )
 from inkveil.sources.tables import new_folder
 from tests import model
@@ -49,17 +49,27 @@ def test_toml_errors(text):
         policy_from_toml(text)
 
 
-def test_toml_round_trip(tmp_path):
-    policy = Policy(False, frozenset({"redact_iban"}), ('a"b', "c\\d", "e\nf", "é"), ("",))
-    assert policy_from_toml(policy_to_toml(policy)) == policy
-    path = tmp_path / "settings.toml"
-    path.write_text(policy_to_toml(Policy()), "utf-8")
-    assert policy_from_toml(path) == Policy()
+@pytest.mark.parametrize("value", ['"Bob"', "true", "[1]"])
+def test_toml_lists_are_lists(value):
+    with pytest.raises(ValueError):
+        policy_from_toml(f"enabled = true\n[redaction]\ncustom_names = {value}\n")
 
 
-def test_unknown_switch():
-    with pytest.raises(ValueError):
-        Policy(off=frozenset({"redact_everything"}))
+@pytest.mark.parametrize("bad", [
+    '{"scope": "a", "enabled": "false"}', '{"scope": "a", "redact_email": "no"}', '{"scope": "a", ', '{"enabled": false}',
+    '{\n  "scope": "a",\n  "enabled": false\n}', '{"scope": "a", "custom_names": "Bob"}',
+])
+def test_bad_policies_fail(spark, bad):
+    path = new_folder(spark)
+    spark.createDataFrame([(bad,)], "value string").coalesce(1).write.text(path)
+    with pytest.raises(Exception, match="MALFORMED|no scope|FAILED_READ"):
+        read_policies(spark, path).collect()
+
+
+def test_policies_over_several_lines(spark):
+    path = new_folder(spark)
+    spark.createDataFrame([('{\n  "scope": "a",\n  "enabled": false\n}',)], "value string").coalesce(1).write.text(path)
+    assert [(r["scope"], r["enabled"]) for r in read_policies(spark, path, multiLine=True).collect()] == [("a", False)]
 
 
 def test_missing_source_gives_the_default(spark):

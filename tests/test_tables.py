@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from inkveil.operators.redact import redact
-from inkveil.sources.tables import new_folder, read_texts, scratch_root, spread, write_texts
+from inkveil.sources.tables import new_folder, read_texts, scratch_root, write_texts
 
 ROWS = [(1, 'a "b", c@d.org\nnext'), (2, ""), (3, None), (4, "plain"), (5, "back\\slash, é")]
 
@@ -16,10 +16,11 @@ def test_formats(spark, fmt):
     source, sink = new_folder(spark), new_folder(spark)
     writer = df.coalesce(1).write.format(fmt)
     (writer.options(header=True, escape='"') if fmt == "csv" else writer).save(source)
-    read = read_texts(spark, source, fmt, schema="id int, text string")
+    lines = {"multiLine": True} if fmt == "csv" else {}
+    read = read_texts(spark, source, fmt, schema="id int, text string", **lines)
     assert sorted(map(tuple, read.collect())) == ROWS
     write_texts(redact(read), sink, fmt)
-    back = read_texts(spark, sink, fmt, schema="id int, redacted_text string, changed boolean, n_matches int")
+    back = read_texts(spark, sink, fmt, schema="id int, redacted_text string, changed boolean, n_matches int", **lines)
     assert sorted(map(tuple, back.collect())) == [
         (1, 'a "b", XXX@d.org\nnext', True, 1), (2, "", False, 0), (4, "plain", False, 0),
         (5, "back\\slash, é", False, 0),
@@ -41,13 +42,6 @@ def test_unknown_format(spark):
         read_texts(spark, "x", "xml")
 
 
-def test_spread_moves_small_inputs_only(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    assert spread(df).rdd.getNumPartitions() == 2 * cores
-    large = spark.range(10**12)
-    assert spread(large) is large
-
 
 def test_scratch_root_is_the_session_setting(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
