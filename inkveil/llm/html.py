@@ -1,15 +1,16 @@
 """Main text of web pages by site template removal.
 
 A page is read into a tree. Each subtree gets a hash of its shape and text;
-Spark counts on how many pages of a host each hash stands, and subtrees that
-recur on many are deleted, along with the elements that HTML itself or their
-class names mark as no part of the article.
+Spark counts beside how many other texts each hash stands on a host, and subtrees
+that recur beside many are deleted, along with the elements that HTML itself or
+their class names mark as no part of the article. Copies of a page or an article
+stand beside one text, so they count once.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -29,7 +30,6 @@ WHOLE = frozenset("html body main".split())
 #: What a start tag of each element ends, and where the search for it stops.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCE = frozenset("html body table td th ul ol dl menu button article section div main aside nav".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption address hr".split())
 
 # What is never part of an article, by element, by role, and by a word of its class or id.
 OUTSIDE = frozenset("head nav footer aside form script style noscript template iframe button select textarea title dialog menu svg math object canvas video audio map search input label".split())
@@ -43,7 +43,10 @@ AROUND = frozenset("has no with without is".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption address hr".split())
 WORD = re.compile(r"[a-z]+|[0-9]+")
+#: Words that are hashed together, and how many of the least hashes stand for a text.
+SHINGLE, LEAST = 3, 4
 
 
 class Node:
@@ -141,15 +144,6 @@ def hashes(root: Node) -> tuple[dict[int, int], dict[int, int]]:
     return hashed, length
 
 
-def subtrees(html: str | None) -> list[int]:
-    """The distinct hashes of a page's block elements that have text."""
-    if not html:
-        return []
-    root = parse(html)
-    hashed, length = hashes(root)
-    return list({hashed[id(x)] for x in walk(root) if x.block and length[id(x)]})
-
-
 def main_parts(root: Node) -> list[Node]:
     """The article elements that are not inside another or inside something unwanted; else the main element, else the page."""
     for wanted in ("article", "main"):
@@ -167,55 +161,106 @@ def main_parts(root: Node) -> list[Node]:
     return [root]
 
 
-def main_text(html: str | None, templates: frozenset[int]) -> str:
-    """The text of the article in blocks; ``templates`` are the hashes of subtrees to delete.
+def flow(part: Node, gone: Callable[[Node], bool] = lambda x: False) -> Iterator[tuple[Node | None, str | None]]:
+    """The blocks and texts of a part in order: ``(block, "")`` where one begins, ``(block, None)`` where it ends, else ``(None, text)``.
 
-    A recurring subtree stays if it is prose of an article, as copies of an
-    article recur too, or holds most of the text.
+    What is unwanted or ``gone`` is left out; it separates texts as it would itself.
     """
+    article = part.tag in ("article", "main")
+    waiting: list[Node | str | tuple[Node, None]] = [part]
+    while waiting:
+        x = waiting.pop()
+        if isinstance(x, str):
+            yield None, x
+        elif isinstance(x, tuple):
+            yield x
+        elif x is not part and (x.unwanted or x.tag == "header" and not article):
+            yield None, " "
+            if x.block:
+                yield x, ""
+                yield x, None
+        elif gone(x):
+            yield x, ""
+            yield x, None
+        elif x.tag == "br":
+            yield None, " "
+        elif x.block or x is part:
+            yield x, ""
+            waiting += [(x, None), *x.items[::-1]]
+        else:
+            waiting += x.items[::-1]
+
+
+def main_text(html: str | None, templates: frozenset[int]) -> str:
+    """The text of the article in blocks; ``templates`` are the hashes of subtrees to delete, unless one holds most of the text."""
     if not html:
         return ""
     root = parse(html)
     hashed, length = hashes(root) if templates else ({}, {})
+    parts = main_parts(root)
+    total = sum(length[id(x)] for x in parts) if templates else 0
     blocks: list[str] = []
-    for part in main_parts(root):
-        article = part.tag in ("article", "main")
+    for part in parts:
         run: list[str] = []
-        waiting: list[Node | str | None] = [part]
-        while waiting:
-            x = waiting.pop()
-            if isinstance(x, str):
-                run.append(x)
+        for node, text in flow(part, lambda x: bool(templates) and x.block and hashed[id(x)] in templates and not (part.tag and x.tag in PROSE) and x is not part and 2 * length[id(x)] <= total):
+            if node is None:
+                run.append(text)
                 continue
-            if x is None:  # a block begins or ends
-                if words := "".join(run).split():
-                    blocks.append(" ".join(words))
-                run = []
-                continue
-            if x is not part:
-                if x.unwanted or x.tag == "header" and not article:
-                    run.append(" ")
-                    waiting += [None] * x.block
-                    continue
-                if templates and x.block and hashed[id(x)] in templates and not (article and x.tag in PROSE) and 2 * length[id(x)] <= length[id(part)]:
-                    waiting.append(None)
-                    continue
-            if x.tag == "br":
-                run.append(" ")
-            elif x.block or x is part:
-                waiting += [None, *x.items[::-1], None]
-            else:
-                waiting += x.items[::-1]
-        if words := "".join(run).split():
-            blocks.append(" ".join(words))
+            if words := "".join(run).split():
+                blocks.append(" ".join(words))
+            run = []
     return "\n\n".join(blocks)
 
 
+def sketch(text: str) -> tuple[int, ...]:
+    """The least hashes of a text's runs of words."""
+    words = text.split()
+    runs = {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else ()
+    return tuple(sorted(map(xxhash.xxh64_intdigest, runs))[:LEAST])
+
+
+def subtrees(html: str | None) -> tuple[int, dict[int, int]]:
+    """A hash of a page's main text, and for its block elements with text their hashes, each with one of the main text beside it.
+
+    Hashes of texts are made of their sketches, so that most near copies have
+    the same one. A block with nothing beside it has 0.
+    """
+    if not html:
+        return 0, {}
+    root = parse(html)
+    hashed, length = hashes(root)
+    merged = lambda a, b: tuple(sorted({*a, *b})[:LEAST])
+    texts: list[tuple[int, ...]] = []
+    found: list[tuple[int, int, int]] = []
+    for part in main_parts(root):
+        run: list[str] = []
+        open_: dict[int, int] = {}
+        for node, text in flow(part):
+            if node is None:
+                run.append(text)
+                continue
+            if least := sketch("".join(run)):
+                texts.append(least)
+            run = []
+            if text is not None:
+                open_[id(node)] = len(texts)
+            elif node.block and len(texts) > (at := open_[id(node)]):
+                found.append((hashed[id(node)], at, len(texts)))
+    before, after = [()], [()]
+    for x in texts:
+        before.append(merged(before[-1], x))
+    for x in reversed(texts):
+        after.append(merged(after[-1], x))
+    named = lambda x: xxhash.xxh64_intdigest(repr(x)) - (1 << 63) if x else 0
+    return named(before[-1]), {x: named(merged(before[low], after[len(texts) - high])) for x, low, high in found}
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [subtrees(x) for x in batch.column("html").to_pylist()]
-        rows = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("host").take(rows), batch.column("a").take(rows), batch.column("b").take(rows), pa.array([y for x in found for y in x], pa.int64())], ["host", "a", "b", "subtree"])
+        rows = pa.array([i for i, (_, x) in enumerate(found) for _ in x], pa.int64())
+        longs = [[story for story, x in found for _ in x], [y for _, x in found for y in x], [y for _, x in found for y in x.values()]]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("host", "a", "b")), *(pa.array(x, pa.int64()) for x in longs)], ["host", "a", "b", "story", "subtree", "beside"])
 
 
 def host_of(url: Column) -> Column:
@@ -225,11 +270,14 @@ def host_of(url: Column) -> Column:
 def extract(pages: DataFrame, url_col: str, html_col: str, out_col: str = "text", least_pages: int = 5, least_share: float = 0.01) -> DataFrame:
     """``pages`` with the main text of each page in ``out_col``, which replaces a column of that name.
 
-    A subtree is a template if it stands on ``least_pages`` pages of a host and
-    on ``least_share`` of them at least. Hosts are compared in lower case; pages
-    without one share an empty host. A page that occurs several times counts
-    once. Null, empty and textless pages have an empty text; each row is kept,
-    and markup of any length is read whole. Other columns are left as they are.
+    A subtree of the main text is a template if it stands beside ``least_pages``
+    texts of a host and beside ``least_share`` of its distinct main texts at
+    least, and if those texts are, for the pages it stands on, at least half as
+    many as for all pages of the host: copies and near copies have few. Hosts are
+    compared in lower case; pages without one share an empty host. A page that
+    occurs several times counts once. Null, empty and textless pages have an
+    empty text; each row is kept, and markup of any length is read whole. Other
+    columns are left as they are.
     """
     @F.arrow_udf("string")
     def text_of(html: pa.Array, templates: pa.Array) -> pa.Array:
@@ -237,10 +285,12 @@ def extract(pages: DataFrame, url_col: str, html_col: str, out_col: str = "text"
 
     key = {"a": F.xxhash64(col(url_col), col(html_col)), "b": F.xxhash64(F.lit(1), col(html_col), col(url_col))}
     read = pages.select(host_of(col(url_col)).alias("host"), col(html_col).alias("html"), *(v.alias(k) for k, v in key.items()))
-    found = read.mapInArrow(_hashed, "host string, a long, b long, subtree long").distinct()
-    total = read.select("host", "a", "b").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    often = found.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    often = often.join(total, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "subtree")
+    found = read.mapInArrow(_hashed, "host string, a long, b long, story long, subtree long, beside long").distinct()
+    total = found.select("host", "a", "b", "story").distinct().groupBy("host", "story").agg(F.count(F.lit(1)).alias("k"))
+    total = total.groupBy("host").agg(F.count(F.lit(1)).alias("stories"), F.sum("k").alias("pages"))
+    often = found.groupBy("host", "subtree", "beside").agg(F.count(F.lit(1)).alias("k")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("on"))
+    often = often.where(F.col("n") >= least_pages).join(total, "host")
+    often = often.where((F.col("n") >= least_share * F.col("stories")) & (2 * F.col("n") * F.col("pages") >= F.col("on") * F.col("stories"))).select("host", "subtree")
     given = found.join(often, ["host", "subtree"]).groupBy("a", "b").agg(F.collect_list("subtree").alias("templates"))
     taken = {c.lower() for c in pages.columns}
     name = next(f"_{k}" for k in range(len(taken) + 3) if not any(c.startswith(f"_{k}") for c in taken))

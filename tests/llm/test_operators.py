@@ -258,6 +258,27 @@ def test_html(spark):
     assert html.extract(empty(pages), "url", "html").count() == 0
 
 
+def test_html_copies(spark):
+    """Copied pages and articles stay, near copies as well."""
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"{rng.choice(WORDS[:14])}{rng.randrange(999)}" for _ in range(n))
+    one, two, three, bare, near = words(30), words(25), words(28), [words(20) for _ in range(4)], [words(20) for _ in range(6)]
+    rows, want = [], {}
+
+    def add(html, text):
+        want[len(rows)] = text
+        rows.append((len(rows), f"https://site.org/{len(rows)}", html))
+
+    for k in range(8):
+        add("<body>" + "".join(f"<p>{x}</p>" for x in bare) + "</body>", "\n\n".join(bare))
+        add(f"<body><div>Number {k}</div><article><div><p>{one}</p><p>{two}</p></div><section>{three}</section></article></body>", f"{one}\n\n{two}\n\n{three}")
+    for k in range(12):
+        some = [x if i != k % 6 else x.replace(" ", f" changed{k} ", 1) for i, x in enumerate(near)]
+        add("<body>" + "".join(f"<p>{x}</p>" for x in some) + "</body>", "\n\n".join(some))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract(pages, "url", "html").collect()} == want
+
+
 def test_licenses(spark):
     mit, apache = licenses.TEMPLATES["mit"], licenses.TEMPLATES["apache-2.0"]
     filler = " ".join(f"word{i}" for i in range(300))
