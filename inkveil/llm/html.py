@@ -43,7 +43,6 @@ AROUND = frozenset("has no with without is".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption address hr".split())
 WORD = re.compile(r"[a-z]+|[0-9]+")
 #: Words that are hashed together, and how many of the least hashes stand for a text.
 SHINGLE, LEAST = 3, 4
@@ -202,7 +201,7 @@ def main_text(html: str | None, templates: frozenset[int]) -> str:
     blocks: list[str] = []
     for part in parts:
         run: list[str] = []
-        for node, text in flow(part, lambda x: bool(templates) and x.block and hashed[id(x)] in templates and not (part.tag and x.tag in PROSE) and x is not part and 2 * length[id(x)] <= total):
+        for node, text in flow(part, lambda x: bool(templates) and x.block and hashed[id(x)] in templates and 2 * length[id(x)] <= total):
             if node is None:
                 run.append(text)
                 continue

@@ -258,17 +258,21 @@ def test_html(spark):
     assert html.extract(empty(pages), "url", "html").count() == 0
 
 
-def test_html_copies(spark):
-    """Copied pages and articles stay, near copies as well."""
+def test_html_templates_and_copies(spark):
+    """Recurring blocks in articles go, teaser cards too; copied pages and articles stay, near copies as well."""
     rng = random.Random(3)
     words = lambda n: " ".join(f"{rng.choice(WORDS[:14])}{rng.randrange(999)}" for _ in range(n))
     one, two, three, bare, near = words(30), words(25), words(28), [words(20) for _ in range(4)], [words(20) for _ in range(6)]
+    line, card = "<p>Get our letter each week</p><ul><li>Tell a friend</li></ul>", "<article><h2>Read this too</h2><p>Best of the year</p></article>"
     rows, want = [], {}
 
     def add(html, text):
         want[len(rows)] = text
         rows.append((len(rows), f"https://site.org/{len(rows)}", html))
 
+    for _ in range(20):
+        a, b = words(20), words(15)
+        add(f"<body><article><h1>{a}</h1>{line}<p>{b}</p></article>{card}</body>", f"{a}\n\n{b}")
     for k in range(8):
         add("<body>" + "".join(f"<p>{x}</p>" for x in bare) + "</body>", "\n\n".join(bare))
         add(f"<body><div>Number {k}</div><article><div><p>{one}</p><p>{two}</p></div><section>{three}</section></article></body>", f"{one}\n\n{two}\n\n{three}")
