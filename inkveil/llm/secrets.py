@@ -3,7 +3,8 @@
 Strong patterns stand by themselves. A weak candidate (a random-looking string,
 an account name, an address of a service) is reported only where the parts of a
 credential come together: the places of identifiers, each widened to a scope,
-are interval-joined with the places of possible secrets and endpoints.
+are interval-joined with the places of possible secrets and endpoints, which are
+found whole, wherever they begin and end.
 """
 
 from __future__ import annotations
@@ -36,7 +37,6 @@ IDENTITY_WORDS = (b"key_id", b"keyid", b"client", b"account", b"user", b"login")
 ENDPOINT = re.compile(r"(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ftp|ssh)://[A-Za-z0-9._~:@%/?#&=+-]{3,}", re.ASCII)
 KEY = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 KEY_PARTS = tuple(map(re.compile, ("[a-z]", "[A-Z]", "[0-9]")))
-IN_KEY = re.compile(r"[A-Za-z0-9+/_=-]*")
 
 
 class Span(NamedTuple):
@@ -88,22 +88,21 @@ def linked_spans(text: str, low: bytes, base: list[Span], reach: int) -> list[Sp
     if not strong and not named:
         return []
     strong.sort()
-    taken, found, done = sorted(base), set(), 0
-    for top, bottom in scopes(strong + named, reach, len(text)):
-        top = max(done, top - len(IN_KEY.match(text[top::-1] if top < 4096 else text[top : top - 4096 : -1]).group()) + 1) if top else 0
-        bottom = done = IN_KEY.match(text, bottom).end()
-        ends = [Span(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text, top, bottom)]
-        for m in KEY.finditer(text, top, bottom):
-            if not all(part.search(m.group()) for part in KEY_PARTS):
-                continue
-            key = Span(m.start(), 4, m.end())
-            if any(x.start < key.end and key.start < x.end for x in near(key, taken, 0) + near(key, ends, 0)):
-                continue
-            owners, users, places = near(key, strong, reach), near(key, named, reach), near(key, ends, reach)
-            if owners or users and places:
-                found.add(key)
-                found.update(users if places else ())
-                found.update(places)
+    taken, found = sorted(base), set()
+    within = [Span(top, 0, bottom) for top, bottom in scopes(strong + named, reach, len(text))]
+    ends = [Span(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
+    for m in KEY.finditer(text):
+        key = Span(m.start(), 4, m.end())
+        if not (here := near(key, within, 0)) or not all(part.search(m.group()) for part in KEY_PARTS):
+            continue
+        if any(x.start < key.end and key.start < x.end for x in near(key, taken, 0) + near(key, ends, 0)):
+            continue
+        owners, users = near(key, strong, reach), near(key, named, reach)
+        places = [x for x in near(key, ends, reach) if near(x, here, 0)]
+        if owners or users and places:
+            found.add(key)
+            found.update(users if places else ())
+            found.update(places)
     return sorted(found)
 
 
