@@ -16,21 +16,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import col, table
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-#: Bounds of the sample that the field is fitted on: texts in all, and code points of one stretch of a text.
-SAMPLE_TEXTS, SAMPLE_STRETCH = 3000, 500
+#: Bounds of the sample that the field is fitted on: texts in all, code points of one stretch of a text, and texts that each language may have anyway.
+SAMPLE_TEXTS, SAMPLE_STRETCH, SAMPLE_LANGUAGE = 3000, 500, 20
 #: Bounds of the model: features, and words of the lexicon among them.
 FEATURES, LEXICON = 60_000, 10_000
 #: Training: sequences, words of one, sequences of a step, rounds, and how often a sequence goes on in another language.
 SEQUENCES, LENGTH, STEP, ROUNDS, SWITCH = 4000, 32, 64, 4, 0.08
+#: Sequences for each language at least, if there are many.
+SEQUENCES_EACH = 60
 #: Words whose scores a task remembers, texts that are labelled together, and words of a block of a long text.
 WORDS, TOGETHER, BLOCK = 150_000, 128, 128
+#: With more languages, fewer words and texts are held at once, and long texts are not cut, as matrices of blocks would outgrow them.
+MANY = 16
 
 
 def letters(text: str | None) -> list[re.Match]:
@@ -97,10 +101,11 @@ class Field:
         return np.stack([np.bincount(owner, self.weights[rows, c], len(words)) for c in range(len(self.languages))], axis=1)
 
 
-def _within(given: np.ndarray, starts: np.ndarray, move: np.ndarray, prior: np.ndarray, after: np.ndarray) -> np.ndarray:
+def _within(given: np.ndarray, starts: np.ndarray, move: np.ndarray, prior: np.ndarray, after: np.ndarray, halves: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Each word's probabilities in sequences that begin at ``starts``, by falling length, with the end as the last one.
 
-    ``prior`` weighs a sequence's first word, ``after`` its last one.
+    ``prior`` weighs a sequence's first word, ``after`` its last one. ``halves``
+    take the forward and the backward messages, each up to a factor.
     """
     lengths, begin = np.diff(starts), starts[:-1]
     active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # sequences that are longer than t
@@ -111,13 +116,19 @@ def _within(given: np.ndarray, starts: np.ndarray, move: np.ndarray, prior: np.n
             now = (now[: active[t]] @ move) * given[begin[: active[t]] + t]
         now /= now.sum(axis=1, keepdims=True)
         ahead[begin[: active[t]] + t] = now
+    if halves:
+        halves[0][:] = ahead
     back = after.copy()
     for t in range(lengths[0] - 1, 0, -1):
         live = slice(0, active[t])
         rows = begin[live] + t
+        if halves:
+            halves[1][rows] = back[live]
         ahead[rows] *= back[live]
         behind = (given[rows] * back[live]) @ move.T
         back[live] = behind / behind.sum(axis=1, keepdims=True)
+    if halves:
+        halves[1][begin] = back
     ahead[begin] *= back
     return ahead / ahead.sum(axis=1, keepdims=True)
 
@@ -140,14 +151,24 @@ def forward_backward(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray,
     Long sequences are cut into blocks. What comes before and after a block
     acts on it through one vector each, which the blocks' matrices give exactly.
     """
+    return _messages(scores, starts, moves, first, False)[0]
+
+
+def with_pairs(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``forward_backward``, and how often each language is expected to follow each, summed over all neighbours."""
+    return _messages(scores, starts, moves, first, True)
+
+
+def _messages(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray, first: np.ndarray, pairs: bool) -> tuple[np.ndarray, np.ndarray]:
     if len(starts) < 2:
-        return np.zeros_like(scores)
+        return np.zeros_like(scores), np.zeros_like(moves)
+    block = BLOCK if len(first) <= MANY else int(np.diff(starts).max())
     move, given = np.exp(moves - moves.max()), np.exp(scores - scores.max(axis=1, keepdims=True))
-    begin, number = np.exp(first - first.max()), -(-np.diff(starts) // BLOCK)
+    begin, number = np.exp(first - first.max()), -(-np.diff(starts) // block)
     owner = np.repeat(np.arange(len(number)), number)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
-    tops = starts[owner] + place * BLOCK
-    lengths = np.minimum(starts[owner + 1] - tops, BLOCK)
+    tops = starts[owner] + place * block
+    lengths = np.minimum(starts[owner + 1] - tops, block)
     order = np.argsort(-lengths, kind="stable")
     edges = np.r_[0, np.cumsum(lengths[order])]
     words = np.repeat(tops[order] - edges[:-1], lengths[order]) + np.arange(len(given))
@@ -165,9 +186,16 @@ def forward_backward(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray,
         for blocks in groups[:0:-1]:
             now = np.einsum("nij,nj->ni", products[at[blocks]], after[at[blocks]]) @ move.T
             after[at[blocks - 1]] = now / now.sum(axis=1, keepdims=True)
-    out = np.empty_like(given)
-    out[words] = _within(given, edges, move, prior, after)
-    return out
+    out, expected = np.empty_like(given), np.zeros_like(move)
+    halves = (np.empty_like(given), np.empty_like(given)) if pairs else None
+    out[words] = _within(given, edges, move, prior, after, halves)
+    if halves:
+        ahead, behind = np.empty_like(given), np.empty_like(given)
+        ahead[words], behind[words] = halves[0], halves[1] * given
+        right = np.setdiff1d(np.arange(len(given)), starts[:-1])
+        left, right = ahead[right - 1], behind[right]
+        expected = move * ((left / ((left @ move) * right).sum(axis=1, keepdims=True)).T @ right)
+    return out, expected
 
 
 def fit(texts: Iterable[tuple[str, str]], seed: int = 7) -> Field | None:
@@ -202,7 +230,8 @@ def fit(texts: Iterable[tuple[str, str]], seed: int = 7) -> Field | None:
     order = np.argsort(owner, kind="stable")
     known = np.split(flat[order], np.searchsorted(owner[order], np.arange(1, len(lexicon))))
     drawn: list[tuple[list[str], np.ndarray]] = []
-    for _ in range(SEQUENCES):
+    sequences = max(SEQUENCES, SEQUENCES_EACH * k)
+    for _ in range(sequences):
         words, labels = [], []
         now = int(random.integers(k))
         while len(words) < LENGTH:
@@ -216,23 +245,18 @@ def fit(texts: Iterable[tuple[str, str]], seed: int = 7) -> Field | None:
         drawn.append((words[:LENGTH], np.array(labels[:LENGTH])))
     starts = np.arange(STEP + 1) * LENGTH
     for round_ in range(ROUNDS):
-        order = random.permutation(SEQUENCES)
-        for at in range(0, SEQUENCES - STEP + 1, STEP):
+        order = random.permutation(sequences)
+        for at in range(0, sequences - STEP + 1, STEP):
             batch = [drawn[i] for i in order[at : at + STEP]]
             lists = [known[places[w]] for words, _ in batch for w in words]
             flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             scores = np.stack([np.bincount(owner, weights[flat, c], len(lists)) for c in range(k)], axis=1)
             truth = np.concatenate([labels for _, labels in batch])
-            gap = forward_backward(scores, starts, moves, first)
-            # expected moves between neighbours, from the words' own probabilities given their neighbours
-            pairs = np.zeros((k, k))
-            table_ = gap.reshape(STEP, LENGTH, k)
-            joint = table_[:, :-1, :, None] * np.exp(moves)[None, None] * (table_ / np.maximum(_carried(table_, moves), 1e-12))[:, 1:, None, :]
-            pairs = (joint / joint.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1))
+            gap, pairs = with_pairs(scores, starts, moves, first)
             seen = np.zeros((k, k))
             labels = truth.reshape(STEP, LENGTH)
             np.add.at(seen, (labels[:, :-1].ravel(), labels[:, 1:].ravel()), 1)
-            start_gap = table_[:, 0].sum(axis=0) - np.bincount(labels[:, 0], minlength=k)
+            start_gap = gap[starts[:-1]].sum(axis=0) - np.bincount(labels[:, 0], minlength=k)
             gap[np.arange(len(truth)), truth] -= 1
             rows_gap = np.stack([np.bincount(flat, gap[owner, c], len(chosen)) for c in range(k)], axis=1) / STEP
             for value, slope, square, rate in ((weights, rows_gap, squares[0], 0.3), (moves, (pairs - seen) / STEP, squares[1], 0.1), (first, start_gap / STEP, squares[2], 0.1)):
@@ -242,14 +266,6 @@ def fit(texts: Iterable[tuple[str, str]], seed: int = 7) -> Field | None:
     return field
 
 
-def _carried(table_: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """What each word's probabilities would be from the word before alone."""
-    out = np.ones_like(table_)
-    step = np.exp(moves)
-    out[:, 1:] = table_[:, :-1] @ (step / step.sum(axis=1, keepdims=True))
-    return out
-
-
 class Places(dict):
     """Numbers words as they come; -1 for those without a letter."""
 
@@ -279,7 +295,7 @@ class Labeller:
 
     def rows_of(self, texts: list[list[str]]) -> list[np.ndarray]:
         """For each text's words the rows of their scores; -1 if a word has no letter."""
-        if len(self.places) > WORDS:
+        if len(self.places) * max(MANY, len(self.field.languages)) > WORDS * MANY:
             self.forget()
         place = self.places.__getitem__
         found = [np.fromiter(map(place, words), np.int64, len(words)) for words in texts]
@@ -299,22 +315,27 @@ class Labeller:
 
 
 def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, texts: int, stretch: int) -> DataFrame:
-    """At most ``texts`` rows ``(text, lang)``: an even share of each language, by a hash of the id, a stretch from a hashed place of each."""
-    rows = docs.select(col(text_col).alias("text"), col(lang_col).cast("string").alias("lang"), F.xxhash64(col(id_col), F.lit(3)).alias("h")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()
+    """Rows ``(text, lang)`` of each language: an even share of ``texts``, but SAMPLE_LANGUAGE if that is more.
+
+    Texts are drawn by a hash of id and text, equal ones once, a stretch from a
+    hashed place of each. Each language that has a text with a letter has one here.
+    """
+    rows = docs.select(col(text_col).alias("text"), col(lang_col).cast("string").alias("lang"), F.xxhash64(col(id_col), col(text_col), F.lit(3)).alias("h"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("place", F.pmod("h", F.lit(1 << 40)))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least")).collect()
     if not counts:
         return rows.select("text", "lang").limit(0)
-    share = {r["lang"]: min(1.0, texts / len(counts) / r["n"]) for r in counts}
-    chance = F.lit(None).cast("double")
-    for lang, part in share.items():
-        chance = F.when(F.col("lang") == lang, part).otherwise(chance)
-    rows = rows.where(F.pmod(F.col("h"), F.lit(1 << 40)) < chance * float(1 << 40)).orderBy("h", "lang").limit(texts)
+    each = max(SAMPLE_LANGUAGE, texts // len(counts))
+    # somewhat more than each, so that hardly any language falls short
+    tops = [(r["lang"], max(r["least"], int(min(1.0, (each + 4 * each**0.5) / r["n"]) * (1 << 40)))) for r in counts]
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(tops, "lang string, top long")), "lang").where("place <= top")
     start = F.pmod(F.xxhash64("h"), F.greatest(F.char_length("text") - stretch + 1, F.lit(1))).cast("int")
-    return rows.select(F.substring(F.col("text"), start + 1, F.lit(stretch)).alias("text"), "lang")
+    rows = rows.select(F.substring(F.col("text"), start + 1, F.lit(stretch)).alias("text"), "lang", "place", "h").dropDuplicates(["lang", "h"])
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "h"))).where(F.col("rank") <= each).select("text", "lang")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS, stretch: int = SAMPLE_STRETCH) -> Field | None:
-    """A field fitted on a sample of the labelled rows, bounded by ``texts`` stretches of ``stretch`` code points; at most 64 languages."""
+    """A field fitted on a sample of the labelled rows: every language, by stretches of ``stretch`` code points, ``texts`` of them or SAMPLE_LANGUAGE of each."""
     return fit([(r["text"], r["lang"]) for r in sampled(docs, id_col, text_col, lang_col, texts, stretch).collect()])
 
 
@@ -325,17 +346,18 @@ def with_language(df: DataFrame, text_col: str, field: Field | None, lang_col: s
     text if there is no field. Ties go to the language that sorts first. Texts
     are labelled whole and by nothing but themselves; columns of these two names
     are replaced, others are left as they are. The field travels with the tasks;
-    its size is bounded by FEATURES rows of at most 64 weights.
+    its size is bounded by FEATURES rows of a weight for each language.
     """
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def tell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         labeller = Labeller(field) if field else None
+        together = max(1, TOGETHER * MANY // max(MANY, len(field.languages))) if field else 1
         for batch in batches:
             out = [{"lang": UNKNOWN, "score": 0.0}] * len(batch)
-            for low in range(0, len(batch), TOGETHER) if labeller else ():
-                words = [WORD.findall(x) if x else [] for x in batch.slice(low, TOGETHER).to_pylist()]
+            for low in range(0, len(batch), together) if labeller else ():
+                words = [WORD.findall(x) if x else [] for x in batch.slice(low, together).to_pylist()]
                 for number, found in labeller.probabilities(words):
                     mean = found.mean(axis=0)
                     best = int(mean.argmax())

@@ -216,6 +216,39 @@ def test_forward_backward(monkeypatch):
         assert np.allclose(got[a:b], sums / sums.sum(axis=1, keepdims=True))
 
 
+@pytest.mark.parametrize("many", [16, 2])
+def test_pairs_of_neighbours(monkeypatch, many):
+    import itertools
+
+    monkeypatch.setattr(langid, "BLOCK", 3)
+    monkeypatch.setattr(langid, "MANY", many)
+    rng = np.random.default_rng(1)
+    scores, moves, first, starts = rng.normal(size=(14, 3)), rng.normal(size=(3, 3)), rng.normal(size=3), np.array([0, 1, 8, 10, 14])
+    want = np.zeros((3, 3))
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        sums, total = np.zeros((3, 3)), 0
+        for path in itertools.product(range(3), repeat=int(b - a)):
+            weight = np.exp(first[path[0]] + sum(scores[a + i, y] for i, y in enumerate(path)) + sum(moves[x, y] for x, y in itertools.pairwise(path)))
+            total += weight
+            for x, y in itertools.pairwise(path):
+                sums[x, y] += weight
+        want += sums / total
+    words, pairs = langid.with_pairs(scores, starts, moves, first)
+    assert np.allclose(pairs, want) and np.allclose(words, langid.forward_backward(scores, starts, moves, first))
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(4)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(70)}
+    rows = [(i, " ".join(rng.choices(words[x], k=20)), x) for i, x in enumerate(x for k, x in enumerate(words) for _ in range(6 if k < 64 else 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    field = langid.train(docs)
+    assert field.languages == tuple(words)
+    assert all(r["lang"] == r["lang_pred"] for r in langid.with_language(docs, "text", field).collect())
+    few = langid.sampled(docs, "doc_id", "text", "lang", 1, 50).groupBy("lang").count().collect()
+    assert len(few) == 70 and all(r["count"] <= langid.SAMPLE_LANGUAGE for r in few)
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     extra = spark.createDataFrame([(-1, None, None), (-2, "", None), (-3, "123 ___ !!", "en"), (-4, "ⅷ ² ١٢", None)], "doc_id long, text string, lang string")
