@@ -25,8 +25,6 @@ from inkveil.operators.redact import close_with_tokens
 from inkveil.sources.policies import Policy
 from inkveil.sources.tables import new_folder
 
-# Up to this many names are a literal list in the plan, without any join.
-SMALL_LIST = 200
 PIECE = r"(?U)[\w&&[^X]]+"
 FIRST_PAIR = r"(?U)^[\W]*([\w&&[^X]]+)[\W]+([\w&&[^X]]+)(?![\w&&[^X]])"
 
@@ -74,13 +72,14 @@ def _written(state: DataFrame) -> DataFrame:
 
 
 def redact_names(df: DataFrame, names: DataFrame, text: str = "text",
-                 policy: Policy | None = None, small: int = SMALL_LIST,
+                 policy: Policy | None = None, small: int = 0,
                  limit: int = BROADCAST_BYTES) -> DataFrame:
     """``redact`` with custom names from a table (ord, name).
 
     Pass numbers of names are 16 + ord; names of equal ord run in alphabetical
-    order. A table of more than ``small`` names takes a join; then the texts
-    pass through a table in the shared folder of the session.
+    order, those of no ord before all others, and repeated rows once. The texts
+    pass through a table in the shared folder of the session. ``small`` is
+    taken for callers that give it and changes nothing.
     """
     policy = policy or Policy()
     if policy.custom_names:
@@ -89,18 +88,7 @@ def redact_names(df: DataFrame, names: DataFrame, text: str = "text",
     texts = df.filter(F.col(quoted(text)).isNotNull())
     if not policy.enabled:
         texts = texts.filter(F.lit(False))
-    state = P.run_rules(P.start_state(texts, text), policy.switches())
-    cleaned = _clean(names)
-    few = cleaned.limit(small + 1).collect()
-    if len(few) <= small:
-        listed = [
-            F.struct(F.lit(n["ord"]).alias("ord"), F.lit(n["name"]).alias("name"))
-            for n in sorted(few, key=lambda n: (n["ord"], n["name"]))
-        ]
-        candidates = F.array(*listed).cast(P.NAMES_TYPE)
-        joined = state.withColumn("__candidates", candidates)
-    else:
-        state = _written(state)
-        joined = state.join(_candidates(state, cleaned, limit), "__row", "left")
+    state = _written(P.run_rules(P.start_state(texts, text), policy.switches()))
+    joined = state.join(_candidates(state, _clean(names), limit), "__row", "left")
     masked = P.mask_names(joined, "__candidates")
     return close_with_tokens(masked, text, columns, policy.allowlist_tokens).drop(text)

@@ -91,3 +91,17 @@ def test_table_agrees_with_list(spark):
         df, "text", Policy(off=policy.off, custom_names=("Bob", "met"), allowlist_tokens=("abc",))
     ).collect()
     assert by_table == by_list
+
+
+def test_few_and_many_names_give_the_same(spark):
+    """Repeated names run once, and one without ord runs first, whatever the number of names."""
+    df = spark.createDataFrame([(1, "XXXX met Ada Gray"), (2, None), (3, "")], "id long, text string")
+    few = [(1, "XXXX"), (1, "XXXX"), (2, "Ada"), (None, "Ada Gray")]
+    many = [*few, *((k, f"none{k}") for k in range(3, 400))]
+    got = []
+    for listed in (few, many):
+        names = spark.createDataFrame(listed, "ord int, name string")
+        done = redact_names(df, names).orderBy("id").collect()
+        got.append([(r["id"], r["redacted_text"], [(m["pass"], m["start"]) for m in r["matches"]]) for r in done])
+    assert got[0] == got[1]
+    assert got[0][0] == (1, "XXXX met XXXXXXXX", got[0][0][2]) and len([x for x in got[0][0][2] if x[0] == 17]) == 1
