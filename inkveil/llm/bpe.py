@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from inkveil.llm.common import col, table
 from inkveil.llm.units import Units, little
 
-#: Pairs of tokens whose verdict is remembered.
-PAIRS = 1_000_000
+#: Pairs of tokens whose verdict is remembered, and words and pieces that a worker remembers.
+PAIRS, WORDS = 1_000_000, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -133,7 +133,7 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str) -> None:
         self.bpe = Bpe(read_ranks(path))
-        self.encode = Units(pattern, lambda piece: little(self.bpe.encode(piece.encode())))
+        self.encode = Units(pattern, lambda piece: little(self.bpe.encode(piece.encode())), WORDS)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bpe.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -171,10 +171,21 @@ def with_decoded(df: DataFrame, ids_col: str, out_col: str, path: str, pattern:
     return df.withColumn(out_col, decode(col(ids_col)))
 
 
+def with_round_trip(df: DataFrame, text_col: str, out_col: str, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``df`` with a struct of each text's ``ids``, as ``with_ids`` has them, and of ``decoded``, the bytes that they stand for: one pass for both."""
+
+    @F.arrow_udf("struct<ids: binary, decoded: binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        known = encoder(path, pattern)
+        ids = [known.encode(x or "") for x in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(known.decode, ids), pa.binary())], ["ids", "decoded"])
+
+    return df.withColumn(out_col, both(col(text_col)))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and what they decode to, as digests."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    done = with_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "ids", path)
-    done = with_decoded(done, "ids", "decoded", path)
-    tokens = (F.octet_length("ids") / F.lit(4)).cast("long")
-    return done.select("doc_id", tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = with_round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "bpe", path)
+    tokens = (F.octet_length("bpe.ids") / F.lit(4)).cast("long")
+    return done.select("doc_id", tokens.alias("n_tokens"), F.sha2("bpe.ids", 256).alias("ids_sha256"), F.sha2("bpe.decoded", 256).alias("decoded_sha256"))

@@ -46,8 +46,8 @@ class Units:
     with other runs of blanks are split whole.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[str], bytes]) -> None:
-        self.pattern, self.pieces, self.words = regex.compile(pattern), Memory(encode), Memory(self._word)
+    def __init__(self, pattern: str, encode: Callable[[str], bytes], entries: int = ENTRIES) -> None:
+        self.pattern, self.pieces, self.words = regex.compile(pattern), Memory(encode, entries), Memory(self._word, entries)
 
     def _word(self, word: str) -> bytes:
         if not word or word[0].isspace():
