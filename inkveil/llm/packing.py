@@ -2,8 +2,7 @@
 
 Each document goes where it makes the sum of the squared counts of partially
 filled sequences least, over their fill levels; the counts lie in an array with
-a place for each level. Of what is still open at the end, the fullest sequences
-stay as they are and the others are poured together.
+a place for each level. What is still open at the end is poured together.
 """
 
 from __future__ import annotations
@@ -26,8 +25,6 @@ from inkveil.llm.units import Units, little
 
 #: Documents, and bytes of text, that one task packs together.
 GROUP, GROUP_BYTES = 8192, 32 << 20
-#: Open sequences that are filled to this share at the end stay.
-STAYS = 31 / 32
 #: A run of blanks that is taken with more care.
 RUN = 20_000
 BLANKS = re.compile(rf"\s{{{RUN}}}")
@@ -117,10 +114,9 @@ class Levels:
 def pack(lengths: list[int], size: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces ``(item, start, length, sequence, offset)`` of items of these lengths, in sequences of at most ``size``.
 
-    An item is cut into full sequences and a rest, which is placed online. At
-    the end, sequences filled to ``STAYS`` or more stay. The rests in the others
-    are poured, the fullest sequence first, into new ones that are filled to the
-    brim; only the last of them is not full.
+    An item is cut into full sequences and a rest, which is placed online. The
+    rests in sequences that stay open are poured, the fullest sequence first,
+    into new ones that are filled to the brim; only the last of them is not full.
     """
     levels, pieces, members = Levels(size), [], {}
     for item, length in enumerate(lengths):
@@ -132,7 +128,7 @@ def pack(lengths: list[int], size: int) -> list[tuple[int, int, int, int, int]]:
             sequence, offset = levels.place(length - whole)
             members.setdefault(sequence, []).append((item, whole, length - whole, offset))
     filled = {q: sum(x[2] for x in members[q]) for q in members}
-    for sequence in [q for q in members if filled[q] >= STAYS * size]:
+    for sequence in [q for q in members if filled[q] == size]:
         pieces += [(i, s, n, sequence, o) for i, s, n, o in members.pop(sequence)]
     names = sorted(members)  # the numbers of what is poured are given anew
     fill, used = 0, 0
