@@ -546,7 +546,7 @@ def without_repeats(docs: DataFrame, id_col: str, text_col: str, least: int = LE
     def decoded(kept: pa.Array) -> pa.Array:
         return pa.array([x.decode(errors="ignore") for x in kept.to_pylist()], pa.string())
 
-    done = remove_repeats(docs, id_col, text_col, least, carried=docs.columns)
+    done = remove_repeats(docs, id_col, text_col, least, carried=[c for c in docs.columns if c != text_col])
     field = lambda name: F.col(f"rest.{quoted(name)}")
     return done.withColumn("kept", decoded("kept")).select(*(F.col("kept").alias(c) if c == text_col else field(c) for c in docs.columns))
 
