@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import struct
 import zlib
@@ -164,6 +165,40 @@ def test_bpe(spark):
         assert bytes(r["back"]).decode() == text
 
 
+def test_round_trip_query(spark, tmp_path):
+    """Digests against the library's, on the whole table, with columns of other names beside."""
+    docs = documents(spark).withColumn("ids", F.lit(1)).withColumn("bpe", F.lit(1))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    want = []
+    for r in docs.collect():
+        ids = known.encode_ordinary(r["text"] or "")
+        want.append((r["doc_id"], len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()))
+    got = bpe.op5_byte_bpe(spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("both(") == 1
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_ids_are_those_of_the_file():
+    """Every token comes of its own bytes by the file's merges, so ranks and merges give the same ids; and so it is on texts of all kinds."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    slow = Tokenizer.from_file(path)
+    slow.encode_special_tokens = True
+    fast = packing.Ids(path)
+    ranks = fast.fast._mergeable_ranks
+    merges = {tuple(x) for x in json.loads(slow.to_str())["model"]["merges"]}
+    letters = {b: c for c, b in packing.byte_of().items()}
+    for token, parts in bpe.Bpe(ranks).halves.items():
+        left, right = ("".join(letters[b] for b in fast.fast.decode_single_token_bytes(x)) for x in parts)
+        assert (left, right) in merges, token
+    rng = random.Random(6)
+    texts = [sentence(rng, 40) + rng.choice(["<|endoftext|>", "  \n\n ", "it's 1,234.5", "\u3000\u00a0x", "\0\x1b"]) for _ in range(300)]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x20, 0x3000), rng.randrange(0xE000, 0x1FFFF)])) for _ in range(50)) for _ in range(300)]
+    for text in [*texts, " " * 30_000 + "x", "\n" * 25_000, "a" * 30_000]:
+        ids = slow.encode(text, add_special_tokens=False).ids
+        assert fast(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_packing(spark):
     docs = documents(spark)
     known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -382,6 +417,20 @@ def test_top_k(spark):
     assert topk.top_k(empty(sparse), empty(sparse), 20).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark, tmp_path):
+    """Rows of one id are rows of their own, as candidates and as queries."""
+    vectors = [(1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 0.0]), (20, [1.0, 0.0]), (20, [3.0, 0.0]), (20, [3.0, 0.0]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame([(*x, 0, 0) for x in vectors], "vec_id long, embedding array<double>, row int, terms int")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = []
+    for q, (a, x) in enumerate(vectors):
+        if a == 20:
+            best = sorted((-int(64 * x[0]) * int(64 * y[0]), b) for c, (b, y) in enumerate(vectors) if c != q and b is not None)
+            want += [(a, k + 1, b, -s) for k, (s, b) in enumerate(best)]
+    got = topk.op8_exact_topk(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("bounds", [{}, {"chunk": 4}, {"grid": 2}])
 def test_vectors(spark, bounds):
     df = embeddings(spark)
