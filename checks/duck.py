@@ -121,12 +121,15 @@ _RECORDS = "CAST([] AS STRUCT(pass INT, entity VARCHAR, s INT, e INT)[])"
 
 
 def staged(source: str, text: str, *, on: Iterable[str] | None = None, per_row: bool = False,
-           names: Iterable[str] = (), tokens: Iterable[str] = (), tag: str = "") -> str:
+           names: Iterable[str] = (), tokens: Iterable[str] = (), tag: str = "",
+           own: Iterable[tuple[str, str, str, int]] = ()) -> str:
     """``WITH`` clause whose last table, ``done{tag}``, holds the columns of
     ``source`` plus ``t`` (the redacted text) and ``m`` (the records).
 
-    ``on`` picks entities; ``per_row`` takes the switches from columns.
+    ``on`` picks entities; ``per_row`` takes the switches from columns; ``own``
+    holds rules of the caller as (entity, pattern, mask, masked group).
     """
+    own = list(own)
     ctes = [(f"s{tag}", f"SELECT *, {text} AS t, {_RECORDS} AS m FROM ({source}) "
                         f"WHERE {text} IS NOT NULL")]
     for number, (name, entity, toggle, mask, group) in enumerate(PASSES, start=1):
@@ -134,10 +137,12 @@ def staged(source: str, text: str, *, on: Iterable[str] | None = None, per_row:
             continue
         ctes += _pass(ctes[-1][0], f"{tag}_{number}", number, PLAIN[name], entity, mask, group,
                       toggle if per_row else "")
+    for i, (entity, pattern, mask, group) in enumerate(own, start=1):
+        ctes += _pass(ctes[-1][0], f"{tag}_o{i}", len(PASSES) + i, pattern, entity, MASKS[mask], group)
     kept = [n.strip() for n in names if n.strip()]
     for i, name in enumerate(kept, start=1):
         pattern = r"\b" + "".join(c if c.isalnum() else "\\" + c for c in name) + r"\b"
-        ctes += _pass(ctes[-1][0], f"{tag}_n{i}", 16 + i, pattern, "name", _name, 0)
+        ctes += _pass(ctes[-1][0], f"{tag}_n{i}", len(PASSES) + len(own) + i, pattern, "name", _name, 0)
     final = "t"
     for tok in tokens:
         if tok:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from checks import duck
 from checks.messages import messages, messages_sql
 from inkveil.functions import masks as M
+from inkveil.functions.own_rules import own_rule
 from inkveil.functions.rules import ENTITIES, TOGGLES
 from inkveil.operators.names import redact_names
 from inkveil.operators.policy import redact_with_policy
@@ -299,6 +300,64 @@ register(
     _policy_sql(MESSAGES, "priority", _URGENT, "msg_id, priority"),
 )
 
+# --- Rules of the caller ---------------------------------------------------
+
+_OWN = (
+    own_rule("customer_number", "Customer#[0-9]{9}", "account_like", needs=("Customer#",)),
+    own_rule("parcel", r"(parcel )([0-9]+)", "account_like", group=2),
+    own_rule("date", r"\bnoon\b", "name"),
+    own_rule("gate", r"\bgate|six\b", "alphanumeric", ignore_case=True),
+)
+#: The same for the SQL: entity, pattern, mask, masked group.
+_OWN_SQL = [
+    ("customer_number", "Customer#[0-9]{9}", "account_like", 0),
+    ("parcel", "parcel ([0-9]+)", "account_like", 1),
+    ("date", r"\bnoon\b", "name", 0),
+    ("gate", r"(?i)\bgate|six\b", "alphanumeric", 0),
+]
+register(
+    "redact_own_rules",
+    lambda s, d: flat(redact(mails(s, d), "text", Policy(custom_names=("Kim",)), _OWN), "msg_id"),
+    duck.redacted(MESSAGES, "text", "msg_id", own=_OWN_SQL, names=["Kim"]),
+)
+register(
+    "findings_own_rules",
+    lambda s, d: findings(redact(mails(s, d), "text", Policy(custom_names=("Kim",)), _OWN), "msg_id"),
+    f"WITH {duck.staged(MESSAGES, 'text', own=_OWN_SQL, names=['Kim'])} " + _FOUND.format(
+        key="msg_id", more=', m[i].e AS "end", m[i].e - m[i].s AS matched_len'
+    ),
+)
+# An own entity's switch is off in one scope, that of an own rule for dates goes with the dates.
+_OWN_POLICIES = {
+    "1-URGENT": Policy(off=frozenset({"redact_own_customer_number", "redact_dates"}), custom_names=("Kim",)),
+    "2-HIGH": Policy(off=frozenset({"redact_own_parcel", "redact_own_gate", "redact_phone"})),
+    "3-MEDIUM": Policy(enabled=False),
+}
+
+
+def _own_policy_sql() -> str:
+    ctes, parts = [], []
+    listed = ", ".join(f"'{v}'" for v in _OWN_POLICIES)
+    for i, (value, policy) in enumerate([*_OWN_POLICIES.items(), (None, Policy())]):
+        if policy.enabled:
+            where = f"priority = '{value}'" if value else f"coalesce(priority NOT IN ({listed}), true)"
+            switch = {"customer_number": "redact_own_customer_number", "parcel": "redact_own_parcel", "date": "redact_dates", "gate": "redact_own_gate"}
+            ctes.append(duck.staged(
+                f"SELECT * FROM ({MESSAGES}) WHERE {where}", "text", tag=f"_{i}", names=policy.custom_names,
+                on=[e for e in ENTITIES if TOGGLES[e] not in policy.off], own=[x for x in _OWN_SQL if switch[x[0]] not in policy.off],
+            ))
+            parts.append(f"SELECT msg_id, priority, t AS redacted_text, t <> text AS changed, CAST(len(m) AS INT) AS n_matches FROM done_{i}")
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(parts)
+
+
+register(
+    "redact_own_rules_with_policy",
+    lambda s, d: flat(
+        redact_with_policy(mails(s, d), policy_table(s, _OWN_POLICIES, _OWN), "priority", rules=_OWN), "msg_id", "priority"
+    ),
+    _own_policy_sql(),
+)
+
 # --- Names and tokens ------------------------------------------------------
 
 _NAMES = ("Alice", "Bruno Smith", "Smith", " Kim ", "", "Alice Keller", "Customer#000000007")

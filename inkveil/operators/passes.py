@@ -14,7 +14,7 @@ differences into positions when a caller asks for them.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,10 +101,11 @@ def start_state(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({"__state": state, "__numbers": F.expr(numbers)})
 
 
-def run_rules(df: DataFrame, switches: Mapping[str, bool | str]) -> DataFrame:
-    """The 16 passes. A switch is a constant or a boolean SQL expression; one
-    that is False leaves its passes out of the plan."""
-    for number, rule in enumerate(RULES, start=1):
+def run_rules(df: DataFrame, switches: Mapping[str, bool | str], own: Sequence[Rule] = ()) -> DataFrame:
+    """The 16 passes, then those of the caller's ``own`` rules. A switch is a
+    constant or a boolean SQL expression; one that is False leaves its passes
+    out of the plan."""
+    for number, rule in enumerate((*RULES, *own), start=1):
         switch = switches[rule.toggle]
         if switch is False:
             continue
@@ -129,9 +130,10 @@ def numbered_names(names: str) -> str:
     )
 
 
-def mask_names(df: DataFrame, names: str) -> DataFrame:
+def mask_names(df: DataFrame, names: str, first: int = FIRST_CUSTOM_PASS) -> DataFrame:
     """Mask the names of an expression of ``NAMES_TYPE`` one after the other,
-    each as a pass of its own. The work of a name starts with a plain search."""
+    each as a pass of its own, numbered from ``first`` on by ``ord``. The work
+    of a name starts with a plain search."""
     quoted = r"concat(r'\Q', replace(n.name, r'\E', r'\E\\E\Q'), r'\E')"
     pattern = rf"concat(r'(?U)\b', {quoted}, r'\b')"
     step = _pass(
@@ -139,7 +141,7 @@ def mask_names(df: DataFrame, names: str) -> DataFrame:
         "contains(s.text, n.name)",
         f"regexp_extract_all(s.text, {pattern}, 0)",
         _gaps("s.text", pattern),
-        _rewritten("s", f"n.ord + {FIRST_CUSTOM_PASS - 1}", "name", "name"),
+        _rewritten("s", f"n.ord + {first - 1}", "name", "name"),
     )
     folded = (
         "CASE WHEN size(__names) > 0 AND __state.text IS NOT NULL "

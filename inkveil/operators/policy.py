@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.expressions import quoted
+from inkveil.functions.own_rules import own_switches
+from inkveil.functions.rules import Rule
 from inkveil.operators import passes as P
 from inkveil.operators.joins import BROADCAST_BYTES, join_lookup
 from inkveil.operators.redact import results
 from inkveil.sources.policies import SWITCHES, with_defaults
 
 
-def run_policy(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
+def run_policy(df: DataFrame, text: str, columns: list[str], own: Sequence[Rule] = ()) -> DataFrame:
     """Redact by the policy in the column ``__policy`` of each row; rows
     without one follow the default, rows of a disabled one are left out."""
     ready = df.filter(F.col(quoted(text)).isNotNull() & F.expr("coalesce(__policy.enabled, true)"))
-    switches = {s: f"coalesce(__policy.{s}, true)" for s in SWITCHES}
-    state = P.run_rules(P.start_state(ready, text), switches)
-    state = P.mask_names(state, P.numbered_names("__policy.custom_names"))
+    switches = {s: f"coalesce(__policy.{s}, true)" for s in (*SWITCHES, *own_switches(own))}
+    state = P.run_rules(P.start_state(ready, text), switches, own)
+    state = P.mask_names(state, P.numbered_names("__policy.custom_names"), P.FIRST_CUSTOM_PASS + len(own))
     closed = P.close_state(state, [*columns, "__policy"])
     restored = F.coalesce(P.restored("__state.text", "__policy.allowlist_tokens"), F.col("__state.text"))
     return results(closed, text, columns, restored)
 
 
 def redact_with_policy(df: DataFrame, policies: DataFrame, scope: str, text: str = "text",
-                       limit: int = BROADCAST_BYTES) -> DataFrame:
+                       limit: int = BROADCAST_BYTES, rules: Sequence[Rule] = ()) -> DataFrame:
     """Like ``redact``, with the policy whose ``scope`` equals the column
-    ``scope`` of the row. One policy per scope."""
-    complete = with_defaults(policies.filter(F.col("scope").isNotNull()))
+    ``scope`` of the row. One policy per scope. The table may hold a switch
+    for each entity that ``rules`` add; they run where there is none."""
+    complete = with_defaults(policies.filter(F.col("scope").isNotNull()), rules)
     twice = complete.groupBy("scope").count().filter("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"more than one policy for scope {twice[0]['scope']!r}")
@@ -37,4 +42,4 @@ def redact_with_policy(df: DataFrame, policies: DataFrame, scope: str, text: str
     )
     scoped = df.withColumn("__scope", F.col(quoted(scope)).cast("string"))
     joined = join_lookup(scoped, lookup, "__scope", "left", limit)
-    return run_policy(joined, text, df.columns).drop(text)
+    return run_policy(joined, text, df.columns, rules).drop(text)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.expressions import SPANS, quoted
+from inkveil.functions.rules import Rule
 from inkveil.operators import passes as P
 from inkveil.sources.policies import Policy
 
@@ -45,22 +48,23 @@ def close_with_tokens(state: DataFrame, text: str, columns: list[str],
     return results(listed, text, columns, P.restored("__state.text", "__tokens"))
 
 
-def scan(df: DataFrame, text: str = "text", policy: Policy | None = None) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", policy: Policy | None = None, rules: Sequence[Rule] = ()) -> DataFrame:
     """All columns of ``df`` plus the result columns; NULL texts stay, with
-    NULL results. A disabled policy lets no row through."""
+    NULL results. A disabled policy lets no row through. ``rules`` of the
+    caller run after the library's, in their order."""
     policy = policy or Policy()
     columns = df.columns
     if not policy.enabled:
         df = df.filter(F.lit(False))
-    state = P.run_rules(P.start_state(df, text), policy.switches())
+    state = P.run_rules(P.start_state(df, text), policy.switches(rules), rules)
     if policy.custom_names:
         listed = state.withColumn("__list", _literal_list(policy.custom_names))
-        state = P.mask_names(listed, P.numbered_names("__list"))
+        state = P.mask_names(listed, P.numbered_names("__list"), P.FIRST_CUSTOM_PASS + len(rules))
     return close_with_tokens(state, text, columns, policy.allowlist_tokens)
 
 
-def redact(df: DataFrame, text: str = "text", policy: Policy | None = None) -> DataFrame:
-    """Redact a text column.
+def redact(df: DataFrame, text: str = "text", policy: Policy | None = None, rules: Sequence[Rule] = ()) -> DataFrame:
+    """Redact a text column, by the library's rules and by ``rules`` of the caller.
 
     Returns the other columns with ``redacted_text``, ``changed``,
     ``n_matches``, ``entity_counts`` (``map<entity,n>``) and ``matches``
@@ -68,7 +72,7 @@ def redact(df: DataFrame, text: str = "text", policy: Policy | None = None) -> D
     select is not computed. Rows without a text have no output; unchanged rows
     do. No shuffle.
     """
-    return scan(df.filter(F.col(quoted(text)).isNotNull()), text, policy).drop(text)
+    return scan(df.filter(F.col(quoted(text)).isNotNull()), text, policy, rules).drop(text)
 
 
 def findings(redacted: DataFrame, *key: str) -> DataFrame:

@@ -6,12 +6,15 @@ shuffled is at most one partial sum per group and task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from inkveil.functions.expressions import quoted
-from inkveil.functions.rules import RULES
+from inkveil.functions.rules import RULES, Rule
 
+# The wording of the summaries, here and in summary_line.
 NOTHING_FOUND = "No sensitive data detected."
 
 
@@ -79,14 +82,14 @@ def summaries(redacted: DataFrame, *key: str) -> DataFrame:
     )
 
 
-def rule_counters(redacted: DataFrame) -> DataFrame:
-    """Matches per switch. Custom names have no switch and do not count."""
-    of_rules = f"filter(matches, m -> m.pass <= {len(RULES)}).entity"
+def rule_counters(redacted: DataFrame, rules: Sequence[Rule] = ()) -> DataFrame:
+    """Matches per switch, those of the caller's ``rules`` included. Custom names have no switch and do not count."""
+    of_rules = f"filter(matches, m -> m.pass <= {len(RULES) + len(rules)}).entity"
     counts = (
         f"transform(array_distinct({of_rules}), "
         f"e -> named_struct('entity', e, 'n', size(filter({of_rules}, x -> x = e))))"
     )
-    toggles = F.create_map(*(F.lit(v) for r in {r.entity: r for r in RULES}.values()
+    toggles = F.create_map(*(F.lit(v) for r in {r.entity: r for r in (*RULES, *rules)}.values()
                              for v in (r.entity, r.toggle)))
     return (
         redacted.select(F.inline(F.expr(counts)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tomllib
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkveil.functions.rules import TOGGLES
+from inkveil.functions.own_rules import OWN, own_switches
+from inkveil.functions.rules import TOGGLES, Rule
 
 SWITCHES = tuple(TOGGLES.values())
 POLICY_SCHEMA = T.StructType(
@@ -27,7 +28,11 @@ POLICY_SCHEMA = T.StructType(
 
 @dataclass(frozen=True)
 class Policy:
-    """One policy for a whole job. All rules are on, both lists are empty."""
+    """One policy for a whole job. All rules are on, both lists are empty.
+
+    ``off`` may also hold the switches of the caller's own rules; those that
+    ``only`` and ``without`` leave on stay on.
+    """
 
     enabled: bool = True
     off: frozenset[str] = field(default_factory=frozenset)
@@ -35,12 +40,17 @@ class Policy:
     allowlist_tokens: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
-        unknown = set(self.off) - set(SWITCHES)
+        unknown = {s for s in self.off if not s.startswith(OWN)} - set(SWITCHES)
         if unknown:
             raise ValueError(f"unknown switches: {sorted(unknown)}")
 
-    def switches(self) -> dict[str, bool]:
-        return {s: s not in self.off for s in SWITCHES}
+    def switches(self, own: Sequence[Rule] = ()) -> dict[str, bool]:
+        """Switches of all rules, the caller's ``own`` ones included; one that turns off a rule that is not there is an error."""
+        known = (*SWITCHES, *own_switches(own))
+        unknown = set(self.off) - set(known)
+        if unknown:
+            raise ValueError(f"no rule has the switches {sorted(unknown)}")
+        return {s: s not in self.off for s in known}
 
     @classmethod
     def only(cls, entities: str | Iterable[str], **lists: tuple[str, ...]) -> Policy:
@@ -55,35 +65,45 @@ class Policy:
         names = [entities] if isinstance(entities, str) else list(entities)
         return cls(off=frozenset(TOGGLES[e] for e in names), **lists)
 
-    def row(self, scope: str | None = None) -> tuple:
-        on = self.switches()
+    def row(self, scope: str | None = None, own: Sequence[Rule] = ()) -> tuple:
+        on = self.switches(own)
         return (
             scope, self.enabled, *(on[s] for s in SWITCHES),
-            list(self.custom_names), list(self.allowlist_tokens),
+            list(self.custom_names), list(self.allowlist_tokens), *(on[s] for s in own_switches(own)),
         )
 
 
-def policy_table(spark: SparkSession, policies: dict[str, Policy]) -> DataFrame:
+def policy_schema(own: Sequence[Rule] = ()) -> T.StructType:
+    """The columns of a policy table; each entity that own rules add has a switch more."""
+    return T.StructType(POLICY_SCHEMA.fields + [T.StructField(s, T.BooleanType()) for s in own_switches(own)])
+
+
+def policy_table(spark: SparkSession, policies: dict[str, Policy], own: Sequence[Rule] = ()) -> DataFrame:
     """A policy table from a handful of policies, one row per scope."""
-    return spark.createDataFrame([p.row(scope) for scope, p in policies.items()], POLICY_SCHEMA)
+    return spark.createDataFrame([p.row(scope, own) for scope, p in policies.items()], policy_schema(own))
 
 
-def with_defaults(policies: DataFrame) -> DataFrame:
-    """Fill what a partial policy leaves out: switches on, lists empty."""
-    for f in POLICY_SCHEMA.fields:
+def with_defaults(policies: DataFrame, own: Sequence[Rule] = ()) -> DataFrame:
+    """Fill what a partial policy leaves out: switches on, lists empty. A
+    switch of an own rule that is not among ``own`` is an error."""
+    schema = policy_schema(own)
+    unknown = {c for c in policies.columns if c.startswith(OWN)} - set(schema.names)
+    if unknown:
+        raise ValueError(f"no rule has the switches {sorted(unknown)}")
+    for f in schema.fields:
         if f.name not in policies.columns:
             policies = policies.withColumn(f.name, F.lit(None).cast(f.dataType))
     empty = F.array().cast("array<string>")
     return policies.select(
         "scope",
-        *(F.coalesce(F.col(c), F.lit(True)).alias(c) for c in ("enabled", *SWITCHES)),
+        *(F.coalesce(F.col(c), F.lit(True)).alias(c) for c in ("enabled", *SWITCHES, *own_switches(own))),
         F.coalesce("custom_names", empty).alias("custom_names"),
         F.coalesce("allowlist_tokens", empty).alias("allowlist_tokens"),
     )
 
 
 def read_policies(spark: SparkSession, path: str, fmt: str = "json",
-                  create: bool = False, **options) -> DataFrame:
+                  create: bool = False, own: Sequence[Rule] = (), **options) -> DataFrame:
     """Read a policy table; where there is none, the default policy holds.
 
     A record that is broken, holds a value of the wrong type or has no scope
@@ -91,16 +111,16 @@ def read_policies(spark: SparkSession, path: str, fmt: str = "json",
     ``create=True`` also writes that default to ``path``.
     """
     try:
-        found = spark.read.schema(POLICY_SCHEMA).format(fmt).options(**{"mode": "FAILFAST"} | options).load(path)
+        found = spark.read.schema(policy_schema(own)).format(fmt).options(**{"mode": "FAILFAST"} | options).load(path)
         scope = F.coalesce("scope", F.raise_error(F.lit("a policy has no scope")).cast("string"))
-        return with_defaults(found.withColumn("scope", scope))
+        return with_defaults(found.withColumn("scope", scope), own)
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
-    default = policy_table(spark, {"default": Policy()})
+    default = policy_table(spark, {"default": Policy()}, own)
     if create:
         default.write.format(fmt).save(path)
-    return with_defaults(default)
+    return with_defaults(default, own)
 
 
 def policy_from_toml(text_or_path: str | Path) -> Policy:

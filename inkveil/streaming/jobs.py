@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from inkveil.functions.rules import Rule
 from inkveil.operators.policy import redact_with_policy
 from inkveil.operators.redact import redact
 from inkveil.plans.reports import entity_report, summary_line
@@ -25,9 +26,9 @@ def read_text_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet
 
 def start_redaction(stream: DataFrame, sink: str, checkpoint: str, text: str = "text",
                     policy: Policy | None = None, trigger: dict | None = None,
-                    fmt: str = "parquet") -> StreamingQuery:
+                    fmt: str = "parquet", rules: Sequence[Rule] = ()) -> StreamingQuery:
     """Redact a stream under one policy and append the rows to ``sink``."""
-    out = redact(stream, text, policy)
+    out = redact(stream, text, policy, rules)
     return (
         out.writeStream.format(fmt).outputMode("append")
         .option("path", sink).option("checkpointLocation", checkpoint)
