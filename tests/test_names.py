@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 
@@ -49,12 +50,13 @@ def expected(rows, listed):
     return out
 
 
-@pytest.mark.parametrize("small, limit", [(1000, 1), (0, 1 << 20), (0, 1)],
-                         ids=["list", "broadcast", "salted"])
-def test_names_table(cases, small, limit):
+@pytest.mark.parametrize("small, limit, more", [
+    (1000, 1, {}), (0, 1 << 20, {}), (0, 1, {}), (0, 1 << 20, {"lookup": 0}), (0, 1, {"lookup": 0}), (0, 1, {"lookup": 0, "key": "id"}),
+], ids=["list", "broadcast", "salted", "joined", "joined salted", "joined by key"])
+def test_names_table(cases, small, limit, more):
     rows, df, listed, names = cases
     want = expected(rows, listed)
-    got = redact_names(df, names, small=small, limit=limit).collect()
+    got = redact_names(df, names, small=small, limit=limit, **more).collect()
     assert len(got) == len(rows)
     for row in got:
         found = [(m["pass"], m["entity"], m["start"], m["end"]) for m in row["matches"]]
@@ -82,6 +84,64 @@ def test_a_name_that_every_text_holds(spark):
     assert got.filter("redacted_text = concat('XXX word ', id, ' XXX end') AND n_matches = 2").count() == 3000
 
 
+def plan_of(df) -> list[str]:
+    return df._jdf.queryExecution().executedPlan().toString().split("\n")
+
+
+def test_no_text_is_moved(spark):
+    """Few names: nothing is shuffled. Many names and a bucketed table: only keys and hashes are."""
+    names = spark.range(500).selectExpr("id AS ord", "concat('Name', id) AS name")
+    spark.range(2000).selectExpr("id", "concat('seen Name', id, ' and @ here') AS text").write.bucketBy(4, "id").mode("overwrite").saveAsTable("bucketed_texts")
+    try:
+        df = spark.table("bucketed_texts")
+        few = redact_names(df, names)
+        assert not [x for x in plan_of(few) if "Exchange" in x]
+        many = redact_names(df, names, lookup=0, limit=1, key="id").filter("id IS NOT NULL")
+        moved = [x for x in plan_of(many) if "Exchange" in x and "text" in x.split("Exchange")[1]]
+        assert not moved
+        # the join back reads the table in its buckets
+        assert any("SortMergeJoin" in x and "__row" in x and "LeftOuter" in x for x in plan_of(many))
+        want = sorted(map(tuple, few.select("id", "redacted_text").collect()))
+        assert sorted(map(tuple, many.select("id", "redacted_text").collect())) == want
+        assert sum("Name" not in x for _, x in want) == 500
+    finally:
+        spark.sql("DROP TABLE bucketed_texts")
+
+
+def test_nothing_is_written(spark):
+    """No text reaches the shared folder."""
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    df = spark.createDataFrame([("mail secret@b.org Bob",)], "text string")
+    names = spark.createDataFrame([(1, "Bob")], "ord int, name string")
+    before = sorted(root.rglob("*"))
+    for lookup in (0, 1 << 20):
+        assert redact_names(df, names, lookup=lookup).first()["redacted_text"] == "mail XXXXXX@b.org XXX"
+    assert sorted(root.rglob("*")) == before
+
+
+def test_large_and_missing_numbers(spark):
+    """Numbers beyond an int keep their order; their pass number stays at the largest one."""
+    df = spark.createDataFrame([("Ada Gray", None), ("Ada", 1)], "text string, k int")
+    names = spark.createDataFrame([(3_000_000_000, "Ada"), (2_999_999_999, "Ada Gray"), (None, "Gray Ada"), (-5, "@")], "ord bigint, name string")
+    got = []
+    for more in ({}, {"lookup": 0}, {"lookup": 0, "key": "k"}):
+        rows = redact_names(df, names, **more).collect()
+        got.append(sorted((r["redacted_text"], [m["pass"] for m in r["matches"]]) for r in rows))
+    assert got[0] == got[1] == got[2] == [("XXX", [2147483646]), ("XXXXXXXX", [2147483646])]
+
+
+def test_name_of_punctuation_only(spark):
+    """A name without a word piece belongs to every text, and a name table may hold nothing else, or nothing."""
+    df = spark.createDataFrame([(1, "a ~~ b"), (2, "x~~"), (3, ""), (4, None)], "id int, text string")
+    names = spark.createDataFrame([(2, "~"), (1, "b~")], "ord int, name string")
+    plain = redact(df, "text", Policy(custom_names=("b~", "~"))).select("id", "redacted_text", "n_matches")
+    for more in ({}, {"lookup": 0}):
+        got = redact_names(df, names, **more).select("id", "redacted_text", "n_matches")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+        assert redact_names(df, names.filter("false"), **more).count() == 3
+        assert redact_names(df.filter("false"), names, **more).count() == 0
+
+
 def test_table_agrees_with_list(spark):
     df = spark.createDataFrame([(1, "Dear Alice, a@b.com met Bob")], "id int, text string")
     names = spark.createDataFrame([(1, "Bob"), (2, "met")], "ord int, name string")
