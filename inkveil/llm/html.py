@@ -10,6 +10,7 @@ stand beside one text, so they count once.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from html import unescape
 
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import col, table
+from inkveil.llm.common import col, settled, table
 
 # HTML's elements by their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,27 +42,40 @@ WORDS = frozenset(
 #: First words of a class that speaks of what else is on the page ("has-sidebar").
 AROUND = frozenset("has no with without is".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
+#: A tag whose quotes end, any tag, and what else ends with the next ">".
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+BROKEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
+OTHER = re.compile(r"<[!?/][^>]*>")
+#: After so many tags whose quotes never end, quotes count no more on a page.
+BELIEVED = 32
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+|[0-9]+")
 #: Words that are hashed together, and how many of the least hashes stand for a text.
 SHINGLE, LEAST = 3, 4
+#: Templates of pages up to this measured size are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 class Node:
     __slots__ = ("block", "items", "tag", "unwanted")
 
-    def __init__(self, tag: str, attributes: str = "") -> None:
+    def __init__(self, tag: str, attributes: str = "", inside: bool = False) -> None:
         self.tag, self.block = tag, tag in BLOCK
         self.items: list[str | Node] = []
-        self.unwanted = tag in OUTSIDE or bool(attributes) and tag not in WHOLE and marked(attributes)
+        self.unwanted = tag in OUTSIDE or bool(attributes) and tag not in WHOLE and marked(attributes, inside)
 
 
-def marked(attributes: str) -> bool:
-    """Whether an element's attributes say that it is no part of an article."""
+def marked(attributes: str, inside: bool) -> bool:
+    """Whether an element's attributes say that it is no part of an article.
+
+    ``inside`` an article only a whole class name says so: a section
+    "related-work" or a paragraph "share-price" is a part of it.
+    """
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and any(not WORDS.isdisjoint(w) and w[0] not in AROUND for w in map(WORD.findall, value.split())):
+        if name == "class" and inside and not WORDS.isdisjoint(value.split()):
+            return True
+        if name in ("class", "id") and not inside and any(not WORDS.isdisjoint(w) and w[0] not in AROUND for w in map(WORD.findall, value.split())):
             return True
         if name == "role" and not ROLES.isdisjoint(value.split()):
             return True
@@ -70,51 +84,99 @@ def marked(attributes: str) -> bool:
     return False
 
 
+class Path:
+    """The open elements, and where the last ones of each kind are: every question takes a fixed time."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.places = [root], defaultdict(list)
+
+    @staticmethod
+    def kinds(node: Node) -> Iterator[str]:
+        yield node.tag
+        if node.block:
+            yield "(block)"
+        if node.tag in FENCE:
+            yield "(fence)"
+            if node.tag not in ("td", "th"):
+                yield "(outer fence)"
+        if node.tag in ("article", "main"):
+            yield "(article)"
+
+    def last(self, *kinds: str) -> int:
+        return max((self.places[x][-1] for x in kinds if self.places[x]), default=0)
+
+    def add(self, node: Node) -> None:
+        for x in self.kinds(node):
+            self.places[x].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self.nodes) > at:
+            for x in self.kinds(self.nodes.pop()):
+                self.places[x].pop()
+
+
 def parse(html: str) -> Node:
-    """The tree of a page. Broken markup gives some tree as well: what is left open ends with what holds it."""
+    """The tree of a page, in time that grows with its length. Broken markup gives some tree as well: what is left open ends with what holds it."""
     root = Node("")
-    path, at, n = [root], 0, len(html)
-    while at < n:
-        m = TAG.search(html, at)
-        if m is None:
-            path[-1].items.append(unescape(html[at:]))
-            break
-        if m.start() > at:
-            path[-1].items.append(unescape(html[at : m.start()]))
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        if m[1] or m[4]:
-            for k in range(len(path) - 1, 0, -1):
-                if path[k].tag == tag:
-                    del path[k:]
-                    break
-                if path[k].block and tag not in BLOCK:
-                    break
-            continue
-        attributes = m[3] or m[6] or ""
-        over = ENDS.get(tag) or ({"p"} if tag in BLOCK else None)
-        if over:
-            for k in range(len(path) - 1, 0, -1):
-                if path[k].tag in over:
-                    del path[k:]
-                    break
-                if path[k].tag in FENCE and not (tag in ("tr", "td", "th") and path[k].tag in ("td", "th")):
-                    break
-        node = Node(tag, attributes)
-        path[-1].items.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(html, at)
-            at = end.start() if end else n
-            if at < n:
-                close = html.find(">", at)
-                at = close + 1 if close >= 0 else n
-        elif tag not in VOID and not attributes.rstrip().endswith("/"):
-            path.append(node)
+    path, at, n, doubts = Path(root), 0, len(html), 0
+    last, last_data = html.rfind(">"), html.rfind("]]>")
+    begun = html.find("<")
+    while 0 <= begun <= last:
+        m = None
+        if html.startswith("<!--", begun):
+            end = html.find("-->", begun + 4)
+            end = end + 3 if end >= 0 else n
+        elif html.startswith("<![CDATA[", begun) and begun < last_data:
+            end = html.find("]]>", begun) + 3
+        else:
+            if doubts < BELIEVED:
+                m = TAG.match(html, begun)
+            if m is None:
+                m = BROKEN.match(html, begun)
+                doubts += m is not None
+            other = m or OTHER.match(html, begun)
+            if other is None:
+                begun = html.find("<", begun + 1)
+                continue
+            end = other.end()
+        if begun > at:
+            path.nodes[-1].items.append(unescape(html[at:begun]))
+        at = end
+        if m is not None:
+            at = _tag(path, m, html, at)
+        begun = html.find("<", at)
+    if rest := html[at:].split("<!--", 1)[0]:
+        path.nodes[-1].items.append(unescape(rest))
     return root
 
 
+def _tag(path: Path, m: re.Match, html: str, at: int) -> int:
+    """Takes one tag, and what a raw element holds; where the page goes on."""
+    tag = m[2].lower()
+    if m[1]:
+        place = path.last(tag)
+        if place and (tag in BLOCK or place > path.last("(block)")):
+            path.cut(place)
+        return at
+    over = ENDS.get(tag) or ({"p"} if tag in BLOCK else None)
+    if over:
+        place = path.last(*over)
+        if place > path.last("(outer fence)" if tag in ("tr", "td", "th") else "(fence)"):
+            path.cut(place)
+    node = Node(tag, m[3], bool(path.last("(article)")))
+    path.nodes[-1].items.append(node)
+    if tag in RAW:
+        found = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(html, at)
+        if found is None:
+            return len(html)
+        close = html.find(">", found.start())
+        return close + 1 if close >= 0 else len(html)
+    if tag not in VOID and not m[3].rstrip().endswith("/"):
+        path.add(node)
+    return at
+
+
 def walk(root: Node) -> list[Node]:
     """All nodes, each before what it holds; without recursion, as trees may be deep."""
     order, waiting = [], [root]
@@ -284,7 +346,7 @@ def extract(pages: DataFrame, url_col: str, html_col: str, out_col: str = "text"
 
     key = {"a": F.xxhash64(col(url_col), col(html_col)), "b": F.xxhash64(F.lit(1), col(html_col), col(url_col))}
     read = pages.select(host_of(col(url_col)).alias("host"), col(html_col).alias("html"), *(v.alias(k) for k, v in key.items()))
-    found = read.mapInArrow(_hashed, "host string, a long, b long, story long, subtree long, beside long").distinct()
+    found = settled(read.mapInArrow(_hashed, "host string, a long, b long, story long, subtree long, beside long").distinct())
     total = found.select("host", "a", "b", "story").distinct().groupBy("host", "story").agg(F.count(F.lit(1)).alias("k"))
     total = total.groupBy("host").agg(F.count(F.lit(1)).alias("stories"), F.sum("k").alias("pages"))
     often = found.groupBy("host", "subtree", "beside").agg(F.count(F.lit(1)).alias("k")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("on"))
@@ -294,8 +356,10 @@ def extract(pages: DataFrame, url_col: str, html_col: str, out_col: str = "text"
     taken = {c.lower() for c in pages.columns}
     name = next(f"_{k}" for k in range(len(taken) + 3) if not any(c.startswith(f"_{k}") for c in taken))
     keyed = pages.withColumns({f"{name}{k}": v for k, v in key.items()})
-    given = given.select(*(F.col(c).alias(f"{name}{c}") for c in ("a", "b", "templates")))
-    done = keyed.join(given, [f"{name}a", f"{name}b"], "left")
+    given = settled(given.select(*(F.col(c).alias(f"{name}{c}") for c in ("a", "b", "templates"))))
+    size = given.agg(F.coalesce(F.sum(F.size(f"{name}templates") * 8 + 32), F.lit(0))).first()[0]
+    # Within the measured size pages stay where they are; beyond it they meet their templates in a shuffle.
+    done = keyed.join(F.broadcast(given) if size <= BROADCAST_BYTES else given.hint("merge"), [f"{name}a", f"{name}b"], "left")
     done = done.withColumn(out_col, text_of(col(html_col), F.col(f"{name}templates")))
     return done.drop(f"{name}a", f"{name}b", f"{name}templates")
 

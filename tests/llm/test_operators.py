@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import struct
+import time
 import zlib
 from collections import defaultdict
 
@@ -417,6 +418,24 @@ def test_top_k(spark):
     assert topk.top_k(empty(sparse), empty(sparse), 20).count() == 0
 
 
+def test_article_sections_stay():
+    """Inside an article only a whole class name takes a part away; ids and parts of class names do not."""
+    page = "<body><nav>menu</nav><article><h1>Head</h1><section id='related-work'><p>One</p></section><section id='discussion'>Two</section><p class='share-price'>Three</p><div class='share'>no</div><aside>no</aside></article></body>"
+    assert html.main_text(page, frozenset()) == "Head\n\nOne\n\nTwo\n\nThree"
+    assert html.main_text("<div class='site-footer'>no</div><div id='main-menu'>no</div><p>Yes</p>", frozenset()) == "Yes"
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<h2>", "<a '\">", "<![CDATA[", "<p><button><i>", "<b></a>", "<td>", "<", "<!-", "<div>"])
+def test_hostile_pages(unit):
+    """Half a megabyte of broken markup is read in seconds; it took hours when each tag looked over the whole page."""
+    n = 500_000 // len(unit)
+    page = unit * n + ("</section>" * n if unit == "<div>" else "")
+    begun = time.process_time()
+    html.main_text(page, frozenset())
+    html.subtrees(page)
+    assert time.process_time() - begun < 60
+
+
 def test_top_k_of_repeated_ids(spark, tmp_path):
     """Rows of one id are rows of their own, as candidates and as queries."""
     vectors = [(1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 0.0]), (20, [1.0, 0.0]), (20, [3.0, 0.0]), (20, [3.0, 0.0]), (None, [9.0, 9.0])]
