@@ -25,6 +25,8 @@ from inkveil.llm.units import Units, little
 
 #: Documents, and bytes of text, that one task packs together.
 GROUP, GROUP_BYTES = 8192, 32 << 20
+#: Texts that a task holds as strings at once.
+TOGETHER = 256
 #: A run of blanks that is taken with more care.
 RUN = 20_000
 BLANKS = re.compile(rf"\s{{{RUN}}}")
@@ -77,7 +79,8 @@ def with_ids(df: DataFrame, text_col: str, out_col: str, path: str, end_id: int)
     @F.arrow_udf("binary")
     def tokenize(texts: pa.Array) -> pa.Array:
         to_ids, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
-        return pa.array([to_ids(x or "") + end for x in texts.to_pylist()], pa.binary())
+        parts = (texts.slice(low, TOGETHER).to_pylist() for low in range(0, len(texts), TOGETHER))
+        return pa.array([to_ids(x or "") + end for part in parts for x in part], pa.binary())
 
     return df.withColumn(out_col, tokenize(col(text_col)))
 

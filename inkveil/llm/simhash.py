@@ -24,6 +24,8 @@ SEED = 42
 ALL_BITS = (1 << 64) - 1
 #: Fingerprints compared with each other in one bucket, and the bits left at which a bucket is small by itself.
 BUCKET, LEAST_BITS = 64, 8
+#: Texts that a task holds as strings at once.
+TOGETHER = 256
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -51,7 +53,8 @@ def fingerprint(text: str | None, width: int) -> int:
 def simhash(width: int) -> Callable[[Column], Column]:
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(x, width) for x in texts.to_pylist()], np.uint64).view(np.int64))
+        parts = (texts.slice(low, TOGETHER).to_pylist() for low in range(0, len(texts), TOGETHER))
+        return pa.array(np.array([fingerprint(x, width) for part in parts for x in part], np.uint64).view(np.int64))
 
     return of
 
