@@ -27,8 +27,10 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; null and letterless texts and those of no one language go."""
-    named = told(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "doc_id", "text", "lang"))
-    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("_row.*")
+    rest = F.struct(*(c for c in docs.columns if c != "text"), F.lit(0).alias("_"))  # each text is held once
+    named = told(docs.withColumn("_row", rest).select("_row", "doc_id", "text", "lang"))
+    kept = named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    return kept.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns))
 
 
 def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,8 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unsecret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets masked."""
-    found = with_secrets(docs.select(F.struct(*docs.columns).alias("_row"), "text"), "text", "_spans")
+    rest = F.struct(*(c for c in docs.columns if c != "text"), F.lit(0).alias("_"))
+    found = with_secrets(docs.select(rest.alias("_row"), "text"), "text", "_spans")
     return counted(masked(found, "text", "_spans").select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns)))
 
 
