@@ -391,6 +391,19 @@ register(
     "END AS redacted_text, redacted_text <> text AS changed, "
     "CAST(len(m) + coalesce(k, 0) AS INT) AS n_matches FROM cut LEFT JOIN known USING (msg_id)",
 )
+register(
+    "redact_names_joined",
+    # As for a table beyond the measured limits: keys and hashes are shuffled, and a salt parts hot keys.
+    lambda s, d: flat(
+        redact_names(
+            mails(s, d),
+            table(s, d, "customer").select((F.col("c_custkey") + 1).alias("ord"), F.col("c_name").alias("name")),
+            lookup=0, limit=0,
+        ),
+        "msg_id",
+    ),
+    SQL["redact_name_dictionary"],
+)
 register(
     "redact_with_allowlist",
     lambda s, d: flat(redact(mails(s, d), "text", Policy(allowlist_tokens=_TOKENS)), "msg_id"),
@@ -558,17 +571,42 @@ def _windowed(s: SparkSession, d: str) -> DataFrame:
     return _counted(counts.join(F.broadcast(last), "batch").drop("batch"))
 
 
+def _ending(s: SparkSession, d: str) -> DataFrame:
+    """Six batches out of time order, windows that end: closed, open and late counts together."""
+    base, orders = new_folder(s), table(s, d, "orders")
+    orders.repartition(6, "o_orderkey").write.parquet(f"{base}/orders")
+    stream = jobs.read_text_stream(s, f"{base}/orders", orders.schema, maxFilesPerTrigger=1)
+    jobs.start_ending_windows(
+        _timed(messages(s, stream)), "ts", f"{base}/sink", f"{base}/state", width="7 days", delay="30 days",
+    ).awaitTermination()
+    names = ("window_start", "window_end", "entity", "n_matches")
+    parts = [jobs.committed(s, f"{base}/sink", t).select(*names) for t in ("closed", "late")]
+    whole = parts[0].unionByName(parts[1]).unionByName(jobs.open_windows(s, f"{base}/sink").select(*names))
+    return _counted(whole.groupBy("window_start", "window_end", "entity").agg(F.sum("n_matches").alias("n_matches")))
+
+
+def _named_stream(s: SparkSession, d: str) -> DataFrame:
+    """Messages with all customers' names, from a table that the stream looks at for each batch."""
+    base = new_folder(s)
+    jobs.start_named_redaction(
+        messages(s, _stream(s, d, "orders")),
+        lambda spark: table(spark, d, "customer").select((F.col("c_custkey") + 1).alias("ord"), F.col("c_name").alias("name")),
+        f"{base}/sink", f"{base}/state",
+    ).awaitTermination()
+    return flat(jobs.committed(s, f"{base}/sink", "rows"), "msg_id")
+
+
 register("stream_documents", _streamed_documents, duck.redacted(DOCUMENTS, "text", "doc_id"))
 register("stream_messages", _streamed_messages, duck.redacted(MESSAGES, "text", "msg_id"))
 register(
     "stream_with_policy",
-    lambda s, d: flat(s.read.parquet(_governed(s, d) + "/rows"), "msg_id", "priority"),
+    lambda s, d: flat(jobs.committed(s, _governed(s, d), "rows"), "msg_id", "priority"),
     _policy_sql(MESSAGES, "priority", _URGENT, "msg_id, priority"),
 )
 _SCOPED_HITS = _policy_sql(MESSAGES, "priority", _URGENT, "msg_id, priority, m")
 register(
     "stream_notices",
-    lambda s, d: s.read.parquet(_governed(s, d) + "/notices")
+    lambda s, d: jobs.committed(s, _governed(s, d), "notices")
     .groupBy("priority", "entity")
     .agg(F.sum("n_matches").alias("n_matches"), F.sum("n_docs").alias("n_docs")),
     "SELECT priority, entity, count(*) AS n_matches, count(DISTINCT msg_id) AS n_docs FROM "
@@ -583,6 +621,8 @@ _WINDOWS = (
     "count(*) AS n_matches FROM hits GROUP BY ALL"
 )
 register("stream_windowed_counts", _windowed, _WINDOWS)
+register("stream_ending_windows", _ending, _WINDOWS)
+register("stream_with_names", _named_stream, SQL["redact_name_dictionary"])
 register(
     "windowed_counts_messages",
     lambda s, d: _counted(jobs.windowed_counts(_timed(mails(s, d)), "ts", "7 days")),

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from inkveil.functions.expressions import quoted
 from inkveil.functions.rules import Rule
+from inkveil.operators.names import redact_names
 from inkveil.operators.policy import redact_with_policy
 from inkveil.operators.redact import redact
 from inkveil.plans.reports import entity_report, summary_line
 from inkveil.sources.policies import Policy
+from inkveil.sources.tables import new_folder
 
 # Work through what is there and stop; a service would rather use
 # {"processingTime": "1 second"}.
 DRAIN = {"availableNow": True}
+LAST_BATCH = (1 << 62) - 1
 
 
 def read_text_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -36,35 +41,135 @@ def start_redaction(stream: DataFrame, sink: str, checkpoint: str, text: str = "
     )
 
 
+def committed(spark: SparkSession, sink: str, table: str) -> DataFrame:
+    """The rows of a sink's table that belong to finished batches, with the column ``batch``.
+
+    A batch writes its tables one after the other and its commit last. What a
+    batch that was killed in between has left is not shown, in any table.
+    """
+    done = spark.read.parquet(f"{sink}/commits").select("batch")
+    return spark.read.parquet(f"{sink}/{table}").join(F.broadcast(done), "batch")
+
+
+def _last_commit(spark: SparkSession, sink: str, before: int) -> Row | None:
+    try:
+        found = spark.read.parquet(f"{sink}/commits")
+    except AnalysisException as err:
+        if err.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return found.filter(F.col("batch") < before).orderBy(F.desc("batch")).first()
+
+
+def _finished(spark: SparkSession, sink: str, batch_id: int) -> bool:
+    last = _last_commit(spark, sink, batch_id + 1)
+    return last is not None and last["batch"] == batch_id
+
+
+def _write(df: DataFrame, sink: str, table: str, batch_id: int) -> DataFrame:
+    """A batch's part of a table; a batch that is run again overwrites its own."""
+    path = f"{sink}/{table}/batch={batch_id}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _commit(spark: SparkSession, sink: str, batch_id: int, **facts: object) -> None:
+    values = [F.lit(v).alias(k) for k, v in facts.items()]
+    _write(spark.range(1).select(F.current_timestamp().alias("committed_at"), *values).coalesce(1), sink, "commits", batch_id)
+
+
+def version_of(table: DataFrame) -> str:
+    """A fingerprint of a table's rows, whatever their order."""
+    values = F.xxhash64(*(F.to_json(F.struct(F.col(quoted(c)))) for c in table.columns))
+    seen = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(values), F.lit(0)).alias("x"), F.coalesce(F.sum(F.pmod(values, F.lit(1 << 31))), F.lit(0)).alias("s")).first()
+    return f"{seen['n']}-{seen['x'] & (1 << 64) - 1:016x}-{seen['s']:x}"
+
+
+class Pinned:
+    """A table that may change while a stream runs, read once for each version.
+
+    The rows are written to a folder of the shared scratch and read from
+    there, so whatever looks at the table during a batch sees the same rows. The
+    copy is kept until the table's fingerprint is another.
+    """
+
+    def __init__(self, read: Callable[[SparkSession], DataFrame]) -> None:
+        self.read, self.version, self.rows = read, None, None
+
+    def now(self, spark: SparkSession) -> tuple[str, DataFrame]:
+        current = self.read(spark)
+        if self.rows is None or version_of(current) != self.version:
+            path = new_folder(spark)
+            current.write.parquet(path)
+            self.rows = spark.read.schema(current.schema).parquet(path)
+            # Of the copy: the table may have changed since it was looked at.
+            self.version = version_of(self.rows)
+        return self.version, self.rows
+
+
+def _started(stream: DataFrame, run_batch: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    return (
+        stream.writeStream.foreachBatch(run_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or DRAIN)).start()
+    )
+
+
+def _redaction_of(redacted: Callable[[DataFrame, DataFrame], DataFrame], table: Callable[[SparkSession], DataFrame],
+                  by: tuple[str, ...], sink: str) -> Callable[[DataFrame, int], None]:
+    """What a batch does: the rows, the notices counted from them, then the commit with the version of the table."""
+    pinned = Pinned(table)
+
+    def run_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if _finished(spark, sink, batch_id):
+            return
+        version, current = pinned.now(spark)
+        rows = _write(redacted(batch, current).withColumn("summary", summary_line()), sink, "rows", batch_id)
+        # Counted from the written rows, not by redacting the batch once more.
+        _write(entity_report(rows, *by), sink, "notices", batch_id)
+        _commit(spark, sink, batch_id, version=version)
+
+    return run_batch
+
+
 def start_governed_redaction(stream: DataFrame, policies: Callable[[SparkSession], DataFrame],
                              scope: str, sink: str, checkpoint: str, text: str = "text",
-                             trigger: dict | None = None) -> StreamingQuery:
+                             trigger: dict | None = None, rules: Sequence[Rule] = ()) -> StreamingQuery:
     """Redact a stream under a policy table that may change while it runs.
 
     ``policies`` is called for each micro-batch, so switching a scope off or on
-    takes effect with the next one. Each batch writes its own folders,
+    takes effect with the next one. A batch checks and follows one and the same
+    version of the table. Each batch writes its own folders,
 
     * ``sink/rows/batch=<id>``: the redacted rows,
     * ``sink/notices/batch=<id>``: per scope and entity, matches and texts,
+    * ``sink/commits/batch=<id>``, last: the version of the table,
 
-    and a batch that is run again overwrites them.
+    and a batch that is run again overwrites them, or leaves them if it was
+    committed. ``committed`` reads what belongs to finished batches.
     """
 
-    def run_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = f"{sink}/rows/batch={batch_id}"
-        redacted = redact_with_policy(batch, policies(spark), scope, text)
-        redacted.withColumn("summary", summary_line()).write.mode("overwrite").parquet(rows)
-        # Counted from the written rows, not by redacting the batch once more.
-        written = spark.read.parquet(rows)
-        notices = entity_report(written, scope)
-        notices.write.mode("overwrite").parquet(f"{sink}/notices/batch={batch_id}")
+    def redacted(batch: DataFrame, current: DataFrame) -> DataFrame:
+        return redact_with_policy(batch, current, scope, text, rules=rules)
 
-    return (
-        stream.writeStream.foreachBatch(run_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or DRAIN)).start()
-    )
+    return _started(stream, _redaction_of(redacted, policies, (scope,), sink), checkpoint, trigger)
+
+
+def start_named_redaction(stream: DataFrame, names: Callable[[SparkSession], DataFrame], sink: str,
+                          checkpoint: str, text: str = "text", policy: Policy | None = None,
+                          trigger: dict | None = None, rules: Sequence[Rule] = (), **options) -> StreamingQuery:
+    """Redact a stream with custom names from a table (ord, name) that may change while it runs.
+
+    Names that are added or removed between two batches count from the second
+    one on; a table that stays the same is copied once. The sink is that of
+    ``start_governed_redaction``; ``options`` are those of ``redact_names``.
+    """
+
+    def redacted(batch: DataFrame, current: DataFrame) -> DataFrame:
+        return redact_names(batch, current, text, policy, rules=rules, **options)
+
+    return _started(stream, _redaction_of(redacted, names, (), sink), checkpoint, trigger)
 
 
 def windowed_counts(rows: DataFrame, ts: str, width: str = "1 hour", delay: str | None = None,
@@ -87,6 +192,61 @@ def windowed_counts(rows: DataFrame, ts: str, width: str = "1 hour", delay: str
     )
 
 
+def start_ending_windows(stream: DataFrame, ts: str, sink: str, checkpoint: str, width: str = "1 hour",
+                         delay: str = "1 hour", text: str = "text", policy: Policy | None = None,
+                         trigger: dict | None = None) -> StreamingQuery:
+    """Counts per entity and window of a stream, with windows that end and no row that is lost.
+
+    A window is closed once a row is more than ``delay`` newer than its end, by
+    the batches before. Each batch adds its counts to the open windows and writes
+
+    * ``sink/closed/batch=<id>``: the windows that its end closes, with their counts, each window once,
+    * ``sink/late/batch=<id>``: counts of rows whose window was closed before,
+    * ``sink/open/turn=<id modulo 2>``: the open windows; the other one is the state before,
+    * ``sink/commits/batch=<id>``, last: the newest time so far.
+
+    Closed and late counts and those of the last state make up all rows. What is
+    kept follows the number of open windows. Rows without a time are late, in a window of null.
+    """
+
+    def run_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if _finished(spark, sink, batch_id):
+            return
+        last = _last_commit(spark, sink, batch_id)
+        newest = None if last is None else last["newest"]
+        newer = batch.agg(F.max(F.col(quoted(ts)).cast("timestamp")).alias("t")).first()["t"]
+        end = max((t for t in (newest, newer) if t is not None), default=None)
+        passed = lambda t: F.coalesce(F.col("window_end") <= F.lit(t).cast("timestamp") - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        redacted = redact(batch, text, policy).withColumn("w", F.window(F.col(quoted(ts)).cast("timestamp"), width))
+        # The window function leaves rows without a time out, so those are added by hand.
+        timeless = redact(batch.filter(F.col(quoted(ts)).isNull()), text, policy)
+        none = F.lit(None).cast("timestamp")
+        rows = redacted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "entity_counts").unionByName(
+            timeless.select(none.alias("window_start"), none.alias("window_end"), "entity_counts")
+        )
+        keys = ("window_start", "window_end", "entity")
+        counts = rows.select("window_start", "window_end", F.explode("entity_counts").alias("entity", "n")).groupBy(*keys).agg(F.sum("n").alias("n_matches"))
+        counts = _write(counts.withColumn("late", F.col("window_end").isNull() | (passed(newest) if newest is not None else F.lit(False))), sink, "counted", 0)
+        _write(counts.filter("late").drop("late"), sink, "late", batch_id)
+        now = counts.filter("NOT late").drop("late")
+        if last is not None:
+            now = now.unionByName(spark.read.schema(now.schema).parquet(f"{sink}/open/turn={(batch_id + 1) % 2}"))
+        now = now.groupBy(*keys).agg(F.sum("n_matches").alias("n_matches"))
+        closed = passed(end) if end is not None else F.lit(False)
+        _write(now.filter(closed), sink, "closed", batch_id)
+        now.filter(~closed).write.mode("overwrite").parquet(f"{sink}/open/turn={batch_id % 2}")
+        _commit(spark, sink, batch_id, newest=end)
+
+    return _started(stream, run_batch, checkpoint, trigger)
+
+
+def open_windows(spark: SparkSession, sink: str) -> DataFrame:
+    """The windows of ``start_ending_windows`` that the last finished batch has left open."""
+    last = _last_commit(spark, sink, LAST_BATCH)
+    return spark.read.parquet(f"{sink}/open/turn={last['batch'] % 2}")
+
+
 def start_windowed_counts(stream: DataFrame, ts: str, sink: str, checkpoint: str,
                           width: str = "1 hour", text: str = "text",
                           policy: Policy | None = None, trigger: dict | None = None) -> StreamingQuery:
@@ -94,7 +254,9 @@ def start_windowed_counts(stream: DataFrame, ts: str, sink: str, checkpoint: str
 
     Each batch writes the counts so far to ``sink/batch=<id>``; the highest one
     holds them all, and a batch that is run again overwrites its own. No row is
-    late. The state grows with the number of windows, not with that of rows.
+    late. The state grows with the number of windows, and the output with that
+    of windows and batches: this is for input that ends. A service takes
+    ``start_ending_windows``.
     """
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
