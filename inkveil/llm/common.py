@@ -22,15 +22,23 @@ def col(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, kept in the cluster's shared checkpoint folder with their lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    The folder is the one ``spark.checkpoint.dir`` names. Only a session that
-    names none (a test's) gets a temporary one.
+    Only a local session that names none (a test's) gets a temporary one; on a
+    cluster other machines would not see it, so there it is an error.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "inkveil-checkpoints")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, kept in the cluster's shared checkpoint folder with their lineage cut."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "inkveil-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -88,7 +88,8 @@ def linked_spans(text: str, low: bytes, base: list[Span], reach: int) -> list[Sp
     if not strong and not named:
         return []
     strong.sort()
-    taken, found = sorted(base), set()
+    # base spans of several kinds may overlap, and disjoint ones are looked up
+    taken, found = [Span(low, 0, high) for low, high in scopes(base, 0, len(text))], set()
     within = [Span(top, 0, bottom) for top, bottom in scopes(strong + named, reach, len(text))]
     ends = [Span(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
     for m in KEY.finditer(text):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import re
 import struct
 import time
 import zlib
@@ -378,6 +379,58 @@ def test_secrets(spark):
     assert hidden[2] == rows[2][0] and hidden[6] is None and hidden[5] == "[SECRET] [SECRET]"
 
 
+def plain_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of all secrets, every pair of parts looked at."""
+    base = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
+    base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    strong = [x for x in base if x[1] == 1]
+    named = [(m.start(), 3, m.end()) for m in secrets.IDENTITY.finditer(text)]
+    ends = [(m.start(), 5, m.end()) for m in secrets.ENDPOINT.finditer(text)]
+    meets = lambda a, b, reach: a[0] - reach <= b[2] and b[0] <= a[2] + reach
+    scopes: list[list[int]] = []
+    for a, _, b in sorted(strong + named):
+        if scopes and a - 300 <= scopes[-1][1]:
+            scopes[-1][1] = max(scopes[-1][1], b + 300)
+        else:
+            scopes.append([a - 300, b + 300])
+    found = set(base)
+    for m in secrets.KEY.finditer(text):
+        key = (m.start(), 4, m.end())
+        here = [s for s in scopes if s[0] <= key[2] and key[0] <= s[1]]
+        kinds = all(re.search(x, m[0]) for x in ("[a-z]", "[A-Z]", "[0-9]"))
+        if not here or not kinds or any(x[0] < key[2] and key[0] < x[2] for x in base + ends):
+            continue
+        users = [x for x in named if meets(key, x, 300)]
+        places = [x for x in ends if meets(key, x, 300) and any(s[0] <= x[2] and x[0] <= s[1] for s in here)]
+        if any(meets(key, x, 300) for x in strong) or users and places:
+            found |= {key, *places, *(users if places else ())}
+    return sorted(found)
+
+
+def test_secrets_against_all_pairs(spark, tmp_path):
+    """Spans and digest columns of the query, on texts whose parts overlap, touch and lie at the edges of scopes."""
+    rng = random.Random(8)
+    keys = [f"{rng.choice('xyz')}{k}Zq9Wm2Lt7Rb4Vn8Kd3Hs{k}" for k in range(4)]
+    parts = ["user_id=bobby ", "login: carol,", "client-id=abc ", "AKIA" + "Q7" * 8, "AKIA12", "token=" + "0f" * 16, "secret: 'short'", "password=longenough1 ", "d" * 32, "0a" * 20 + ".",
+             "https://api.example.org/v1 ", "postgres://u:p@db/x", "é ", " ", "\n", ".", "word " * 12, "x" * 290, " " * 300, *keys, *keys]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(600)]
+    texts += ["user_id=bobby token=" + "0f" * 16 + ".Ab1Zz9Ab1Zz9Ab1Zz9Ab1Zz9 https://api.example.org/v1"]
+    rows = [*enumerate(texts), (0, texts[0]), (-1, None), (-2, ""), (None, "token=abcdefgh1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit(1)).withColumn("spans", F.lit("x"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for doc_id, text in rows:
+        spans = plain_spans(text or "")
+        listed = [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans]
+        base = ",".join(x for x, (_, k, _) in zip(listed, spans, strict=True) if k < 3)
+        counts = [sum(k == n for _, k, _ in spans) for n in range(3)]
+        want.append((doc_id, *counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(listed)))
+    got = secrets.op10_secret_scan(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert sum("key:" in x[-1] for x in want) > 5
+
+
 def test_secrets_over_the_edge_of_a_scope():
     key, url = "aB3" + "xY9kQ2mN7pL4" * 2, "https://api.example.org/"
     pieces = lambda text: [(secrets.KINDS[x.kind], text[x.start : x.end]) for x in secrets.spans_of(text)]
