@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkveil.llm.common import shared_folder
 from inkveil.llm.langid import UNKNOWN, told
 from inkveil.llm.packing import packed_pieces
 from inkveil.llm.secrets import masked, with_secrets
@@ -69,8 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other on ``documents``, each one's rows handed on as Parquet in the cluster's shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "inkveil-checkpoints")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
