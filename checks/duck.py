@@ -85,7 +85,7 @@ def _quoted(text: str) -> str:
 
 
 def _pass(prev: str, k: str, number: int, pattern: str, entity: str, mask, group: int,
-          switch: str = "") -> list[tuple[str, str]]:
+          switch: str = "", protected: str = "") -> list[tuple[str, str]]:
     p = _quoted(pattern)
     ready = f"CASE WHEN {switch} THEN " if switch else ""
     done = " ELSE [] END" if switch else ""
@@ -96,13 +96,18 @@ def _pass(prev: str, k: str, number: int, pattern: str, entity: str, mask, group
             f"regexp_extract_all(t, {p}, 1)), lambda z: z[1] || "
             "coalesce(left(z[2], length(z[2]) - length(z[3])), ''))"
         )
-    weave = f"list_transform(list_zip(g, h), lambda z: z[1] || coalesce({mask('z[2]')}, ''))"
+    masked, numbers = mask("z[2]"), "range(1, len(h) + 1)"
+    if protected:
+        token = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+        masked = f"CASE WHEN list_contains({protected}, {token.format('z[2]')}) THEN z[2] ELSE {masked} END"
+        numbers = f"list_filter({numbers}, lambda i: NOT list_contains({protected}, {token.format('h[i]')}))"
+    weave = f"list_transform(list_zip(g, h), lambda z: z[1] || coalesce({masked}, ''))"
     start = (
         "list_sum(list_transform(g[:i], lambda x: strlen(x))) + "
         "coalesce(list_sum(list_transform(h[:i-1], lambda x: strlen(x))), 0)"
     )
     records = (
-        f"list_transform(range(1, len(h) + 1), lambda i: {{'pass': {number}, "
+        f"list_transform({numbers}, lambda i: {{'pass': {number}, "
         f"'entity': '{entity}', 's': CAST({start} AS INT), "
         f"'e': CAST({start} + strlen(h[i]) AS INT)}})"
     )
@@ -122,7 +127,7 @@ _RECORDS = "CAST([] AS STRUCT(pass INT, entity VARCHAR, s INT, e INT)[])"
 
 def staged(source: str, text: str, *, on: Iterable[str] | None = None, per_row: bool = False,
            names: Iterable[str] = (), tokens: Iterable[str] = (), tag: str = "",
-           own: Iterable[tuple[str, str, str, int]] = ()) -> str:
+           own: Iterable[tuple[str, str, str, int]] = (), protected: Iterable[str] = ()) -> str:
     """``WITH`` clause whose last table, ``done{tag}``, holds the columns of
     ``source`` plus ``t`` (the redacted text) and ``m`` (the records).
 
@@ -130,19 +135,19 @@ def staged(source: str, text: str, *, on: Iterable[str] | None = None, per_row:
     holds rules of the caller as (entity, pattern, mask, masked group).
     """
     own = list(own)
+    kept = "[" + ", ".join(map(_quoted, protected)) + "]" if protected else ""
     ctes = [(f"s{tag}", f"SELECT *, {text} AS t, {_RECORDS} AS m FROM ({source}) "
                         f"WHERE {text} IS NOT NULL")]
     for number, (name, entity, toggle, mask, group) in enumerate(PASSES, start=1):
         if on is not None and entity not in set(on):
             continue
         ctes += _pass(ctes[-1][0], f"{tag}_{number}", number, PLAIN[name], entity, mask, group,
-                      toggle if per_row else "")
+                      toggle if per_row else "", kept)
     for i, (entity, pattern, mask, group) in enumerate(own, start=1):
-        ctes += _pass(ctes[-1][0], f"{tag}_o{i}", len(PASSES) + i, pattern, entity, MASKS[mask], group)
-    kept = [n.strip() for n in names if n.strip()]
-    for i, name in enumerate(kept, start=1):
+        ctes += _pass(ctes[-1][0], f"{tag}_o{i}", len(PASSES) + i, pattern, entity, MASKS[mask], group, protected=kept)
+    for i, name in enumerate([n.strip() for n in names if n.strip()], start=1):
         pattern = r"\b" + "".join(c if c.isalnum() else "\\" + c for c in name) + r"\b"
-        ctes += _pass(ctes[-1][0], f"{tag}_n{i}", len(PASSES) + len(own) + i, pattern, "name", _name, 0)
+        ctes += _pass(ctes[-1][0], f"{tag}_n{i}", len(PASSES) + len(own) + i, pattern, "name", _name, 0, protected=kept)
     final = "t"
     for tok in tokens:
         if tok:

@@ -95,6 +95,44 @@ def _written(s: SparkSession, d: str) -> DataFrame:
 
 register("written_documents", _written, duck.redacted(DOCUMENTS, "text", "doc_id"))
 
+
+def _round_trip(s: SparkSession, d: str, fmt: str) -> DataFrame:
+    """Texts written in a format, read from it and redacted, and the result written and read once more."""
+    path, out = new_folder(s), new_folder(s)
+    plain = docs(s, d).select("doc_id", "text", "lang")
+    if fmt == "csv":
+        plain.write.option("header", True).option("escape", '"').option("nullValue", "\0").csv(path)
+    else:
+        plain.write.format(fmt).save(path)
+    more = {"multiLine": True} if fmt == "csv" else {}
+    done = redact(read_texts(s, path, fmt, plain.schema, **more))
+    write_texts(done, out, fmt)
+    schema = "doc_id bigint, lang string, redacted_text string, changed boolean, n_matches int"
+    return flat(read_texts(s, out, fmt, schema, **more), "doc_id", "lang")
+
+
+for _fmt in ("json", "orc", "csv"):
+    register(
+        f"written_{_fmt}",
+        lambda s, d, f=_fmt: _round_trip(s, d, f),
+        duck.redacted(DOCUMENTS, "text", "doc_id, lang"),
+    )
+
+
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    """The redacted messages as a text file, line by line."""
+    path = new_folder(s)
+    write_texts(redact(mails(s, d)), path, "text")
+    return read_texts(s, path, "text").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+register(
+    "written_text",
+    _lines,
+    f"WITH {duck.staged(MESSAGES, 'text')} SELECT value, count(*) AS n FROM "
+    "(SELECT unnest(string_split(t, chr(10))) AS value FROM done) GROUP BY value",
+)
+
 # --- Findings --------------------------------------------------------------
 
 _FOUND = (
@@ -300,6 +338,34 @@ register(
     _policy_sql(MESSAGES, "priority", _URGENT, "msg_id, priority"),
 )
 
+# One scope holds a third of the rows, 499 others the rest; the table of policies is joined, not broadcast.
+_SCOPE = "CASE WHEN o_orderkey % 3 = 0 THEN 'hot' ELSE concat('s', cast(o_custkey % 499 as string)) END"
+_HOT = {"hot": Policy.without("phone"), "even": Policy.only(["email", "date", "phone"]), "odd": Policy(custom_names=("Kim",))}
+
+
+def _hot_scopes(s: SparkSession, d: str) -> DataFrame:
+    orders = table(s, d, "orders").select("o_orderkey", F.expr(_SCOPE).alias("scope"))
+    scoped = mails(s, d).join(orders, F.col("msg_id") == F.col("o_orderkey")).drop("o_orderkey")
+    kinds = policy_table(s, _HOT).withColumnRenamed("scope", "kind")
+    scopes = orders.select("scope").distinct().withColumn(
+        "kind", F.when(F.col("scope") == "hot", "hot").when(F.substring("scope", 2, 9).cast("int") % 2 == 0, "even").otherwise("odd")
+    )
+    return flat(redact_with_policy(scoped, scopes.join(F.broadcast(kinds), "kind").drop("kind"), "scope", limit=0), "msg_id", "scope")
+
+
+def _hot_sql() -> str:
+    source = f"SELECT m.*, {_SCOPE} AS scope, {_K_OF} AS kind FROM ({MESSAGES}) m JOIN orders ON o_orderkey = msg_id"
+    ctes, parts = [], []
+    for i, (kind, policy) in enumerate(_HOT.items()):
+        on = policy.switches()
+        ctes.append(duck.staged(f"SELECT * FROM ({source}) WHERE kind = '{kind}'", "text", on=[e for e in ENTITIES if on[TOGGLES[e]]], names=policy.custom_names, tag=f"_{i}"))
+        parts.append(f"SELECT msg_id, scope, t AS redacted_text, t <> text AS changed, CAST(len(m) AS INT) AS n_matches FROM done_{i}")
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(parts)
+
+
+_K_OF = "CASE WHEN o_orderkey % 3 = 0 THEN 'hot' WHEN o_custkey % 499 % 2 = 0 THEN 'even' ELSE 'odd' END"
+register("redact_hot_scopes", _hot_scopes, _hot_sql())
+
 # --- Rules of the caller ---------------------------------------------------
 
 _OWN = (
@@ -419,6 +485,21 @@ register(
     "'Anna'), 'XXXXXX', 'Keller'), 'XX', 'St') AS text FROM documents",
 )
 
+# What a rule finds and is one of these stays: names in letters, an address of the network, a whole date.
+_PROTECTED = ("Alice Keller", "Keller", "Smith", "192.168.1.101", "1996-01-02", "Kim", "it's", "a\\b")
+register(
+    "redact_protected",
+    lambda s, d: flat(redact(mails(s, d), "text", Policy(custom_names=("Kim", "Grace"), protected_tokens=_PROTECTED)), "msg_id"),
+    duck.redacted(MESSAGES, "text", "msg_id", names=("Kim", "Grace"), protected=_PROTECTED),
+)
+register(
+    "findings_protected",
+    lambda s, d: findings(redact(mails(s, d), "text", Policy(custom_names=("Kim", "Grace"), protected_tokens=_PROTECTED)), "msg_id"),
+    f"WITH {duck.staged(MESSAGES, 'text', names=('Kim', 'Grace'), protected=_PROTECTED)} " + _FOUND.format(
+        key="msg_id", more=', m[i].e AS "end", m[i].e - m[i].s AS matched_len'
+    ),
+)
+
 # --- Audits ----------------------------------------------------------------
 
 

@@ -42,6 +42,8 @@ LOOKUP_BYTES = 4 << 20
 #: Words of 64 bits that the bit filter has at most, and those it has for each key.
 FILTER_WORDS, WORDS_PER_KEY = 1 << 21, 0.25
 LARGEST = (1 << 31) - 1
+#: Places that the texts of one key are dealt to.
+SALTS = 16
 
 
 def _clean(names: DataFrame) -> DataFrame:
@@ -97,7 +99,7 @@ def _looked_up(keyed: DataFrame, always: str) -> str:
     return let("slots", slots, LISTED.format(found=f"concat({found}, {always})"))
 
 
-def _filtered(words: DataFrame, keyed: DataFrame, limit: int) -> DataFrame:
+def _filtered(words: DataFrame, keyed: DataFrame) -> DataFrame:
     """The keys that some name may have: those whose bit is set. The filter's size follows the number of keys, up to a bound."""
     n = 1 << max(6, int(keyed.count() * WORDS_PER_KEY)).bit_length()
     place = F.expr(f"cast(shiftright(__hash, 6) & {min(n, FILTER_WORDS) - 1} as int)")
@@ -110,7 +112,7 @@ def _filtered(words: DataFrame, keyed: DataFrame, limit: int) -> DataFrame:
 
 def _candidates(state: DataFrame, keyed: DataFrame, limit: int) -> DataFrame:
     words = state.select("__row", F.explode(F.expr(KEYS_OF_TEXT)).alias("__key"))
-    pairs = join_lookup(_filtered(words, keyed, limit), keyed, "__key", "inner", limit)
+    pairs = join_lookup(_filtered(words, keyed), keyed, "__key", "inner", limit, salts=SALTS)
     return pairs.groupBy("__row").agg(F.collect_set(F.struct("ord", "name")).alias("__found"))
 
 
@@ -141,8 +143,10 @@ def redact_names(df: DataFrame, names: DataFrame, text: str = "text",
     always = _literal(plain, "always", "array<struct<ord:bigint,name:string>>")
     keyed = keyed.filter("__key <> ''")
 
+    protected = P.tokens_sql(policy.protected_tokens)
+
     def masked(rows: DataFrame, by: str | None) -> DataFrame:
-        state = P.run_rules(P.start_state(rows, text), policy.switches(rules), rules)
+        state = P.run_rules(P.start_state(rows, text), policy.switches(rules), rules, protected)
         if within:
             listed = state.withColumn("__listed", F.expr(f"if(__state.text IS NULL, NULL, {_looked_up(keyed, always)})"))
         else:
@@ -150,8 +154,8 @@ def redact_names(df: DataFrame, names: DataFrame, text: str = "text",
             state = P.close_state(state, columns).withColumn("__row", F.col(quoted(by)) if by else F.xxhash64("__state.text"))
             found = f"concat(coalesce(__found, array()), {always})"
             listed = state.join(_candidates(state, keyed, limit).hint("merge"), "__row", "left").withColumn("__listed", F.expr(LISTED.format(found=found)))
-        done = P.mask_names(listed, "__listed", P.FIRST_CUSTOM_PASS + len(rules))
-        return close_with_tokens(done, text, columns, policy.allowlist_tokens).drop(text)
+        done = P.mask_names(listed, "__listed", P.FIRST_CUSTOM_PASS + len(rules), protected)
+        return close_with_tokens(done, text, columns, policy.allowlist_tokens, bool(protected)).drop(text)
 
     if within or key is None:
         return masked(texts, None)

@@ -60,11 +60,21 @@ def _gaps(text: str, pattern: str, group: int = 0) -> str:
     return f"if(contains({text}, '{CUT}'), {split}, {cut})"
 
 
-def _rewritten(state: str, number: str, entity: str, mask: str) -> str:
-    """The state after a pass that has ``hits`` with ``gaps`` around them."""
+def _rewritten(state: str, number: str, entity: str, mask: str, protected: str = "") -> str:
+    """The state after a pass that has ``hits`` with ``gaps`` around them.
+
+    A hit that is one of the ``protected`` tokens, an expression, stays as it is;
+    blanks around it do not count, as some patterns take one along. Its record,
+    of pass 0, only carries the position on to the next one.
+    """
+    masked = MASK_SQL[mask]("hit")
+    if protected:
+        is_token = rf"array_contains({protected}, regexp_replace(hit, r'(?U)^\s+|\s+\z', ''))"
+        masked = f"if({is_token}, hit, {masked})"
+        number = f"if({is_token}, 0, {number})"
     woven = (
         "array_join(zip_with(gaps, hits, (gap, hit) -> "
-        f"concat(gap, coalesce({MASK_SQL[mask]('hit')}, ''))), '')"
+        f"concat(gap, coalesce({masked}, ''))), '')"
     )
     records = (
         f"transform(hits, (hit, i) -> named_struct('pass', {number}, 'entity', '{entity}', "
@@ -101,10 +111,11 @@ def start_state(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({"__state": state, "__numbers": F.expr(numbers)})
 
 
-def run_rules(df: DataFrame, switches: Mapping[str, bool | str], own: Sequence[Rule] = ()) -> DataFrame:
+def run_rules(df: DataFrame, switches: Mapping[str, bool | str], own: Sequence[Rule] = (),
+              protected: str = "") -> DataFrame:
     """The 16 passes, then those of the caller's ``own`` rules. A switch is a
     constant or a boolean SQL expression; one that is False leaves its passes
-    out of the plan."""
+    out of the plan. ``protected`` is an expression of tokens that stay."""
     for number, rule in enumerate((*RULES, *own), start=1):
         switch = switches[rule.toggle]
         if switch is False:
@@ -116,7 +127,7 @@ def run_rules(df: DataFrame, switches: Mapping[str, bool | str], own: Sequence[R
             _ready(rule, switch),
             f"regexp_extract_all(__state.text, {raw(rule.pattern)}, {rule.group})",
             _gaps("__state.text", raw(rule.pattern), rule.group),
-            _rewritten("__state", str(number), rule.entity, rule.mask),
+            _rewritten("__state", str(number), rule.entity, rule.mask, protected),
         )))
     return df.drop("__numbers")
 
@@ -130,7 +141,7 @@ def numbered_names(names: str) -> str:
     )
 
 
-def mask_names(df: DataFrame, names: str, first: int = FIRST_CUSTOM_PASS) -> DataFrame:
+def mask_names(df: DataFrame, names: str, first: int = FIRST_CUSTOM_PASS, protected: str = "") -> DataFrame:
     """Mask the names of an expression of ``NAMES_TYPE`` one after the other,
     each as a pass of its own, numbered from ``first`` on by ``ord``. The work
     of a name starts with a plain search."""
@@ -141,7 +152,7 @@ def mask_names(df: DataFrame, names: str, first: int = FIRST_CUSTOM_PASS) -> Dat
         "contains(s.text, n.name)",
         f"regexp_extract_all(s.text, {pattern}, 0)",
         _gaps("s.text", pattern),
-        _rewritten("s", f"n.ord + {first - 1}", "name", "name"),
+        _rewritten("s", f"n.ord + {first - 1}", "name", "name", protected),
     )
     folded = (
         "CASE WHEN size(__names) > 0 AND __state.text IS NOT NULL "
@@ -154,6 +165,12 @@ def mask_names(df: DataFrame, names: str, first: int = FIRST_CUSTOM_PASS) -> Dat
     )
 
 
+def tokens_sql(tokens: Sequence[str]) -> str:
+    """A constant list of tokens as SQL, or nothing if there are none."""
+    listed = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in tokens)
+    return f"array({listed})" if listed else ""
+
+
 def restored(text: str, tokens: str) -> Column:
     """Put each token back over every run of marks of its length, in order.
 

@@ -16,16 +16,18 @@ from inkveil.operators.redact import results
 from inkveil.sources.policies import SWITCHES, with_defaults
 
 
-def run_policy(df: DataFrame, text: str, columns: list[str], own: Sequence[Rule] = ()) -> DataFrame:
+def run_policy(df: DataFrame, text: str, columns: list[str], own: Sequence[Rule] = (),
+               protects: bool = True) -> DataFrame:
     """Redact by the policy in the column ``__policy`` of each row; rows
     without one follow the default, rows of a disabled one are left out."""
     ready = df.filter(F.col(quoted(text)).isNotNull() & F.expr("coalesce(__policy.enabled, true)"))
     switches = {s: f"coalesce(__policy.{s}, true)" for s in (*SWITCHES, *own_switches(own))}
-    state = P.run_rules(P.start_state(ready, text), switches, own)
-    state = P.mask_names(state, P.numbered_names("__policy.custom_names"), P.FIRST_CUSTOM_PASS + len(own))
+    protected = "__policy.protected_tokens" if protects else ""
+    state = P.run_rules(P.start_state(ready, text), switches, own, protected)
+    state = P.mask_names(state, P.numbered_names("__policy.custom_names"), P.FIRST_CUSTOM_PASS + len(own), protected)
     closed = P.close_state(state, [*columns, "__policy"])
     restored = F.coalesce(P.restored("__state.text", "__policy.allowlist_tokens"), F.col("__state.text"))
-    return results(closed, text, columns, restored)
+    return results(closed, text, columns, restored, protects)
 
 
 def redact_with_policy(df: DataFrame, policies: DataFrame, scope: str, text: str = "text",
@@ -34,12 +36,13 @@ def redact_with_policy(df: DataFrame, policies: DataFrame, scope: str, text: str
     ``scope`` of the row. One policy per scope. The table may hold a switch
     for each entity that ``rules`` add; they run where there is none."""
     complete = with_defaults(policies.filter(F.col("scope").isNotNull()), rules)
-    twice = complete.groupBy("scope").count().filter("count > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"more than one policy for scope {twice[0]['scope']!r}")
+    counted = complete.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("protected_tokens")).alias("tokens"))
+    worst = counted.agg(F.max(F.struct("n", "scope")).alias("most"), F.max("tokens").alias("tokens")).first()
+    if worst["most"] and worst["most"]["n"] > 1:
+        raise ValueError(f"more than one policy for scope {worst['most']['scope']!r}")
     lookup = complete.select(
         F.col("scope").alias("__scope"), F.struct(*complete.columns[1:]).alias("__policy")
     )
     scoped = df.withColumn("__scope", F.col(quoted(scope)).cast("string"))
     joined = join_lookup(scoped, lookup, "__scope", "left", limit)
-    return run_policy(joined, text, df.columns, rules).drop(text)
+    return run_policy(joined, text, df.columns, rules, bool(worst["tokens"])).drop(text)

@@ -17,11 +17,20 @@ COUNTS = (
     "map_from_entries(transform(array_distinct(__state.found.entity), "
     "e -> named_struct('entity', e, 'n', size(filter(__state.found.entity, x -> x = e)))))"
 )
+# The same without what was protected, whose records have the pass 0.
+MASKED = "filter(__state.found, r -> r.pass <> 0)"
+MASKED_COUNTS = COUNTS.replace("__state.found", MASKED)
+MASKED_SPANS = (
+    f"transform(filter({SPANS}, m -> m.pass <> 0), (m, i) -> named_struct('seq', i, 'pass', m.pass, "
+    "'entity', m.entity, 'start', m.start, 'end', m.end))"
+)
 
 
 def results(closed: DataFrame, text: str, columns: list[str],
-            restored: Column | None = None) -> DataFrame:
+            restored: Column | None = None, protects: bool = False) -> DataFrame:
     """Turn the closed state into result columns."""
+    counts, spans = (MASKED_COUNTS, MASKED_SPANS) if protects else (COUNTS, SPANS)
+    found = F.expr(MASKED) if protects else F.col("__state.found")
     final = F.col("__state.text") if restored is None else restored
     original = F.col(quoted(text))
     read = original.isNotNull()
@@ -29,9 +38,9 @@ def results(closed: DataFrame, text: str, columns: list[str],
         *(F.col(quoted(c)) for c in columns),
         "redacted_text",
         (F.col("redacted_text") != original).alias("changed"),
-        F.when(read, F.size("__state.found")).alias("n_matches"),
-        F.when(read, F.expr(COUNTS)).alias("entity_counts"),
-        F.when(read, F.expr(SPANS)).alias("matches"),
+        F.when(read, F.size(found)).alias("n_matches"),
+        F.when(read, F.expr(counts)).alias("entity_counts"),
+        F.when(read, F.expr(spans)).alias("matches"),
     )
 
 
@@ -40,12 +49,12 @@ def _literal_list(values: tuple[str, ...]) -> Column:
 
 
 def close_with_tokens(state: DataFrame, text: str, columns: list[str],
-                      tokens: tuple[str, ...]) -> DataFrame:
+                      tokens: tuple[str, ...], protects: bool = False) -> DataFrame:
     closed = P.close_state(state, columns)
     if not tokens:
-        return results(closed, text, columns)
+        return results(closed, text, columns, protects=protects)
     listed = closed.withColumn("__tokens", _literal_list(tokens))
-    return results(listed, text, columns, P.restored("__state.text", "__tokens"))
+    return results(listed, text, columns, P.restored("__state.text", "__tokens"), protects)
 
 
 def scan(df: DataFrame, text: str = "text", policy: Policy | None = None, rules: Sequence[Rule] = ()) -> DataFrame:
@@ -56,11 +65,12 @@ def scan(df: DataFrame, text: str = "text", policy: Policy | None = None, rules:
     columns = df.columns
     if not policy.enabled:
         df = df.filter(F.lit(False))
-    state = P.run_rules(P.start_state(df, text), policy.switches(rules), rules)
+    protected = P.tokens_sql(policy.protected_tokens)
+    state = P.run_rules(P.start_state(df, text), policy.switches(rules), rules, protected)
     if policy.custom_names:
         listed = state.withColumn("__list", _literal_list(policy.custom_names))
-        state = P.mask_names(listed, P.numbered_names("__list"), P.FIRST_CUSTOM_PASS + len(rules))
-    return close_with_tokens(state, text, columns, policy.allowlist_tokens)
+        state = P.mask_names(listed, P.numbered_names("__list"), P.FIRST_CUSTOM_PASS + len(rules), protected)
+    return close_with_tokens(state, text, columns, policy.allowlist_tokens, bool(protected))
 
 
 def redact(df: DataFrame, text: str = "text", policy: Policy | None = None, rules: Sequence[Rule] = ()) -> DataFrame:

@@ -50,7 +50,7 @@ def rule_ablation(df: DataFrame, text: str = "text") -> DataFrame:
     labelled = tried.select(
         column, "__policy", F.expr("__policy.mode").alias("mode"), F.expr("__policy.rule").alias("rule")
     )
-    run = run_policy(labelled, text, [text, "mode", "rule"])
+    run = run_policy(labelled, text, [text, "mode", "rule"], protects=False)
     return (
         run.select("mode", "rule", F.explode("entity_counts").alias("entity", "n"))
         .groupBy("mode", "rule", "entity")

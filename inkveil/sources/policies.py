@@ -22,13 +22,18 @@ POLICY_SCHEMA = T.StructType(
     + [
         T.StructField("custom_names", T.ArrayType(T.StringType())),
         T.StructField("allowlist_tokens", T.ArrayType(T.StringType())),
+        T.StructField("protected_tokens", T.ArrayType(T.StringType())),
     ]
 )
 
 
 @dataclass(frozen=True)
 class Policy:
-    """One policy for a whole job. All rules are on, both lists are empty.
+    """One policy for a whole job. All rules are on, the lists are empty.
+
+    ``allowlist_tokens`` are put back by length once all is masked. What a rule
+    or a name finds and is one of the ``protected_tokens`` is not masked at all,
+    leaves no record, and stays for the passes after it to see.
 
     ``off`` may also hold the switches of the caller's own rules; those that
     ``only`` and ``without`` leave on stay on.
@@ -38,6 +43,7 @@ class Policy:
     off: frozenset[str] = field(default_factory=frozenset)
     custom_names: tuple[str, ...] = ()
     allowlist_tokens: tuple[str, ...] = ()
+    protected_tokens: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         unknown = {s for s in self.off if not s.startswith(OWN)} - set(SWITCHES)
@@ -69,7 +75,7 @@ class Policy:
         on = self.switches(own)
         return (
             scope, self.enabled, *(on[s] for s in SWITCHES),
-            list(self.custom_names), list(self.allowlist_tokens), *(on[s] for s in own_switches(own)),
+            list(self.custom_names), list(self.allowlist_tokens), list(self.protected_tokens), *(on[s] for s in own_switches(own)),
         )
 
 
@@ -99,6 +105,7 @@ def with_defaults(policies: DataFrame, own: Sequence[Rule] = ()) -> DataFrame:
         *(F.coalesce(F.col(c), F.lit(True)).alias(c) for c in ("enabled", *SWITCHES, *own_switches(own))),
         F.coalesce("custom_names", empty).alias("custom_names"),
         F.coalesce("allowlist_tokens", empty).alias("allowlist_tokens"),
+        F.coalesce("protected_tokens", empty).alias("protected_tokens"),
     )
 
 
@@ -139,7 +146,7 @@ def policy_from_toml(text_or_path: str | Path) -> Policy:
     for s in SWITCHES:
         if not isinstance(rules.get(s, True), bool):
             raise ValueError(f"'{s}' must be a boolean")
-    for key in ("custom_names", "allowlist_tokens"):
+    for key in ("custom_names", "allowlist_tokens", "protected_tokens"):
         values = rules.get(key, [])
         if not isinstance(values, list) or not all(isinstance(v, str) for v in values):
             raise ValueError(f"'{key}' must be a list of strings")
@@ -148,5 +155,6 @@ def policy_from_toml(text_or_path: str | Path) -> Policy:
         off=frozenset(s for s in SWITCHES if rules.get(s, True) is False),
         custom_names=tuple(rules.get("custom_names", [])),
         allowlist_tokens=tuple(rules.get("allowlist_tokens", [])),
+        protected_tokens=tuple(rules.get("protected_tokens", [])),
     )
 

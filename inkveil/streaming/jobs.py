@@ -7,10 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from inkveil.functions.expressions import quoted
-from inkveil.functions.rules import Rule
+from inkveil.functions.rules import RULES, Rule
 from inkveil.operators.names import redact_names
 from inkveil.operators.policy import redact_with_policy
 from inkveil.operators.redact import redact
@@ -31,9 +31,11 @@ def read_text_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet
 
 def start_redaction(stream: DataFrame, sink: str, checkpoint: str, text: str = "text",
                     policy: Policy | None = None, trigger: dict | None = None,
-                    fmt: str = "parquet", rules: Sequence[Rule] = ()) -> StreamingQuery:
-    """Redact a stream under one policy and append the rows to ``sink``."""
+                    fmt: str = "parquet", rules: Sequence[Rule] = (), counted: bool = False) -> StreamingQuery:
+    """Redact a stream under one policy and append the rows to ``sink``; ``counted`` tells a ``CounterLog`` of each micro-batch."""
     out = redact(stream, text, policy, rules)
+    if counted:
+        out = counted_stream(out, rules)
     return (
         out.writeStream.format(fmt).outputMode("append")
         .option("path", sink).option("checkpointLocation", checkpoint)
@@ -172,6 +174,54 @@ def start_named_redaction(stream: DataFrame, names: Callable[[SparkSession], Dat
     return _started(stream, _redaction_of(redacted, names, (), sink), checkpoint, trigger)
 
 
+COUNTERS = "rule counters"
+
+
+def counted_stream(redacted: DataFrame, rules: Sequence[Rule] = ()) -> DataFrame:
+    """The same rows, with running counts of each micro-batch for ``CounterLog``: texts, changed ones, and matches by switch."""
+    of_rules = f"filter(matches, m -> m.pass <= {len(RULES) + len(rules)}).entity"
+    toggles = {r.entity: r.toggle for r in (*RULES, *rules)}
+    sums = {t: [e for e, x in toggles.items() if x == t] for t in dict.fromkeys(toggles.values())}
+    hits = {t: " + ".join(f"size(filter({of_rules}, x -> x = '{e}'))" for e in es) for t, es in sums.items()}
+    return redacted.observe(
+        COUNTERS, F.count(F.lit(1)).alias("n_docs"), F.count_if("changed").alias("n_changed"),
+        *(F.coalesce(F.sum(F.expr(x).cast("long")), F.lit(0)).alias(t) for t, x in hits.items()),
+    )
+
+
+class CounterLog(StreamingQueryListener):
+    """Appends the counters of each finished micro-batch to a table, as (query, batch, counter, n).
+
+    Each batch of a query has a folder of its own, so one that is reported again
+    replaces its counts. Put it on with ``spark.streams.addListener``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        progress = event.progress
+        found = progress.observedMetrics.get(COUNTERS)
+        if found is None:
+            return
+        query, batch = str(progress.id), progress.batchId
+        rows = [(query, batch, name, n) for name, n in found.asDict().items()]
+        table = self.spark.createDataFrame(rows, "query string, batch long, counter string, n long")
+        table.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/of={query}-{batch}")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("of")
+
+
 def windowed_counts(rows: DataFrame, ts: str, width: str = "1 hour", delay: str | None = None,
                     text: str = "text", policy: Policy | None = None) -> DataFrame:
     """Matches per entity and window of event time, for a table or a stream.

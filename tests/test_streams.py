@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkveil.functions.own_rules import own_rule
+from inkveil.operators.redact import redact
+from inkveil.plans.reports import rule_counters
 from inkveil.sources.policies import Policy, policy_table
 from inkveil.streaming import jobs
 
@@ -136,3 +140,41 @@ def test_windows_end_and_no_row_is_lost(spark, tmp_path):
     assert counts(jobs.committed(spark, sink, "late")) == late
     assert counts(jobs.open_windows(spark, sink)) == open_
     assert late and closed and open_
+
+
+def test_counters_of_a_running_stream(spark, tmp_path):
+    """Summed over the micro-batches, the log says what the counters of the whole table say."""
+    rules = (own_rule("badge", r"B\d"),)
+    batches = [[(k, "x", text), (10 + k, "x", "B7 " * k)] for k, text in enumerate(["mail a@b.org", "555-123-4567 and B1", "clean", ""])]
+    batches[2].append((99, "x", None))
+    stream = files(spark, f"{tmp_path}/in", batches)
+    log = jobs.CounterLog(spark, f"{tmp_path}/counters")
+    spark.streams.addListener(log)
+    try:
+        wait(jobs.start_redaction(stream, f"{tmp_path}/sink", f"{tmp_path}/state", rules=rules, counted=True))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        end = time.time() + 60
+        while time.time() < end and (not Path(log.path).exists() or log.read().select("batch").distinct().count() < 4):
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(log)
+    got = {r["counter"]: r["n"] for r in log.read().groupBy("counter").agg(F.sum("n").alias("n")).collect()}
+    whole = redact(spark.createDataFrame([r for x in batches for r in x], SCHEMA), "text", None, rules)
+    want = {r["switch"]: r["n_matches"] for r in rule_counters(whole, rules).collect()}
+    assert {k: n for k, n in got.items() if n and k.startswith("redact_")} == want
+    assert (got["n_docs"], got["n_changed"]) == (whole.count(), whole.filter("changed").count())
+
+
+def test_processing_time(spark, tmp_path):
+    """A stream that goes on takes what comes later, until it is stopped."""
+    stream = files(spark, f"{tmp_path}/in", [[(1, "x", "mail a@b.org")]])
+    query = jobs.start_redaction(stream, f"{tmp_path}/sink", f"{tmp_path}/state", trigger={"processingTime": "200 milliseconds"})
+    try:
+        query.processAllAvailable()
+        spark.createDataFrame([(3, "x", "mail e@f.org")], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/part=0")
+        query.processAllAvailable()
+        assert query.isActive
+    finally:
+        query.stop()
+    got = {r["id"]: r["redacted_text"] for r in spark.read.parquet(f"{tmp_path}/sink").collect()}
+    assert got[1] == "mail XXX@b.org" and got[3] == "mail XXX@f.org"
