@@ -39,20 +39,25 @@ def rule_ablation(df: DataFrame, text: str = "text") -> DataFrame:
     rule off and with one rule alone, as (mode, rule, entity, n_matches, n_docs).
 
     A text in which no rule finds anything yields nothing under any selection
-    of them, so only the others are run again.
+    of them, so only the others are run again. A run with a rule off is the run
+    with all of them up to the rule's first match, and all of it if the rule has none
+    in the text: such a variant takes the counts that are there. So a text is run
+    again once for each entity found in it, and, a few passes each, for each rule alone.
     """
     column = F.col(quoted(text))
     texts = scan(df.filter(column.isNotNull()).select(column), text)
-    hit = texts.filter("n_matches > 0").select(column)
+    hit = texts.filter("n_matches > 0").select(column, F.col("entity_counts").alias("__known"))
     variants = [_policy_sql("all", "")]
     variants += [_policy_sql(mode, e) for mode in ("off", "only") for e in ENTITIES]
     tried = hit.withColumn("__policy", F.explode(F.expr("array(" + ", ".join(variants) + ")")))
+    again = "(__policy.mode = 'only' OR __policy.mode = 'off' AND map_contains_key(__known, __policy.rule))"
     labelled = tried.select(
-        column, "__policy", F.expr("__policy.mode").alias("mode"), F.expr("__policy.rule").alias("rule")
+        F.expr(f"if({again}, {quoted(text)}, '')").alias(text), F.expr(f"if({again}, NULL, __known)").alias("__known"),
+        "__policy", F.expr("__policy.mode").alias("mode"), F.expr("__policy.rule").alias("rule"),
     )
-    run = run_policy(labelled, text, [text, "mode", "rule"], protects=False)
+    run = run_policy(labelled, text, [text, "__known", "mode", "rule"], protects=False)
     return (
-        run.select("mode", "rule", F.explode("entity_counts").alias("entity", "n"))
+        run.select("mode", "rule", F.explode(F.coalesce("__known", "entity_counts")).alias("entity", "n"))
         .groupBy("mode", "rule", "entity")
         .agg(F.sum("n").alias("n_matches"), F.count(F.lit(1)).alias("n_docs"))
     )
