@@ -214,3 +214,55 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         other, "doc_id", "source", leaf_of("doc_id", "source", "lang", "n_chars", "text"), leaf_of("doc_id", "source", "lang", "n_chars", "_other")
     )
     return done.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _framed(*values: str) -> str:
+    texts = (f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')" for x in values)
+    return f"sha256({' || '.join(texts)})"
+
+
+#: The checksum of a decimal number, bit by bit.
+_CRC = """xor(list_reduce(list_transform(range(1, len(d) + 1), lambda i: CAST(ord(d[i]) AS BIGINT)), lambda c, b:
+    list_reduce(range(8), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)), xor(c, b)), 4294967295), 4294967295)"""
+_STEP = """coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < p.pos // CAST(pow(3, t.lvl) AS BIGINT)), '') || ',' ||
+    coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > p.pos // CAST(pow(3, t.lvl) AS BIGINT)), '')"""
+_RUN = "t.n > 1 AND t.pos // 3 = p.pos // CAST(pow(3, t.lvl + 1) AS BIGINT)"
+
+OP11_SQL = f"""
+WITH RECURSIVE numbered AS (
+    SELECT *, CAST(doc_id AS VARCHAR) AS d FROM documents
+), tampered AS (
+    SELECT *, CASE WHEN {_CRC} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM numbered
+), framed AS (
+    SELECT doc_id, source, {_framed("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+        {_framed("doc_id", "source", "lang", "n_chars", "other")} AS chk FROM tampered
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM framed
+), tree AS (
+    SELECT source, 0 AS lvl, pos, leaf AS h, n FROM placed
+    UNION ALL
+    SELECT source, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM tree WHERE n > 1 GROUP BY source, lvl, pos // 3
+), subs AS (
+    SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1
+), top AS (
+    SELECT 0 AS lvl, pos, subroot AS h, n FROM subs
+    UNION ALL
+    SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM top WHERE n > 1 GROUP BY lvl, pos // 3
+), steps AS (
+    SELECT p.source, p.pos, t.lvl, {_STEP} AS step FROM placed p JOIN tree t ON t.source IS NOT DISTINCT FROM p.source AND {_RUN} GROUP BY ALL
+), outer_steps AS (
+    SELECT p.source, t.lvl, {_STEP} AS step FROM subs p JOIN top t ON {_RUN} GROUP BY p.source, p.pos, t.lvl
+), inner_paths AS (
+    SELECT source, pos, list(step ORDER BY lvl) AS path FROM steps GROUP BY source, pos
+), outer_paths AS (
+    SELECT source, list(step ORDER BY lvl) AS path FROM outer_steps GROUP BY source
+), proofs AS (
+    SELECT p.doc_id, p.leaf, p.chk, s.subroot, (SELECT h FROM top WHERE n = 1) AS root, list_concat(coalesce(i.path, []), coalesce(o.path, [])) AS path
+    FROM placed p JOIN subs s ON s.source IS NOT DISTINCT FROM p.source
+    LEFT JOIN inner_paths i ON i.source IS NOT DISTINCT FROM p.source AND i.pos = p.pos
+    LEFT JOIN outer_paths o ON o.source IS NOT DISTINCT FROM p.source
+), folded AS (
+    SELECT *, list_reduce(path, lambda node, x: sha256(split_part(x, ',', 1) || node || split_part(x, ',', 2)), chk) AS folded_root FROM proofs
+)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), ',', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""

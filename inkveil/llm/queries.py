@@ -6,7 +6,7 @@ from inkveil.llm.bpe import op5_byte_bpe
 from inkveil.llm.html import op1_html_extraction
 from inkveil.llm.langid import op2_language_id
 from inkveil.llm.licenses import OP3_SQL, op3_license_scan
-from inkveil.llm.merkle import op11_merkle_manifest
+from inkveil.llm.merkle import OP11_SQL, op11_merkle_manifest
 from inkveil.llm.packing import op7_packing
 from inkveil.llm.prefixes import op12_token_counts
 from inkveil.llm.secrets import op10_secret_scan
@@ -36,4 +36,5 @@ SQL = {
     "op3_license_scan": OP3_SQL,
     "op8_exact_topk": OP8_SQL,
     "op9_embedding_dedup": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
