@@ -27,6 +27,10 @@ from inkveil.functions.rules import RULES, Rule
 FOUND_TYPE = "array<struct<pass:int,entity:string,step:int,size:int>>"
 NAMES_TYPE = "array<struct<ord:int,name:string>>"
 CUT = "\ue000"
+#: The characters that Unicode counts as white space.
+BLANKS = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Names of a constant list that are passes of their own; the plan of a longer list would grow with it.
+FEW_NAMES = 32
 FIRST_CUSTOM_PASS = len(RULES) + 1
 
 
@@ -165,12 +169,32 @@ def mask_names(df: DataFrame, names: str, first: int = FIRST_CUSTOM_PASS, protec
     )
 
 
+def string_sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def tokens_sql(tokens: Sequence[str]) -> str:
     """A constant list of tokens as SQL, or nothing if there are none."""
-    listed = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in tokens)
+    listed = ", ".join(map(string_sql, tokens))
     return f"array({listed})" if listed else ""
 
 
+def mask_name_list(df: DataFrame, names: Sequence[str], first: int, protected: str = "") -> DataFrame:
+    """``mask_names`` for a short constant list: each name is a pass with a
+    constant pattern, which a task compiles once and not once a text."""
+    trimmed = (n.strip(BLANKS) for n in names)
+    for number, name in enumerate((n for n in trimmed if n), start=first):
+        pattern = string_sql(r"(?U)\b\Q" + name.replace(r"\E", r"\E\\E\Q") + r"\E\b")
+        df = df.withColumn("__state", F.expr(_pass(
+            "__state",
+            f"contains(__state.text, {string_sql(name)})",
+            f"regexp_extract_all(__state.text, {pattern}, 0)",
+            _gaps("__state.text", pattern),
+            _rewritten("__state", str(number), "name", "name", protected),
+        )))
+    return df
+
+
 def restored(text: str, tokens: str) -> Column:
     """Put each token back over every run of marks of its length, in order.
 

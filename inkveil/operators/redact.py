@@ -67,9 +67,12 @@ def scan(df: DataFrame, text: str = "text", policy: Policy | None = None, rules:
         df = df.filter(F.lit(False))
     protected = P.tokens_sql(policy.protected_tokens)
     state = P.run_rules(P.start_state(df, text), policy.switches(rules), rules, protected)
-    if policy.custom_names:
+    first = P.FIRST_CUSTOM_PASS + len(rules)
+    if len(policy.custom_names) > P.FEW_NAMES:
         listed = state.withColumn("__list", _literal_list(policy.custom_names))
-        state = P.mask_names(listed, P.numbered_names("__list"), P.FIRST_CUSTOM_PASS + len(rules), protected)
+        state = P.mask_names(listed, P.numbered_names("__list"), first, protected)
+    else:
+        state = P.mask_name_list(state, policy.custom_names, first, protected)
     return close_with_tokens(state, text, columns, policy.allowlist_tokens, bool(protected))
 
 

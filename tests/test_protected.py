@@ -64,3 +64,14 @@ def test_by_scope(spark, limit):
 def test_from_settings():
     policy = policy_from_toml('enabled = true\n[redaction]\nprotected_tokens = ["Acme"]')
     assert policy.protected_tokens == ("Acme",)
+
+
+def test_short_and_long_lists_of_names_agree(spark, monkeypatch):
+    """A short list is a pass for each name, a long one a fold over the list."""
+    names = ("Ann", " Bob ", "", "a.b", r"x\Ey", "it's", "X", "XXX Lee", "Zoë　", "\\", "'")
+    rows = [(k, x) for k, x in enumerate(["Ann Lee met Bob", "a.b aXb", r"see x\Ey now", "it's X and XXX Lee", "Zoë, Zoe", "back \\ slash ' quote", None, "", "Ann\nAnn Ann"])]
+    df = spark.createDataFrame(rows, "id int, text string")
+    policy = Policy(custom_names=names, protected_tokens=("Bob",))
+    by_pass = sorted(map(str, redact(df, "text", policy).collect()))
+    monkeypatch.setattr("inkveil.operators.passes.FEW_NAMES", 0)
+    assert sorted(map(str, redact(df, "text", policy).collect())) == by_pass
