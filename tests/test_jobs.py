@@ -258,5 +258,5 @@ def test_findings_hold_no_text(df):
     out = findings(redact(df), "id")
     assert out.columns == ["id", "seq", "pass", "entity", "start", "end", "matched_len"]
     assert sorted(tuple(r) for r in out.filter("id = 1").collect()) == [
-        (1, 0, 3, "phone", 99, 114, 15), (1, 1, 15, "name", 5, 11, 6), (1, 2, 16, "name", 155, 162, 7),
+        (1, 0, 3, "phone", 57, 73, 16), (1, 1, 15, "name", 6, 11, 5), (1, 2, 16, "name", 125, 136, 11),
     ]
