@@ -165,11 +165,16 @@ def close_prints(prints: DataFrame, distance: int) -> DataFrame:
             return links
 
 
-def groups(rows: DataFrame, distance: int) -> DataFrame:
-    """``(print, root, component_id)`` for each fingerprint of ``rows(id, print)``: the least fingerprint and the least id that links reach."""
+def _rooted(rows: DataFrame, distance: int) -> DataFrame:
+    """``(print, rep, root)`` for each fingerprint of ``rows(id, print)``: its least id, and the least fingerprint that links reach."""
     reps = rows.groupBy("print").agg(F.min("id").alias("rep"))
     tied = components(close_prints(reps.select("print"), distance)).withColumnRenamed("node", "print")
-    reps = settled(reps.join(tied, "print", "left").select("print", "rep", F.coalesce("component", "print").alias("root")))
+    return settled(reps.join(tied, "print", "left").select("print", "rep", F.coalesce("component", "print").alias("root")))
+
+
+def groups(rows: DataFrame, distance: int) -> DataFrame:
+    """``(print, root, component_id)`` for each fingerprint of ``rows(id, print)``: the least fingerprint and the least id that links reach."""
+    reps = _rooted(rows, distance)
     least = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
     return reps.join(least, "root").select("print", "root", "component_id")
 
@@ -190,11 +195,25 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int = 3,
 
 
 def one_of_each(docs: DataFrame, id_col: str, text_col: str, width: int = 3, distance: int = 2) -> DataFrame:
-    """One row of ``docs`` of each group that ``near_duplicates`` finds: one with the group's least id, in the same columns."""
+    """One row of ``docs`` of each group that ``near_duplicates`` finds: one with the group's least id, in the same columns.
+
+    Rows whose id is theirs alone are taken by it, and texts move once, to meet
+    the ids that stay. Where an id repeats, or a group has null ids only, its row
+    is found by the fingerprint as well, the least one of the rows with that id.
+    An empty table gives an empty table.
+    """
     field = lambda name: F.col(f"row.{quoted(name)}")
-    rows = docs.select(F.struct(*map(col, docs.columns)).alias("row")).select("row", field(id_col).cast("long").alias("id"), simhash(width)(field(text_col)).alias("print"))
-    mine = rows.join(groups(settled(rows.select("id", "print")), distance), "print").where(F.col("id").eqNullSafe(F.col("component_id")))
-    return mine.groupBy("root").agg(F.first("row").alias("row")).select("row.*")
+    rows = docs.select(F.struct(*map(col, docs.columns)).alias("row")).select("row", field(id_col).cast("long").alias("id"))
+    prints = settled(docs.select(col(id_col).cast("long").alias("id"), simhash(width)(col(text_col)).alias("print")))
+    first = F.coalesce(F.min_by("print", F.when(F.col("rep").isNotNull(), F.struct("rep", "print"))), F.min("print"))
+    stay = _rooted(prints, distance).groupBy("root").agg(F.min("rep").alias("id"), first.alias("print"))
+    repeated = prints.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND id IS NOT NULL").select("id")
+    single = rows.join(stay.join(repeated, "id", "left_anti").where("id IS NOT NULL").select("id"), "id").select("row.*")
+    again = settled(stay.where("id IS NULL").unionByName(stay.join(repeated, "id", "left_semi").select(*stay.columns)))
+    if again.isEmpty():
+        return single
+    mine = rows.withColumn("print", simhash(width)(field(text_col))).join(again.withColumnRenamed("id", "least"), "print").where(F.col("id").eqNullSafe(F.col("least")))
+    return single.unionByName(mine.groupBy("root").agg(F.first("row").alias("row")).select("row.*"))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,7 +137,22 @@ def test_simhash(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
     stays = simhash.one_of_each(docs, "doc_id", "text")
     assert stays.columns == docs.columns and stays.count() == len({root[p] for _, p in rows})
+    kept = [(root[brute_fingerprint(r["text"], 3)], r["doc_id"]) for r in stays.collect()]
+    assert sorted(kept, key=str) == sorted(((x, least[x]) for x in set(root.values())), key=str)
     assert simhash.near_duplicates(empty(docs), "doc_id", "text").count() == 0
+    assert simhash.one_of_each(empty(docs), "doc_id", "text").count() == 0
+
+
+def test_one_of_each_by_repeated_ids(spark):
+    """Ids that repeat, in one group and in two; rows without an id; clashing names; a table without repeats."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "pqrs")
+    rows = [(5, a, 1), (5, a, 2), (5, b, 3), (7, b, 4), (None, c, 5), (None, c, 6), (9, c, 7), (None, d, 8), (None, d, 9), (8, None, 10), (3, "", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, print int").withColumns({"root": F.lit(1), "row": F.lit("x"), "id": F.lit(2.5), "rep": F.lit(None).cast("int")})
+    got = simhash.one_of_each(docs, "doc_id", "text")
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(5, a), (5, b), (9, c), (None, d), (3, "")], key=str)
+    alone = docs.where("print IN (2, 4, 7, 10)")
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(alone, "doc_id", "text").collect()) == [5, 7, 8, 9]
 
 
 @pytest.mark.parametrize("distance", [1, 2, 3])
