@@ -475,7 +475,7 @@ def _spans(flags: np.ndarray) -> np.ndarray:
     return edges.reshape(-1, 2)
 
 
-def _removal(sizes: Shape, carries: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _removal(sizes: Shape, carries: bool, whole: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def removal(docs: pa.Table, notes: pa.Table) -> pa.Table:
         ids, texts = _texts(docs)
         told = notes.filter(pc.is_valid(notes["mask"])).sort_by("bucket")
@@ -500,7 +500,8 @@ def _removal(sizes: Shape, carries: bool) -> Callable[[pa.Table, pa.Table], pa.T
             borders = [0, *spans.ravel().tolist(), len(text)]
             out["n_bytes"].append(len(text))
             out["spans"].append([{"start": a, "end": b} for a, b in spans.tolist()])
-            out["kept"].append(b"".join([text[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True)]))
+            kept = b"".join([text[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True)])
+            out["kept"].append(kept.decode(errors="ignore").encode() if whole else kept)
         return pa.table(({"rest": docs["rest"]} if carries else {}) | {
             "id": out["id"], "n_bytes": pa.array(out["n_bytes"], pa.int64()), "kept": pa.array(out["kept"], pa.binary()),
             "spans": pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
@@ -508,7 +509,7 @@ def _removal(sizes: Shape, carries: bool) -> Callable[[pa.Table, pa.Table], pa.T
     return removal
 
 
-def remove_repeats(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST, carried: Sequence[str] = (), part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST, carried: Sequence[str] = (), part_bytes: int = PART_BYTES, hot: int = HOT, whole: bool = False) -> DataFrame:
     """``(id, n_bytes, kept, spans)`` for every row: the bytes of its text that stay, and the spans ``(start, end)`` of those that go.
 
     A byte goes if one of the strings of ``least`` bytes that cover it also
@@ -518,6 +519,7 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, least: int = LEA
     none and loses nothing. The id comes under the name of ``id_col``. An empty
     table gives an empty table. ``carried`` names columns to take along; they may
     be called as they like, as they come as the fields of a struct ``rest``.
+    With ``whole`` what is left of a character that a cut has split is not kept.
 
     ``part_bytes`` and ``hot`` bound what a task holds, and change no result.
     """
@@ -535,20 +537,16 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, least: int = LEA
     notes = known.select("part", "keys", "hot", *none(("bucket", "long"), ("mask", "binary")))
     notes = notes.unionByName(masks.select("part", *none(("keys", "binary"), ("hot", "binary")), "bucket", "mask"))
     kinds = T.StructType(list(rows.select(*(["rest"] if carried else [])).schema) + list(T.StructType.fromDDL("id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")))
-    done = rows.groupBy("part").cogroup(notes.groupBy("part")).applyInArrow(_removal(sizes, bool(carried)), kinds)
+    done = rows.groupBy("part").cogroup(notes.groupBy("part")).applyInArrow(_removal(sizes, bool(carried), whole), kinds)
     return done.withColumnRenamed("id", id_col)
 
 
 def without_repeats(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
     """``docs`` with what ``remove_repeats`` keeps of each text, in the same columns; characters that a cut has split go whole, and a null text becomes an empty one."""
 
-    @F.arrow_udf("string")
-    def decoded(kept: pa.Array) -> pa.Array:
-        return pa.array([x.decode(errors="ignore") for x in kept.to_pylist()], pa.string())
-
-    done = remove_repeats(docs, id_col, text_col, least, carried=[c for c in docs.columns if c != text_col])
+    done = remove_repeats(docs, id_col, text_col, least, carried=[c for c in docs.columns if c != text_col], whole=True)
     field = lambda name: F.col(f"rest.{quoted(name)}")
-    return done.withColumn("kept", decoded("kept")).select(*(F.col("kept").alias(c) if c == text_col else field(c) for c in docs.columns))
+    return done.select(*(F.col("kept").cast("string").alias(c) if c == text_col else field(c) for c in docs.columns))
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -446,6 +446,20 @@ def test_secrets_against_all_pairs(spark, tmp_path):
     assert sum("key:" in x[-1] for x in want) > 5
 
 
+def test_masking_in_one_pass(spark):
+    """Nulls, empty texts, repeated rows, spans that meet, clashing names; an empty table."""
+    rows = documents(spark).select("doc_id", "text").collect()
+    key = "aB3" * 9
+    rows += [(900, f"token=abcdefgh12 AKIA{'A' * 16} login: bob {key} https://x.example.org/ {'0f' * 20}"), (901, f"東京 secret={'a' * 40}🙂"), (901, f"東京 secret={'a' * 40}🙂")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"spans": F.lit(1), "found": F.lit("x")})
+    got = secrets.without_secrets(docs, "text")
+    two = secrets.masked(secrets.with_secrets(docs, "text", "_at"), "text", "_at").drop("_at")
+    assert got.columns == docs.columns == two.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, two.collect()), key=str)
+    assert [r["text"] for r in got.where("doc_id = 901").collect()] == ["東京 [SECRET]🙂"] * 2
+    assert secrets.without_secrets(empty(docs), "text").count() == 0
+
+
 def test_secrets_over_the_edge_of_a_scope():
     key, url = "aB3" + "xY9kQ2mN7pL4" * 2, "https://api.example.org/"
     pieces = lambda text: [(secrets.KINDS[x.kind], text[x.start : x.end]) for x in secrets.spans_of(text)]
