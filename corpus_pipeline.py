@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkveil.llm.common import shared_folder
 from inkveil.llm.langid import UNKNOWN, told
 from inkveil.llm.packing import packed_pieces
-from inkveil.llm.secrets import masked, with_secrets
+from inkveil.llm.secrets import without_secrets
 from inkveil.llm.simhash import one_of_each
 from inkveil.llm.substrings import without_repeats
 
@@ -55,9 +55,7 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unsecret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets masked."""
-    rest = F.struct(*(c for c in docs.columns if c != "text"), F.lit(0).alias("_"))
-    found = with_secrets(in_small_batches(docs).select(rest.alias("_row"), "text"), "text", "_spans")
-    return counted(masked(found, "text", "_spans").select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns)))
+    return counted(without_secrets(in_small_batches(docs), "text"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
