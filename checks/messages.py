@@ -8,6 +8,9 @@ SQL and in DuckDB; each order gives one message.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkveil.sources.tables import spread
 
 
 def _digits(key: str, n: int, factor: int = 1) -> str:
@@ -62,4 +65,12 @@ def messages_sql(orders: str = "orders") -> str:
 
 
 def messages(spark: SparkSession, orders: DataFrame) -> DataFrame:
-    return spark.sql(messages_sql("{orders}"), orders=orders)
+    """The messages of a table or stream of orders.
+
+    Orders come in few row groups, and a message takes far longer to redact than
+    its order to move: so orders, not messages, are dealt to all tasks. The text is
+    generated, or a filter on it would build it once more, before they are dealt.
+    """
+    dealt = spread(orders, _K, _C, "o_orderdate")
+    made = spark.sql(messages_sql("{orders}"), orders=dealt)
+    return made.select(*made.columns[:-1], F.explode(F.array("text")).alias("text"))

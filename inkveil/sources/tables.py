@@ -40,6 +40,19 @@ def write_texts(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     writer.save(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The same rows, dealt to as many tasks as the session shuffles into, by the hash of ``by``.
+
+    A row group of a file is read by one task, so the passes over a table of few
+    row groups would be the work of as few tasks, however many cores there are. Take
+    narrow columns that hardly repeat together; a stream's batches are dealt too.
+    """
+    session = df.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * session.sparkContext.defaultParallelism)
+    # By hash: dealing in turns would first sort what a task has read.
+    return df.repartition(parts, *by)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
