@@ -105,14 +105,19 @@ def start_state(df: DataFrame, text: str) -> DataFrame:
     if df.sparkSession.conf.get("spark.sql.parser.escapedStringLiterals") == "true":
         # The patterns are raw SQL literals, which that setting turns off.
         raise ValueError("spark.sql.parser.escapedStringLiterals must be false")
-    t = F.col(quoted(text))
-    state = F.struct(
-        t.alias("text"), F.array().cast(FOUND_TYPE).alias("found"), F.lit(0).alias("end")
-    )
     # No mask writes a digit, so the stretches of numbers in the input hold for
     # all passes.
-    numbers = f"array_join(regexp_extract_all({quoted(text)}, {raw(NUMBERS)}, 0), 'x')"
-    return df.withColumns({"__state": state, "__numbers": F.expr(numbers)})
+    return df.withColumns({"__state": fresh_state(text), "__numbers": F.expr(numbers_of(text))})
+
+
+def fresh_state(text: str) -> Column:
+    return F.struct(
+        F.col(quoted(text)).alias("text"), F.array().cast(FOUND_TYPE).alias("found"), F.lit(0).alias("end")
+    )
+
+
+def numbers_of(text: str) -> str:
+    return f"array_join(regexp_extract_all({quoted(text)}, {raw(NUMBERS)}, 0), 'x')"
 
 
 def run_rules(df: DataFrame, switches: Mapping[str, bool | str], own: Sequence[Rule] = (),

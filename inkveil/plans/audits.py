@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.expressions import quoted
 from inkveil.functions.rules import ENTITIES, TOGGLES
-from inkveil.operators.policy import run_policy
-from inkveil.operators.redact import redact, scan
+from inkveil.operators import passes as P
+from inkveil.operators.redact import COUNTS, redact, scan
 from inkveil.sources.policies import Policy
 
 
@@ -25,13 +25,35 @@ def rescan(df: DataFrame, text: str = "text", policy: Policy | None = None) -> D
     })
 
 
-def _policy_sql(mode: str, entity: str) -> str:
-    """A policy as SQL; for 'all' the entity is empty."""
-    on = {"all": lambda e: True, "off": lambda e: e != entity, "only": lambda e: e == entity}[mode]
-    fields = [f"'{TOGGLES[e]}', {str(on(e)).lower()}" for e in ENTITIES]
-    return f"named_struct('mode', '{mode}', 'rule', '{entity}', 'enabled', true, " + ", ".join(
-        fields) + ", 'custom_names', cast(array() as array<string>), " \
-        "'allowlist_tokens', cast(array() as array<string>))"
+#: Matches of one entity in one text under one variant.
+_COUNT = "named_struct('mode', '{mode}', 'rule', {rule}, 'entity', {entity}, 'n', {n})"
+
+
+def _runs(df: DataFrame, text: str) -> DataFrame:
+    """Of each text with a match, a row of the counts that are known and one row with the text for each rule to be left out."""
+    column = F.col(quoted(text))
+    texts = scan(df.filter(column.isNotNull()).select(column.alias("__text")), "__text")
+    rows = texts.filter("n_matches > 0").select("__text", F.col("entity_counts").alias("__known"))
+    # Found once for all runs of a text.
+    rows = rows.withColumn("__stretches", F.expr(P.numbers_of("__text")))
+    for i, entity in enumerate(ENTITIES):
+        alone = {t: t == TOGGLES[entity] for t in TOGGLES.values()}
+        started = rows.withColumns({"__state": P.fresh_state("__text"), "__numbers": F.col("__stretches")})
+        rows = P.run_rules(started, alone).withColumn(f"__alone_{i}", F.expr("size(__state.found)")).drop("__state")
+    of_all = _COUNT.format(mode="all", rule="''", entity="k.key", n="k.value")
+    of_off = _COUNT.format(mode="off", rule="e", entity="k.key", n="k.value")
+    of_only = [_COUNT.format(mode="only", rule=f"'{e}'", entity=f"'{e}'", n=f"__alone_{i}") for i, e in enumerate(ENTITIES)]
+    unfound = "filter(array(" + ", ".join(f"'{e}'" for e in ENTITIES) + "), e -> NOT map_contains_key(__known, e))"
+    ready = (
+        f"concat(transform(map_entries(__known), k -> {of_all}), "
+        f"flatten(transform({unfound}, e -> transform(map_entries(__known), k -> {of_off}))), "
+        f"filter(array({', '.join(of_only)}), x -> x.n > 0))"
+    )
+    runs = (
+        "concat(array(named_struct('off', '', 'text', cast(NULL as string), 'numbers', cast(NULL as string), 'ready', {ready})), "
+        "transform(map_keys(__known), e -> named_struct('off', e, 'text', __text, 'numbers', __stretches, 'ready', NULL)))"
+    ).format(ready=ready)
+    return rows.select(F.inline(F.expr(runs))).withColumnsRenamed({"off": "__off", "text": "__again", "numbers": "__numbers", "ready": "__ready"})
 
 
 def rule_ablation(df: DataFrame, text: str = "text") -> DataFrame:
@@ -42,22 +64,16 @@ def rule_ablation(df: DataFrame, text: str = "text") -> DataFrame:
     of them, so only the others are run again. A run with a rule off is the run
     with all of them up to the rule's first match, and all of it if the rule has none
     in the text: such a variant takes the counts that are there. So a text is run
-    again once for each entity found in it, and, a few passes each, for each rule alone.
+    again once for each entity found in it; each rule alone is a few passes, with
+    constant switches, over the row that holds the text, which is not copied for that.
     """
-    column = F.col(quoted(text))
-    texts = scan(df.filter(column.isNotNull()).select(column), text)
-    hit = texts.filter("n_matches > 0").select(column, F.col("entity_counts").alias("__known"))
-    variants = [_policy_sql("all", "")]
-    variants += [_policy_sql(mode, e) for mode in ("off", "only") for e in ENTITIES]
-    tried = hit.withColumn("__policy", F.explode(F.expr("array(" + ", ".join(variants) + ")")))
-    again = "(__policy.mode = 'only' OR __policy.mode = 'off' AND map_contains_key(__known, __policy.rule))"
-    labelled = tried.select(
-        F.expr(f"if({again}, {quoted(text)}, '')").alias(text), F.expr(f"if({again}, NULL, __known)").alias("__known"),
-        "__policy", F.expr("__policy.mode").alias("mode"), F.expr("__policy.rule").alias("rule"),
-    )
-    run = run_policy(labelled, text, [text, "__known", "mode", "rule"], protects=False)
+    again = _runs(df, text)
+    without = {t: f"__off <> '{e}'" for e, t in TOGGLES.items()}
+    state = P.close_state(P.run_rules(again.withColumn("__state", P.fresh_state("__again")), without), ["__off", "__ready"])
+    of_off = _COUNT.format(mode="off", rule="__off", entity="k.key", n="k.value")
+    found = f"transform(map_entries({COUNTS}), k -> {of_off})"
     return (
-        run.select("mode", "rule", F.explode(F.coalesce("__known", "entity_counts")).alias("entity", "n"))
+        state.select(F.inline(F.expr(f"coalesce(__ready, {found})")))
         .groupBy("mode", "rule", "entity")
         .agg(F.sum("n").alias("n_matches"), F.count(F.lit(1)).alias("n_docs"))
     )

@@ -131,6 +131,14 @@ def test_rule_ablation(spark, df):
             assert got.get((mode, entity), {}) == {r["entity"]: tuple(r)[1:] for r in want}
 
 
+def test_rule_ablation_copies_a_text_for_its_own_rules_only(spark):
+    """A text is run again for each entity found in it, not for each variant, and not at all if nothing is."""
+    texts = [("Call 555-123-4567",), ("mail a@b.org on 1996-01-02",), ("nothing",), (None,)]
+    runs = audits._runs(spark.createDataFrame(texts, "text string"), "text").collect()
+    assert sorted(r["__off"] for r in runs) == ["", "", "date", "email", "phone"]
+    assert sorted(r["__again"] or "" for r in runs) == ["", "", texts[0][0], texts[1][0], texts[1][0]]
+
+
 def test_restore_allowlist(spark):
     df = spark.createDataFrame([("XXXX XX XXXXX", None)], "a string, b string")
     row = restore_allowlist(restore_allowlist(df, "a", ["", "Acme", "Xi"]), "b", ["x"]).first()
