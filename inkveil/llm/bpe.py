@@ -3,8 +3,9 @@
 An encoding is right if and only if BPE leaves each two tokens that touch in it
 apart. So the encoder takes the longest token that starts at a place and stays
 apart from the one before, and steps back where none does; no place is left
-twice, which makes it linear in the length. All tokens that start at each place
-come from one pass of an Aho-Corasick automaton over the bytes, read as Latin-1.
+twice, which makes it linear in the length. A trie over the tokens' bytes, read
+as Latin-1, tells the longest token at a place; it is asked only at places that
+a token has reached.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from inkveil.llm.common import col, table
 from inkveil.llm.units import Units, little
 
-#: Pairs of tokens whose verdict is remembered, and words and pieces that a worker remembers.
+#: Pairs of a token and what may come after it that are remembered, and words and pieces that a worker remembers.
 PAIRS, WORDS = 1_000_000, 300_000
 
 
@@ -32,25 +33,54 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class Following(dict):
+    """What comes after a token (-1: at the start), by the longest one at its place: the longest, of it and those that start it, that stays apart from the one before."""
+
+    __slots__ = ("bpe", "before")
+
+    def __init__(self, bpe: Bpe, before: int) -> None:
+        super().__init__()
+        self.bpe, self.before = bpe, before
+
+    def __missing__(self, token: int | None) -> int | None:
+        if token is None or self.before < 0:
+            return token
+        fits = token if self.bpe.stays_apart(self.before, token) else self[self.bpe.shorter[token]]
+        self.bpe.remembered()
+        self[token] = fits
+        return fits
+
+
 class Bpe:
     """The merges that a table of ranks implies: the two neighbours whose bytes together have the least rank are joined first, the left ones of equals."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.bytes = {rank: token for token, rank in ranks.items()}
+        self.lengths = {rank: len(token) for token, rank in ranks.items()}
         #: Of each token that merging its own bytes yields: the two tokens joined last.
         self.halves: dict[int, tuple[int, int]] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.shorter: dict[int, int | None] = {}
-        self.automaton = ahocorasick.Automaton()
+        self.trie = ahocorasick.Automaton()
         for token, rank in ranks.items():
             if len(token) > 1:
                 parts = self.merged(token, 2)
                 if len(parts) != 2 or parts[0] + parts[1] != token:
                     continue
                 self.halves[rank] = ranks[parts[0]], ranks[parts[1]]
-            self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
-        self.automaton.make_automaton()
+            self.trie.add_word(token.decode("latin-1"), rank)
+        self.widest = max(map(len, ranks), default=0)
+        #: Of each beginning of a token: the longest token that starts it, itself included.
+        self.starts: dict[str, int] = {}
+        for token in sorted(self.trie.keys()):
+            found = None
+            for n in range(1, len(token) + 1):
+                found = self.trie.get(token[:n], found)
+                if found is not None:
+                    self.starts[token[:n]] = found
+        #: Of each token: the longest one that starts it and is shorter.
+        self.shorter = {rank: self.starts.get(token[:-1]) for token, rank in self.trie.items()}
+        self.following = {rank: Following(self, rank) for rank in (-1, *self.shorter)}
+        self.pairs = 0
 
     def merged(self, piece: bytes, least: int) -> list[bytes]:
         """Merges step by step, down to ``least`` parts; for tokens only, as its work is quadratic."""
@@ -71,60 +101,51 @@ class Bpe:
         the parts that touch have come to be and the time when one is merged
         into its token, no merge across the border may be due.
         """
-        if (known := self.apart.get((left, right))) is not None:
-            return known
-        x, y, until, apart = left, right, 1 << 62, True
+        x, y, until = left, right, 1 << 62
         while True:
             across = self.ranks.get(self.bytes[x] + self.bytes[y])
             if across is not None and across < until:
-                apart = False
-                break
+                return False
             made_x = x if x in self.halves else -1
             made_y = y if y in self.halves else -1
             if made_x < 0 and made_y < 0:
-                break
+                return True
             if made_x > made_y:  # of equal ranks the left pair goes first, so a merge across comes after one in x
                 until, x = made_x, self.halves[x][1]
             else:
                 until, y = made_y + 1, self.halves[y][0]
-        if len(self.apart) >= PAIRS:
-            self.apart.clear()
-        self.apart[left, right] = apart
-        return apart
-
-    def next_shorter(self, token: int) -> int | None:
-        """The longest token that starts this one and is shorter."""
-        if token not in self.shorter:
-            whole = self.bytes[token]
-            starts = (self.ranks.get(whole[:n]) for n in range(len(whole) - 1, 0, -1))
-            self.shorter[token] = next((r for r in starts if r is not None and (r in self.halves or len(self.bytes[r]) == 1)), None)
-        return self.shorter[token]
+
+    def remembered(self) -> None:
+        """Counts a pair of tokens; all are forgotten when they are too many."""
+        if self.pairs >= PAIRS:
+            for after in self.following.values():
+                after.clear()
+            self.pairs = 0
+        self.pairs += 1
 
     def encode(self, piece: bytes) -> list[int]:
         """The tokens of one match of the pattern; a piece that is a token by itself is not merged."""
         if (rank := self.ranks.get(piece)) is not None:
             return [rank]
-        longest: list[tuple[int, int]] = [(0, -1)] * len(piece)
-        for end, (length, rank) in self.automaton.iter(piece.decode("latin-1")):
-            start = end - length + 1
-            if length > longest[start][0]:
-                longest[start] = length, rank
+        text, size = piece.decode("latin-1"), len(piece)
+        longest_prefix, widest, starts, lengths, following = self.trie.longest_prefix, self.widest, self.starts, self.lengths, self.following
         tokens: list[int] = []
-        dead = bytearray(len(piece) + 1)
-        at, token = 0, longest[0][1] if piece else None
-        while at < len(piece):
-            end = at + len(self.bytes[token]) if token is not None else 0
+        dead: set[int] = set()
+        at, after, token = 0, following[-1], starts.get(text[: longest_prefix(text[:widest])])
+        while at < size:
+            token = after[token]
             if token is None:  # nothing fits here: leave the place for good and shorten the token before
-                dead[at] = 1
+                dead.add(at)
                 token = tokens.pop()
-                at -= len(self.bytes[token])
-                token = self.next_shorter(token)
-            elif not dead[end] and (not tokens or self.stays_apart(tokens[-1], token)):
-                tokens.append(token)
-                at = end
-                token = longest[at][1] if at < len(piece) else None
+                at -= lengths[token]
+                token, after = self.shorter[token], following[tokens[-1] if tokens else -1]
+            elif (end := at + lengths[token]) in dead:
+                token = self.shorter[token]
             else:
-                token = self.next_shorter(token)
+                tokens.append(token)
+                at, after = end, following[token]
+                rest = text[at : at + widest]
+                token = starts.get(rest[: longest_prefix(rest)])
         return tokens
 
 
@@ -134,9 +155,17 @@ class Encoder:
     def __init__(self, path: str, pattern: str) -> None:
         self.bpe = Bpe(read_ranks(path))
         self.encode = Units(pattern, lambda piece: little(self.bpe.encode(piece.encode())), WORDS)
+        self.tokens = pa.array(map(self.bpe.bytes.get, range(max(self.bpe.bytes, default=-1) + 1)), pa.binary())
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bpe.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The tokens' bytes lie side by side once Arrow has taken them by their ids."""
+        if not ids:
+            return b""
+        taken = self.tokens.take(pa.array(np.frombuffer(ids, "<u4")))
+        if taken.null_count:
+            raise KeyError("an id that no token has")
+        _, ends, data = taken.buffers()
+        return data[: int(np.frombuffer(ends, np.int32)[len(taken)])].to_pybytes()
 
 
 @lru_cache(maxsize=2)
